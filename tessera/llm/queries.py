@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontamination, packing, quality_rules, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.judged(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return got.select("row.doc_id", *(f"m.{c}" for c in counts), "base_failed", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.col("items")
+    return got.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -23,9 +36,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
 
 #: DuckDB SQL where it can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_quality_rules": r"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
+p as (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) > 2),
+t as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as times from p),
+r as (select doc_id, count(distinct i + k) as n from t, unnest([0, 1, 2]) as u(k) where times > 1 group by doc_id),
+m as (select w.doc_id, source, len(words) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  coalesce(r.n, 0) as n_repeat_words, len(lines) as n_lines from w left join r on w.doc_id = r.doc_id),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  10 * n_symbols > n_words or 100 * n_dup_lines > 30 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words as soft_failed from m),
+h as (select source, count(*) as n, sum(case when base_failed or soft_failed then 1 else 0 end) as bad from f group by source),
+q as (select avg(bad / n) as mean, var_pop(bad / n) as spread from h),
+s as (select mean, case when spread > 1e-12 then greatest(0, mean * (1 - mean) / spread - 1) else 1e12 end as strength from q),
+v as (select source, (bad + mean * strength) / (n + strength) as host_rate from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and host_rate >= 0.5) as kept
+from f join v on f.source is not distinct from v.source
+""",
+}
