@@ -33,7 +33,7 @@ WIDTH = 1 << 16
 END_ID = 2
 
 
-def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 6, least: int = 12, most: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, least: int = 12, most: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and the documents' ends among the symbols. ends: the place after each document's last id."""
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)
@@ -142,8 +142,10 @@ class Shard:
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, begin = self._expansions()
         n = self._sizes[symbols]
-        ends = np.cumsum(n)
-        return flat[np.repeat(begin[symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        if len(n) and int(n.sum()) < 2**31 > len(flat):
+            n, begin = n.astype(np.int32), begin.astype(np.int32)
+        ends = np.cumsum(n, dtype=n.dtype)
+        return flat[np.repeat(begin[symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=n.dtype)]
 
     def ids(self) -> np.ndarray:
         """All documents' ids in order."""
@@ -232,7 +234,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 )
 
     count = manifest.count()
-    dealt = placed.repartition(max(1, min(count, 20_000)))  # rows are file names; a task reads its files one by one
+    dealt = placed.repartition(max(1, min(-(-count // 6), 20_000)))  # rows are file names; a task reads its files one by one
     return dealt.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, place long")
 
 

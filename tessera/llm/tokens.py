@@ -22,8 +22,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: White space after the first character, or at the start anything but one blank.
-_INNER = re.compile(r"(?!^ \S)\s")
+#: In pieces joined by newlines: what makes one of them other than a word with at most one blank before it.
+_UNEVEN = re.compile(r"[^\S \n]|  | \n| $|\n\n|^\n|\n$")
 
 
 class _Seen(dict):
@@ -39,7 +39,7 @@ class _Seen(dict):
 class Encoder:
     """Ids of texts. The memo holds at most `memo` pieces (plus those of one batch) and then starts anew."""
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,47 +47,56 @@ class Encoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._reset()
 
     def _reset(self) -> None:
-        self.seen, self.used = _Seen(), 0
-        self.flat, self.at = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
+        self.seen, self.end = _Seen(), 0
+        self.flat, self.first, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _learn(self) -> None:
-        """Encodes the new pieces; those of one line go to the library as one text, a newline between two."""
-        fresh = self.seen.fresh
+        """Encodes the new pieces. A known word and a full stop or comma are two tokens of the pre-tokenizer, so those aren't encoded again."""
+        fresh, seen = self.seen.fresh, self.seen
         if not fresh:
             return
-        plain = [not _INNER.search(p) and p != "" and p[-1] != " " for p in fresh]
-        lines = [p for p, x in zip(fresh, plain) if x]
-        sizes, parts = np.zeros(len(fresh), np.int64), []
-        is_plain, sets = np.array(plain, bool), []
-        for i in range(0, len(lines), 8192):
-            some = lines[i : i + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("this vocabulary joins a newline with what stands beside it")
-            parts.append(np.delete(ids, cuts))
-            sets.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-        sizes[is_plain] = np.concatenate(sets) if sets else 0
-        other = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, x in zip(fresh, plain) if not x], add_special_tokens=False)]
-        sizes[~is_plain] = [len(x) for x in other]
-        new = np.empty(int(sizes.sum()), np.uint32)
-        mine = np.repeat(is_plain, sizes)
-        new[mine] = np.concatenate(parts) if parts else 0
-        new[~mine] = [i for x in other for i in x]
-        end, total = int(self.at[self.used]), int(self.at[self.used]) + len(new)
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat[:end], np.empty(max(len(self.flat), len(new)), np.uint32)])
-        if self.used + len(sizes) >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(sizes)), np.int64)])
-        self.flat[end:total] = new
-        self.at[self.used + 1 : self.used + len(sizes) + 1] = end + np.cumsum(sizes)
-        self.used += len(sizes)
+        while len(seen) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        at = len(seen) - len(fresh)
+        whole, where, stems, marks, marked = [], [], [], [], []
+        for i, p in enumerate(fresh, at):
+            if p[-1:] in self.marks and p[-2:-1].isalpha() and (stem := seen.get(p[:-1])) is not None:
+                stems.append(stem), marks.append(self.marks[p[-1]]), marked.append(i)
+            else:
+                whole.append(p), where.append(i)
+        for i in range(0, len(whole), 8192):
+            ids, n = self._encoded(whole[i : i + 8192])
+            self._keep(np.array(where[i : i + 8192]), ids, n)
+        if stems:
+            ids, n = self.expand(np.array(stems))
+            self._keep(np.array(marked), np.insert(ids, np.cumsum(n), marks), n + 1)
         fresh.clear()
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts; words go to the library as one text, a newline (a token of its own) between two."""
+        joined = "\n".join(pieces)
+        if not _UNEVEN.search(joined):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.newline)
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        n = np.array([len(x) for x in each])
+        return np.fromiter((i for x in each for i in x), np.uint32, int(n.sum())), n
+
+    def _keep(self, where: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        to = self.end + len(ids)
+        if to > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.end], np.empty(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.end : to] = ids
+        self.first[where], self.count[where] = self.end + np.cumsum(n) - n, n
+        self.end = to
+
     def pieces(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]  # a special token may lie anywhere: the library sees the whole text
@@ -97,8 +106,7 @@ class Encoder:
 
     def expand(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of memo entries in order, and how many each has."""
-        first = self.at[index]
-        n = self.at[index + 1] - first
+        first, n = self.first[index], self.count[index]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(first - ends + n, n) + np.arange(total)], n
