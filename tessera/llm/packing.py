@@ -154,19 +154,36 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)  # a row per length: at most `size`
     shift = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     ranked = pieces.join(counts.select("part", "length", shift.alias("shift")), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("shift")).alias("rank"), "ids")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, start, length, crc, sequence, offset = [], [], [], [], [], []
-            starts, checks, ids = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(6)
-            for i, (n, r) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())):
-                where = plan.place(n, r)
-                for a, b, s, o in where:
-                    row.append(i), start.append(starts[i] + a), length.append(b - a), sequence.append(s), offset.append(o)
-                    crc.append(checks[i] if len(where) == 1 else zlib.crc32(ids[i].as_buffer()[4 * a : 4 * b]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc)), batch.column(4).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (sequence, offset))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return _placed(ranked, plan)
+
+
+def _placed(ranked: DataFrame, plan: Plan) -> DataFrame:
+    """The plan's arithmetic (as in Plan.place) on columns. Its tables have a row per length or slot, a few thousand at any input size."""
+    spark, size = ranked.sparkSession, plan.size
+    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    full = ranked.where(F.col("length") == size).select(*kept[:2], F.col("length").cast("long").alias("length"), *kept[3:5], F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    lengths = spark.createDataFrame([(n, int(plan.planned[n]), int(plan.base[n])) for n in range(1, size)], "of int, planned long, base long")
+    rests = ranked.where(F.col("length") < size).join(F.broadcast(lengths), F.col("length") == F.col("of"))
+    slots = spark.createDataFrame([tuple(x) for x in plan.slots.tolist()], "of_slot int, first long, times long, sequence long, slot_offset long")
+    fits = (F.col("length") == F.col("of_slot")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times"))
+    planned = rests.where("rank < planned").join(F.broadcast(slots), fits).select(*kept[:2], F.col("length").cast("long").alias("length"), *kept[3:5], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
+
+    at = F.col("base") + (F.col("rank") - F.col("planned")) * F.col("length")
+    rest = rests.where("rank >= planned").withColumn("at", at).withColumn("to", F.col("at") + F.col("length"))
+    edges = F.array(F.least((F.floor(F.col("at") / size) + 1) * size, F.lit(plan.whole)), *(F.lit(int(x)).cast("long") for x in plan.tail))
+    inside = F.array_distinct(F.filter(edges, lambda x: (x > F.col("at")) & (x < F.col("to"))))
+    rest = rest.withColumn("cuts", F.concat(F.array("at"), F.array_sort(inside), F.array("to")))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("k"))
+    rest = rest.withColumn("a", F.element_at("cuts", F.col("k"))).withColumn("b", F.element_at("cuts", F.col("k") + 1))
+    skip, n = F.col("a") - F.col("at"), F.col("b") - F.col("a")
+    tail = F.array(*(F.lit(int(x)).cast("long") for x in plan.tail))
+    before = F.size(F.filter(tail, lambda x: x <= F.col("a"))) - 1
+    in_whole = F.col("a") < plan.whole
+    return full.unionByName(planned).unionByName(
+        rest.select(
+            "doc_id", (F.col("start") + skip).alias("start"), n.alias("length"),
+            F.when(F.size("cuts") == 2, F.col("ids_crc32")).otherwise(F.crc32(F.col("ids").substr((4 * skip + 1).cast("int"), (4 * n).cast("int")))).alias("ids_crc32"), "doc_tokens",
+            (plan.first_rest + F.when(in_whole, F.floor(F.col("a") / size)).otherwise(plan.whole // size + before)).cast("long").alias("sequence_id"),
+            F.when(in_whole, F.col("a") % size).otherwise(F.col("a") - F.element_at(tail, before + 1)).cast("long").alias("offset"),
+        )
+    )
