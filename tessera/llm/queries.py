@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_rules, token_files
+from . import decontamination, packing, preferences, quality_rules, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def _digest(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.scanned(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return got.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = preferences.formatted(preferences.swapped_replies(_table(spark, sf_dir, "conversations")))
+    ranges = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return got.select("pair_id", F.col("n_prefix").cast("long").alias("n_prefix"), "prompt", "chosen", "rejected", ranges("chosen_mask"), ranges("rejected_mask"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judged(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -36,6 +57,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_preferences": op6_preferences,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
@@ -44,6 +68,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL where it can express the query.
 SQL: dict[str, str] = {
+    "op2_warc": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select html, max(page_id) as last from p where strlen(html) >= 1000 group by html having count(*) > 1)
+select page_id, cast(strlen(p.html) as bigint) as payload_bytes, sha1(p.html) as payload_digest,
+  case when page_id <> last then 'revisit' else 'response' end as record_type, case when page_id <> last then last end as refers_to
+from p left join g on p.html = g.html
+""",
+    "op6_preferences": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+l as (select conv_id, max(turn) as last from t where role = 'assistant' group by conv_id),
+r as (select t.conv_id, t.turn as last, t.text as reply from t join l on t.conv_id = l.conv_id and t.turn = l.last),
+p as (select a.conv_id as pair_id, a.last, b.reply as other from r a join r b on b.conv_id = xor(a.conv_id, 1)),
+s as (select pair_id, turn, role, text as c, case when turn = last then other else text end as r from t join p on t.conv_id = p.pair_id),
+n as (select *, row_number() over (partition by pair_id order by turn) as k, '<|' || role || '|>' || chr(10) as head from s),
+m as (select pair_id, coalesce(min(k) filter (where c <> r) - 1, count(*)) as n_prefix from n group by pair_id),
+f as (select n.*, n_prefix, k > n_prefix as rest, length(head) as h,
+  sum(case when k > n_prefix then length(head) + length(c) + 1 else 0 end) over w as c_end, sum(case when k > n_prefix then length(head) + length(r) + 1 else 0 end) over w as r_end
+  from n join m on n.pair_id = m.pair_id window w as (partition by n.pair_id order by k))
+select pair_id, n_prefix, coalesce(string_agg(head || c || chr(10), '' order by k) filter (where not rest), '') as prompt,
+  coalesce(string_agg(head || c || chr(10), '' order by k) filter (where rest), '') as chosen, coalesce(string_agg(head || r || chr(10), '' order by k) filter (where rest), '') as rejected,
+  coalesce(string_agg((c_end - length(c) - 1) || ':' || c_end, ',' order by k) filter (where rest and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg((r_end - length(r) - 1) || ':' || r_end, ',' order by k) filter (where rest and role = 'assistant'), '') as rejected_mask
+from f group by pair_id, n_prefix
+""",
     "op7_quality_rules": r"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
