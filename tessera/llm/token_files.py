@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import documents, saved, shared_dir
-from .tokens import encoder, in_chunks, vocabulary_path
+from .tokens import encoder, in_chunks, release, vocabulary_path
 
 MAGIC = b"TRP1"
 _HEAD = struct.Struct("<4sIIIII")
@@ -65,9 +65,10 @@ def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, le
         if not took:
             break
         pairs = np.array(took, np.uint16)
-        table = np.zeros((lefts + 1, rights + 1), np.uint16)
-        table[left[pairs[:, 0]], right[pairs[:, 1]]] = np.arange(symbol, symbol + len(pairs), dtype=np.uint16)
-        made = table[left[seq[:-1]], right[seq[1:]]]
+        row, column, wide = left.astype(np.int64) * (rights + 1), right.astype(np.int64), seq.astype(np.intp)
+        table = np.zeros((lefts + 1) * (rights + 1), np.uint16)
+        table[row[pairs[:, 0]] + column[pairs[:, 1]]] = np.arange(symbol, symbol + len(pairs), dtype=np.uint16)
+        made = table.take(row.take(wide[:-1]) + column.take(wide[1:]))
         made[last[:-1]] = 0
         at = np.flatnonzero(made)
         seq[at] = made[at]
@@ -218,6 +219,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     placed = manifest.withColumn("within", within).join(before, "part").select("file", (F.col("before") + F.col("within")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a worker that has encoded texts before
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(files.get(file))

@@ -39,7 +39,7 @@ class _Seen(dict):
 class Encoder:
     """Ids of texts. The memo holds at most `memo` pieces (plus those of one batch) and then starts anew."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,6 +140,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Gives the memos' memory back to the system."""
+    if _encoders:
+        import ctypes
+        import gc
+
+        _encoders.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library keeps it for this process
+            pass
+
+
 def in_chunks(texts: list[str | None], chars: int = 4_000_000):
     """Slices (from, to) of about so many characters, to bound memory."""
     lo = size = 0
