@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, preferences, quality_rules, secret_scan, token_files, warc
+from . import decontamination, ngram_join, packing, preferences, quality_rules, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents"))
+
+
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = preferences.formatted(preferences.swapped_replies(_table(spark, sf_dir, "conversations")))
     ranges = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
@@ -59,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_secret_scan": op3_secret_scan,
+    "op5_ngram_join": op5_ngram_join,
     "op6_preferences": op6_preferences,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
