@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -76,6 +77,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+_LOWER_BYTE = _BYTE[LOWER]
+
+
 class Words(NamedTuple):
     """Words of a batch in order: byte range, hash, and for each text its first word (n + 1 entries)."""
 
@@ -85,18 +89,33 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        _powers.update(up=up, down=down)
-    return _powers["up"], _powers["down"]
+_BLOCK = 1 << 16
+_up, _down = np.full(_BLOCK + 1, _BASE, np.uint64), np.full(_BLOCK + 1, _INVERSE, np.uint64)
+_up[0] = _down[0] = 1
+np.multiply.accumulate(_up, out=_up)
+np.multiply.accumulate(_down, out=_down)
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of byte ranges, ascending and not overlapping, from prefix sums of byte values times powers; in blocks that stay in cache."""
+    digests = np.empty(len(start), np.uint64)
+    up, down, at = _up, _down, 0
+    sums = np.zeros(_BLOCK + 1, np.uint64)
+    while at < len(start):
+        lo = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, lo + _BLOCK, "right")))
+        n = int(end[to - 1]) - lo
+        if n >= len(up):  # one long range
+            up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+            up[0] = down[0] = 1
+            np.multiply.accumulate(up, out=up)
+            np.multiply.accumulate(down, out=down)
+            sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data[lo : lo + n]] * up[:n], out=sums[1 : n + 1])
+        s, e = start[at:to] - lo, end[at:to] - lo
+        digests[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    return mixed(digests)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,18 +144,14 @@ def words_of(text: Text, kind: np.ndarray = NOT_SPACE) -> Words:
     tails = offsets[1:][offsets[1:] > 0] - 1
     shuts[tails] = part[tails]
     start, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
-    block, digests = 1 << 20, np.empty(len(start), np.uint64)
-    up, down = _power(1)
-    at = 0
-    while at < len(start):  # in blocks of whole words: the powers stay in cache and memory stays bounded
-        lo = start[at]
-        to = max(at + 1, int(np.searchsorted(end, lo + block, "right")))
-        hi = end[to - 1]
-        up, down = _power(int(hi - lo) + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[LOWER[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
-        s, e = start[at:to] - lo, end[at:to] - lo
-        digests[at:to] = (sums[e] - sums[s]) * down[s]
-        at = to
-    return Words(start, end, mixed(digests), np.searchsorted(start, offsets))
+    return Words(start, end, hashes_of(data, start, end, _LOWER_BYTE), np.searchsorted(start, offsets))
+
+
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, Text]]:
+    """A column's texts in runs (from, to) of about so many bytes, to bound memory."""
+    text, lo = text_of(column), 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(text.offsets, text.offsets[lo] + size, "right")) - 1)
+        a, b = int(text.offsets[lo]), int(text.offsets[hi])
+        yield lo, hi, Text(text.data[a:b], text.offsets[lo : hi + 1] - a)
+        lo = hi

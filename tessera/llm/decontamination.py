@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import ALNUM, Text, saved, shared_dir, text_of, words_of
+from .common import ALNUM, Text, saved, shared_dir, slices, text_of, words_of
 
 WINDOW = 10
 SHARD_BYTES = 24_000_000
@@ -230,16 +230,6 @@ class Found:
         return [(int(self.words.start[a + x]), int(self.words.end[a + y - 1])) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
-def _shards(batch: pa.RecordBatch, column: pa.Array, shard_bytes: int) -> Iterator[tuple[int, int, Text]]:
-    text = text_of(column)
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(text.offsets, text.offsets[lo] + shard_bytes, "right")) - 1)
-        a, b = int(text.offsets[lo]), int(text.offsets[hi])
-        yield lo, hi, Text(text.data[a:b], text.offsets[lo : hi + 1] - a)
-        lo = hi
-
-
 def _reader(blocks: list[str]):
     """Blocks one by one; a single one stays in memory."""
     only = [Phrases.loaded(files.get(blocks[0]))] if len(blocks) == 1 else None
@@ -256,7 +246,7 @@ def found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader(blocks)
         for batch in batches:
-            for lo, hi, text in _shards(batch, batch.column(1), shard_bytes):
+            for lo, hi, text in slices(batch.column(1), shard_bytes):
                 got = Found(text, read())
                 first = got.words.first
                 sums = np.concatenate([[0], np.cumsum(got.hit)])
@@ -291,7 +281,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
         read = _reader(blocks)
         for batch in batches:
             changed: dict[int, str] = {}
-            for lo, hi, text in _shards(batch, batch.column(at), shard_bytes):
+            for lo, hi, text in slices(batch.column(at), shard_bytes):
                 rows = np.arange(lo, hi)
                 while len(rows):
                     got, again, parts = Found(text, read()), [], []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Text, documents, mixed, saved, text_of, words_of
+from .common import Text, documents, mixed, saved, slices, words_of
 from .graph import components
 
 WIDTH = 5
@@ -66,20 +66,11 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * _TURN[63])
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Text]]:
-    text, lo = text_of(batch.column(1)), 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(text.offsets, text.offsets[lo] + SLICE_BYTES, "right")) - 1)
-        a, b = int(text.offsets[lo]), int(text.offsets[hi])
-        yield lo, hi, Text(text.data[a:b], text.offsets[lo : hi + 1] - a)
-        lo = hi
-
-
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; after each slice also the shingles that several of its documents have, with times."""
     names = ["doc_id", "n", "sig", "shingle", "times"]
     for batch in batches:
-        for lo, hi, text in _slices(batch):
+        for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
             flat, at = shingle_sets(text)
             n = np.diff(at)
             none = pa.nulls(hi - lo, pa.int64())
@@ -137,7 +128,7 @@ class Join:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                for _, _, text in _slices(batch):
+                for _, _, text in slices(batch.column(1), SLICE_BYTES):
                     flat, at = shingle_sets(text)
                     sig, n = signatures(flat, at), np.diff(at)
                     chosen = []
@@ -186,7 +177,7 @@ class Join:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                for _, _, text in _slices(batch):
+                for _, _, text in slices(batch.column(1), SLICE_BYTES):
                     flat, at = shingle_sets(text)
                     sig, n = signatures(flat, at).view(np.int64), np.diff(at)
                     ok = n > 0

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved
-from .tokens import encoder, in_chunks, vocabulary_path
+from .common import documents, saved, slices
+from .tokens import SLICE_BYTES, encoder, vocabulary_path
 
 WINDOW = 1024
 END_ID = 0
@@ -129,11 +129,9 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in in_chunks(texts, 2_000_000):
-                ids, off = enc.encode(texts[lo:hi])
-                ids = np.insert(ids, off[1:], end_id).astype("<u4")
-                off = off + np.arange(len(off))
+            for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
+                ids, off = enc.encode(text, end_id)
+                ids = ids.astype("<u4", copy=False)
                 raw = memoryview(ids).cast("B")
                 row, start, length, crc, total, rank, rest = [], [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):

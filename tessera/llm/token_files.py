@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import documents, saved, shared_dir
-from .tokens import encoder, in_chunks, release, vocabulary_path
+from .common import documents, saved, shared_dir, slices
+from .tokens import SLICE_BYTES, encoder, release, vocabulary_path
 
 MAGIC = b"TRP1"
 _HEAD = struct.Struct("<4sIIIII")
@@ -33,7 +33,7 @@ WIDTH = 1 << 16
 END_ID = 2
 
 
-def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 5, least: int = 12, most: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, least: int = 12, most: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and the documents' ends among the symbols. ends: the place after each document's last id."""
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)
@@ -191,11 +191,11 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
         held = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_chunks(texts, 2_000_000):
-                some, off = enc.encode(texts[lo:hi])
-                ids.append(np.insert(some, off[1:], end_id))
-                sizes.append(np.diff(off) + 1)
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
+                some, off = enc.encode(text, end_id)
+                ids.append(some)
+                sizes.append(np.diff(off))
                 names += doc_ids[lo:hi]
                 held += len(ids[-1])
                 if held >= shard_ids:

@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files
+from tessera.llm.common import text_of
 from tessera.llm.packing import Plan, packed
 from tessera.llm.tokens import Encoder, vocabulary_path
 
@@ -21,10 +23,15 @@ def exact(library, text):
 
 
 def test_memo_gives_the_library_ids(library):
+    rng = np.random.default_rng(4)
+    marks = ["a", "Bé", "é", "\n", " ", ".", ",", "'s", "3", "\t", "\xa0", "“", "\u3000", "\x1c", "漢", "<|endoftext|>", "-", "it's", " the"]
+    made = ["".join(rng.choice(marks, int(n), p=[0.12] * 5 + [0.4 / 14] * 14)) for n in rng.integers(0, 40, 400)]
     for enc in (Encoder(vocabulary_path()), Encoder(vocabulary_path(), memo=1)):
-        for _ in range(2):
-            ids, off = enc.encode(ODD)
-            assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [exact(library, t) for t in ODD]
+        for texts in (ODD, made, [], [None], made):
+            ids, off = enc.encode(text_of(pa.array(texts, pa.string())))
+            assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [exact(library, t) for t in texts]
+            ids, off = enc.encode(text_of(pa.array(texts, pa.string())), 7)
+            assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [[*exact(library, t), 7] for t in texts]
 
 
 def rows(spark, texts, ids=None):
