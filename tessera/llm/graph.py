@@ -1,7 +1,11 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, all in DataFrames."""
+"""Pairs within groups, and connected components of an edge table by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +33,73 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows (s, node, ...) of groups s that hold two classes at least, with the node's class and the group's size."""
+    if classes is None:
+        rows = rows.withColumn("class", F.col("node"))
+    else:
+        known = classes.select(F.col("node").alias("of"), "component")
+        rows = rows.join(known, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node")).drop("of", "component")
+    state = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low <> high").select(F.col("s").alias("live"), "size")
+    return rows.join(state, F.col("s") == F.col("live")).drop("live")
+
+
+def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int], np.ndarray], block: int) -> DataFrame:
+    """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, whose values are near; once per group.
+
+    rows: s, node, value, class, size. A group of more than `block` rows is dealt out as pairs of blocks, so a task never holds more than two
+    blocks of it.
+    """
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
+    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "value", "class")
+    dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+
+    def close(group: np.ndarray) -> Iterator[np.ndarray]:
+        own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
+        cross = group[0, 1] != group[0, 2]
+        for k in range(len(group) - 1):
+            ok = (kind[k + 1 :] != kind[k]) & near(value[k + 1 :], value[k])
+            if cross:
+                ok &= own[k + 1 :] != own[k]
+            other, theirs = node[k + 1 :][ok], value[k + 1 :][ok]
+            if len(other):
+                first = other < node[k]
+                yield np.stack([np.where(first, other, node[k]), np.where(first, node[k], other), np.where(first, theirs, value[k]), np.where(first, value[k], theirs)], axis=1)
+
+    def batch_of(made: list[np.ndarray]) -> pa.RecordBatch:
+        table = np.concatenate(made)
+        return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["a", "b", "x", "y"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        out: list[np.ndarray] = []
+        count = 0
+
+        def flush(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal out, count
+            for made in close(np.concatenate(group)):
+                out.append(made)
+                count += len(made)
+                if count >= 50_000:
+                    yield batch_of(out)
+                    out, count = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+            cuts = [0, *(np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1)) + 1).tolist(), len(table)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and np.any(held[0][0, :3] != table[lo, :3]):
+                    yield from flush(held)
+                    held = []
+                held.append(table[lo:hi])
+        if held:
+            yield from flush(held)
+        if out:
+            yield batch_of(out)
+
+    return dealt.mapInArrow(pairs, "a long, b long, x long, y long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, packing, preferences, quality_rules, secret_scan, token_files, warc
+from . import decontamination, line_dedup, ngram_join, packing, preferences, quality_rules, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(_table(spark, sf_dir, "documents")).select("doc.doc_id", "n_lines", "n_removed", "doc.text")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_secret_scan": op3_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_preferences": op6_preferences,
     "op7_quality_rules": op7_quality_rules,
