@@ -6,8 +6,8 @@ as pivots: the region of a shingle holds the points that have it among their rar
 limit share at least one region (a point's prefix is as long as that needs), which makes the first level exact.
 
 Within a region, pivots are points. Round 0 measures each region's members against one of them; members within the limit form one class,
-and regions that hold a single class are done, however many copies they have. A region of more than `leaf` points is measured against
-further pivots; its points go to the Voronoi cells of their nearest pivots and, by the triangle inequality, also to every cell whose pivot is
+and regions that hold a single class are done, however many copies they have. Regions of more than `leaf` points are measured against
+`PIVOTS` further ones; its points go to the Voronoi cells of their nearest pivots and, by the triangle inequality, also to every cell whose pivot is
 not farther than the nearest one by more than twice the limit; cells are regions again, for `depth` levels. What is left is
 joined pair by pair: pairs of one class, of sizes too different, or with distances to a common pivot that differ by more than the limit are
 skipped; pairs that share fewer rare shingles than a pair within the limit must have are dropped; all others are verified on
@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Text, documents, mixed, saved, slices, words_of
-from .graph import components
+from .graph import components, pairs_within, with_classes
 
 WIDTH = 5
 PERCENT = 75
 SLICE_BYTES = 8_000_000
 #: A shingle is frequent from so many documents on; so many are told to all tasks at most (8 bytes each).
 HOT_LEAST, HOT_MOST = 32, 200_000
-LEAF, DEPTH, PIVOTS, BLOCK = 64, 2, 3, 2048
+LEAF, DEPTH, PIVOTS, BLOCK = 512, 2, 3, 2048
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -154,14 +154,7 @@ class Join:
 
     def _live(self, regions: DataFrame) -> DataFrame:
         """With each point's class; regions of one class are left out."""
-        rows = regions
-        if self.classes is None:
-            rows = rows.withColumn("class", F.col("node"))
-        else:
-            classes = self.classes.select(F.col("node").alias("of"), "component")
-            rows = rows.join(classes, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node")).drop("of", "component")
-        state = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low <> high").select(F.col("s").alias("live"), "size")
-        return saved(rows.join(state, F.col("s") == F.col("live")).drop("live"), "live")
+        return saved(with_classes(regions, self.classes), "live")
 
     def _measure(self, pairs: DataFrame) -> None:
         """Exact distances of new pairs (a < b); links extend the classes."""
@@ -195,12 +188,12 @@ class Join:
                         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
                         yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), lists], ["node", "shingles"])
 
-        found = saved(self.docs.mapInArrow(sets, "node long, shingles array<long>"), "sets")
+        found = self.docs.mapInArrow(sets, "node long, shingles array<long>")
         if wanted is None:
             found = found.join(nodes, "node", "left_semi")
-        second = pairs.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        both = second.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+        x, y = found.alias("x"), found.alias("y")  # the same shuffle serves both joins
+        both = pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node"))
+        shared = both.select("a", "b", F.size(F.array_intersect("x.shingles", "y.shingles")).alias("shared"), (F.size("x.shingles") + F.size("y.shingles")).alias("total"))
         union = F.col("total") - F.col("shared")
         measured = shared.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance"))
         self.tried = saved(self.tried.unionByName(measured).distinct(), "tried")
@@ -218,19 +211,23 @@ class Join:
     def _against(self, live: DataFrame, pivots: DataFrame) -> DataFrame:
         """Pairs of a region's members with its pivot that can be near and aren't of one class."""
         rows = live.join(pivots, F.col("s") == F.col("region")).where((F.col("class") != F.col("pivot_class")) & _near(F.col("n"), F.col("pivot_n"), self.percent))
-        return rows.select(*self._ordered(F.col("node"), F.col("pivot")))
+        return rows.select(*self._ordered(F.col("node"), F.col("pivot")), F.least("n", "pivot_n").alias("m")).distinct()
+
+    def _sharing(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, m: the smaller size) that share as many rare shingles as the limit asks for."""
+        first = pairs.join(self.regions.select("s", "node"), F.col("a") == F.col("node")).select("a", "b", "m", "s")
+        other = self.regions.select(F.col("s").alias("in"), F.col("node").alias("of"))
+        both = first.join(other, (F.col("s") == F.col("in")) & (F.col("b") == F.col("of")))
+        return both.groupBy("a", "b", "m").count().where(F.col("count") >= shared_least(F.col("m"))).select("a", "b")
 
     def _voronoi(self, live: DataFrame, level: int) -> DataFrame:
         """Large regions split into the cells of their pivots: (s, node, n) with new region numbers."""
-        cells = []
-        for k in range(PIVOTS):
-            pivots = saved(self._pivots(live, 100 * level + k), "pivots")
-            rows = live.join(pivots, F.col("s") == F.col("region")).where(F.col("node") != F.col("pivot")).select(*self._ordered(F.col("node"), F.col("pivot")))
-            self._measure(rows)
-            cells.append(pivots.select(F.col("region"), F.col("pivot"), F.lit(k).alias("cell")))
-        every = cells[0]
-        for c in cells[1:]:
-            every = every.unionByName(c)
+        every = self._pivots(live, 100 * level).select("region", "pivot", F.lit(0).alias("cell"))
+        for k in range(1, PIVOTS):
+            every = every.unionByName(self._pivots(live, 100 * level + k).select("region", "pivot", F.lit(k).alias("cell")))
+        every = saved(every, "pivots")
+        rows = live.join(every, F.col("s") == F.col("region")).where(F.col("node") != F.col("pivot"))
+        self._measure(rows.select(*self._ordered(F.col("node"), F.col("pivot"))))
         rows = live.join(every, F.col("s") == F.col("region"))
         rows = rows.select("s", "node", "n", "pivot", "cell", *self._ordered(F.col("node"), F.col("pivot")))
         known = self.tried.select("a", "b", "distance")
@@ -241,57 +238,15 @@ class Join:
         return rows.select(F.xxhash64("s", "cell", F.lit(level)).alias("s"), "node", "n").distinct()
 
     def _leaves(self, live: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b) with the number of shingle regions they share; large leaves count as enough."""
-        percent, block = self.percent, self.block
-        parts = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit(5)), parts)
-        dealt = live.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", own)
-        dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").cast("int").alias("own"), "node", "n", "class")
-        dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[np.ndarray] = []
-            out: list[np.ndarray] = []
-
-            def close(rows: np.ndarray) -> Iterator[np.ndarray]:
-                i, j, mine, node, n, kind = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6]
-                cross = i[0] != j[0]
-                for k in range(len(rows)):
-                    rest = slice(k + 1, None)
-                    ok = (kind[rest] != kind[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-                    if cross:
-                        ok &= mine[rest] != mine[k]
-                    other, m = node[rest][ok], n[rest][ok]
-                    if len(other):
-                        yield np.stack([np.minimum(other, node[k]), np.maximum(other, node[k]), np.minimum(m, n[k])], axis=1)
-
-            def batch_of(made: list[np.ndarray]) -> pa.RecordBatch:
-                t = np.concatenate(made)
-                return pa.RecordBatch.from_arrays([pa.array(t[:, k]) for k in range(3)], ["a", "b", "m"])
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-                cuts = np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1
-                for piece in np.split(rows, cuts):
-                    if held and np.any(held[0][0, :3] != piece[0, :3]):
-                        out.extend(close(np.concatenate(held)))
-                        held = []
-                        if sum(map(len, out)) > 50_000:
-                            yield batch_of(out)
-                            out = []
-                    held.append(piece)
-            if held:
-                out.extend(close(np.concatenate(held)))
-            if out:
-                yield batch_of(out)
-
-        return dealt.mapInArrow(pairs, "a long, b long, m long")
+        """Candidate pairs (a, b, m: the smaller size), once per region they share."""
+        percent = self.percent
+        near = lambda n, k: 100 * np.minimum(n, k) >= percent * np.maximum(n, k)
+        pairs = pairs_within(live.withColumn("value", F.col("n").cast("long")), near, self.block)
+        return pairs.select("a", "b", F.least("x", "y").alias("m"))
 
     def run(self) -> DataFrame:
         live = self._live(self.regions)
-        self._measure(self._against(live, self._pivots(live, 0)))
+        self._measure(self._sharing(self._against(live, self._pivots(live, 0))))
         live, large = self._live(self.regions), []
         big = live.where(F.col("size") > self.leaf)
         for level in range(1, DEPTH + 1):
@@ -301,24 +256,27 @@ class Join:
             large.append(big.where(F.col("size") <= self.leaf) if level < DEPTH else big)
             big = big.where(F.col("size") > self.leaf)
         live = self._live(self.regions) if large else live
-        counted = self._leaves(live.where(F.col("size") <= self.leaf))
-        counted = counted.withColumn("weight", F.lit(1))
-        for part in large:
-            counted = counted.unionByName(self._leaves(part).withColumn("weight", F.lit(1 << 20)))
-        enough = counted.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.min("m").alias("m"))
-        # regions too large to be counted drop nothing: a pair within the limit that shares one comes from its cells, with the weight
-        enough = enough.where(F.col("shared") >= shared_least(F.col("m")))
-        self._measure(self._triangle(enough.select("a", "b"), live) if large else enough.select("a", "b"))
+        counted = self._leaves(live.where(F.col("size") <= self.leaf)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"))
+        if large:
+            # a pair that shares a large region comes from its cells, and all its regions are counted
+            rest = self._leaves(large[0])
+            for part in large[1:]:
+                rest = rest.unionByName(self._leaves(part))
+            rest = self._sharing(saved(self._triangle(rest.distinct()), "rest"))
+            pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b").unionByName(rest)
+        else:
+            pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b")
+        self._measure(pairs)
         return self._answer()
 
-    def _triangle(self, pairs: DataFrame, live: DataFrame) -> DataFrame:
+    def _triangle(self, pairs: DataFrame) -> DataFrame:
         """Without pairs whose distances to a common pivot differ by more than the limit."""
         both = self.tried.select(F.col("a").alias("x"), F.col("b").alias("p"), "distance").unionByName(self.tried.select(F.col("b").alias("x"), F.col("a").alias("p"), "distance"))
         pivots = both.groupBy("p").agg(F.count("*").alias("k")).where(F.col("k") > self.leaf).select(F.col("p").alias("pivot"))
         near = both.join(pivots, F.col("p") == F.col("pivot")).groupBy("x").agg(F.map_from_entries(F.slice(F.array_sort(F.collect_list(F.struct("p", "distance"))), 1, 64)).alias("d"))
         rows = pairs.join(near.select(F.col("x").alias("a"), F.col("d").alias("da")), "a", "left").join(near.select(F.col("x").alias("b"), F.col("d").alias("db")), "b", "left")
         apart = F.exists(F.map_entries("da"), lambda e: F.abs(e["value"] - F.try_element_at("db", e["key"])) > self.limit + 1e-9)
-        return rows.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+        return rows.where(~F.coalesce(apart, F.lit(False))).select("a", "b", "m")
 
     def _answer(self) -> DataFrame:
         rows = self.members
