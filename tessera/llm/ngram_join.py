@@ -11,7 +11,7 @@ and regions that hold a single class are done, however many copies they have. Re
 not farther than the nearest one by more than twice the limit; cells are regions again, for `depth` levels. What is left is
 joined pair by pair: pairs of one class, of sizes too different, or with distances to a common pivot that differ by more than the limit are
 skipped; pairs that share fewer rare shingles than a pair within the limit must have are dropped; all others are verified on
-their whole sets. A leaf that stays large is dealt out in blocks.
+their whole sets. Before that, points that share too few of their rare shingles with all others together are left out: they are within the limit of none. A leaf that stays large is dealt out in blocks.
 
 Shingles and sets are 64-bit hashes. No bound drops a pair: `hot_most` bounds the frequent shingles that are told to all tasks, which
 only orders prefixes.
@@ -37,6 +37,8 @@ PERCENT = 75
 SLICE_BYTES = 8_000_000
 #: A shingle is frequent from so many documents on; so many are told to all tasks at most (8 bytes each).
 HOT_LEAST, HOT_MOST = 32, 200_000
+RUN_SHINGLES = 4_000_000
+FREE = 1 << 29
 LEAF, DEPTH, PIVOTS, BLOCK = 512, 2, 3, 2048
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,7 +55,7 @@ def shingle_sets(text: Text, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
         if k >= width:
             parts.append(np.unique(rolled[a : a + k - width + 1]))
         elif k:
-            parts.append(mixed(np.array([(h[a : a + k] * _TURN[:k]).sum() + _TURN[32 + k]], np.uint64)))
+            parts.append(mixed(np.array([(h[a : a + k] * _TURN[:k]).sum()], np.uint64) + _TURN[32 + k : 33 + k]))
         else:
             parts.append(h[:0])
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -67,18 +69,28 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document; after each slice also the shingles that several of its documents have, with times."""
+    """A row per document; after each run of documents also the shingles that several of them have, with times."""
     names = ["doc_id", "n", "sig", "shingle", "times"]
+    held: list[np.ndarray] = []
+
+    def often() -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        some = times >= 2
+        none = pa.nulls(int(some.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(values[some].view(np.int64)), pa.array(times[some])], names)
+
     for batch in batches:
         for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
             flat, at = shingle_sets(text)
             n = np.diff(at)
             none = pa.nulls(hi - lo, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signatures(flat, at).view(np.int64), mask=n == 0), none, none], names)
-            values, times = np.unique(flat, return_counts=True)
-            often = times >= 2
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(values[often].view(np.int64)), pa.array(times[often])], names)
+            held.append(flat)
+            if sum(map(len, held)) > RUN_SHINGLES:
+                yield often()
+    if held:
+        yield often()
 
 
 def shared_least(n: Column | np.ndarray):
@@ -86,9 +98,9 @@ def shared_least(n: Column | np.ndarray):
     return n // 16 + 1 if isinstance(n, np.ndarray) else F.floor(n / 16) + 1
 
 
-def prefixes(flat: np.ndarray, at: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest shingles of each set: frequent ones last, by frequency, all others by hash. Two sets that share `percent` of
-    the larger one's shingles share shared_least(of the smaller one) within their prefixes."""
+def prefixes(flat: np.ndarray, at: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of each set (frequent ones last, by frequency, all others by hash), how many those are, and how many of the whole set aren't
+    frequent. Two sets that share `percent` of the larger one's shingles share shared_least(of the smaller one) within their prefixes."""
     order = np.argsort(hot)
     ranked = hot[order]
     place = np.minimum(np.searchsorted(ranked, flat), max(0, len(hot) - 1))
@@ -98,7 +110,8 @@ def prefixes(flat: np.ndarray, at: np.ndarray, hot: np.ndarray, percent: int) ->
     n = np.diff(at)
     size = np.minimum(n, n - -(-n * percent // 100) + shared_least(n))
     out = [flat[a:b][np.argsort(key[a:b], kind="stable")[:k]] for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), size.tolist())]
-    return np.concatenate(out) if out else flat[:0], size
+    few = np.concatenate([[0], np.cumsum(~is_hot)])
+    return np.concatenate(out) if out else flat[:0], size, few[at[1:]] - few[at[:-1]]
 
 
 def _near(n: Column, m: Column, percent: int) -> Column:
@@ -116,13 +129,14 @@ class Join:
         often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= hot_least)
         rows = often.orderBy(F.desc("times"), "shingle").limit(hot_most).collect()
         hot = np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
-        self.regions = self._first_level(self.spark.sparkContext.broadcast(hot))
+        self.regions = self._trimmed(self._first_level(self.spark.sparkContext.broadcast(hot)))
         schema = "a long, b long, near boolean, distance double"
         self.tried = self.spark.createDataFrame([], schema)
         self.classes: DataFrame | None = None
 
     def _first_level(self, hot) -> DataFrame:
-        """(s, node, n): the regions with two points at least."""
+        """(s, node, n, few, rare): the regions with two points at least. few: how many of the point's shingles aren't frequent, -1 if its
+        prefix doesn't have all of those; rare: whether s isn't."""
         percent = self.percent
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +155,44 @@ class Join:
                         continue
                     flat = np.concatenate([flat[at[i] : at[i + 1]] for i in chosen])
                     at = np.concatenate([[0], np.cumsum(n[keep])])
-                    rare, size = prefixes(flat, at, hot.value, percent)
+                    rare, size, few = prefixes(flat, at, hot.value, percent)
+                    # size, how many shingles aren't frequent (if the prefix has them all), and whether this one is
+                    info = n[keep] | np.where(few <= size, few + 1, 0) << 28
+                    place = np.arange(len(rare)) - np.repeat(np.cumsum(size) - size, size)
+                    info = np.repeat(info, size) | (place >= np.repeat(few, size)).astype(np.int64) << 60
                     for lo in range(0, len(rare), 200_000):
                         hi = lo + 200_000
-                        node, count = np.repeat(sig[keep].view(np.int64), size)[lo:hi], np.repeat(n[keep], size)[lo:hi]
-                        yield pa.RecordBatch.from_arrays([pa.array(rare[lo:hi].view(np.int64)), pa.array(node), pa.array(count.astype(np.int32))], ["s", "node", "n"])
+                        node = np.repeat(sig[keep].view(np.int64), size)[lo:hi]
+                        yield pa.RecordBatch.from_arrays([pa.array(rare[lo:hi].view(np.int64)), pa.array(node), pa.array(info[lo:hi])], ["s", "node", "info"])
 
-        rows = self.docs.mapInArrow(emit, "s long, node long, n int")
+        rows = self.docs.mapInArrow(emit, "s long, node long, info long")
         whole = Window.partitionBy("s")
         several = rows.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high")
-        return saved(several.select("s", "node", "n").distinct(), "regions")
+        info, low = F.col("info"), F.lit((1 << 28) - 1)
+        few = F.shiftright(info, 28).bitwiseAND(low) - 1
+        return saved(several.select("s", "node", info.bitwiseAND(low).alias("n"), few.alias("few"), (info < 1 << 60).alias("rare")).distinct(), "regions")
+
+    def _trimmed(self, regions: DataFrame, turns: int = 3) -> DataFrame:
+        """(s, node, n, u): points that share too few of their prefix with all others together go, and then regions of one point, in turns.
+
+        u bounds the shingles that two points share if both have all their infrequent shingles in their prefixes: an infrequent one
+        whose region holds no other point isn't shared by such points. For all other points u is FREE.
+        """
+        n = F.col("n")
+        for _ in range(turns):
+            own = regions.groupBy("node").agg(F.first("n").alias("n"), F.first("few").alias("few"), F.count("*").alias("live"), F.sum(F.col("rare").cast("int")).alias("held"))
+            least = shared_least(F.ceil(n * self.percent / 100))
+            u = F.when(F.col("few") < 0, FREE).otherwise(n - F.col("few") + F.col("held"))
+            own = own.select(F.col("node").alias("of"), u.alias("u"), (F.col("live") >= least).alias("stays"))
+            left = regions.select("s", "node", "n", "few", "rare").join(own.where("stays").select("of", "u"), F.col("node") == F.col("of")).drop("of")
+            whole = Window.partitionBy("s")
+            left = left.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high")
+            regions = saved(left.drop("low", "high"), "trimmed")
+        return regions.select("s", "node", "n", "u")
+
+    def _can(self, n: Column, u: Column, m: Column, v: Column) -> Column:
+        """Whether points of sizes n and m can be within the limit, with bounds u and v on what they share."""
+        return _near(n, m, self.percent) & ((F.greatest(u, v) >= FREE) | ((100 + self.percent) * F.least(u, v) >= self.percent * (n + m)))
 
     def _live(self, regions: DataFrame) -> DataFrame:
         """With each point's class; regions of one class are left out."""
@@ -201,8 +243,8 @@ class Join:
 
     def _pivots(self, live: DataFrame, turn: int) -> DataFrame:
         """One point per region, another one each turn."""
-        point = F.struct("node", "n", "class")
-        return live.groupBy("s").agg(F.min_by(point, F.xxhash64("node", F.lit(turn))).alias("p")).select(F.col("s").alias("region"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.class").alias("pivot_class"))
+        point = F.struct("node", "n", "u", "class")
+        return live.groupBy("s").agg(F.min_by(point, F.xxhash64("node", F.lit(turn))).alias("p")).select(F.col("s").alias("region"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.u").alias("pivot_u"), F.col("p.class").alias("pivot_class"))
 
     @staticmethod
     def _ordered(x: Column, y: Column) -> list[Column]:
@@ -210,7 +252,7 @@ class Join:
 
     def _against(self, live: DataFrame, pivots: DataFrame) -> DataFrame:
         """Pairs of a region's members with its pivot that can be near and aren't of one class."""
-        rows = live.join(pivots, F.col("s") == F.col("region")).where((F.col("class") != F.col("pivot_class")) & _near(F.col("n"), F.col("pivot_n"), self.percent))
+        rows = live.join(pivots, F.col("s") == F.col("region")).where((F.col("class") != F.col("pivot_class")) & self._can(F.col("n"), F.col("u"), F.col("pivot_n"), F.col("pivot_u")))
         return rows.select(*self._ordered(F.col("node"), F.col("pivot")), F.least("n", "pivot_n").alias("m")).distinct()
 
     def _sharing(self, pairs: DataFrame) -> DataFrame:
@@ -229,20 +271,25 @@ class Join:
         rows = live.join(every, F.col("s") == F.col("region")).where(F.col("node") != F.col("pivot"))
         self._measure(rows.select(*self._ordered(F.col("node"), F.col("pivot"))))
         rows = live.join(every, F.col("s") == F.col("region"))
-        rows = rows.select("s", "node", "n", "pivot", "cell", *self._ordered(F.col("node"), F.col("pivot")))
+        rows = rows.select("s", "node", "n", "u", "pivot", "cell", *self._ordered(F.col("node"), F.col("pivot")))
         known = self.tried.select("a", "b", "distance")
         rows = rows.join(known, ["a", "b"], "left").withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
         nearest = F.min("d").over(Window.partitionBy("s", "node"))
         # a partner within the limit, at home in this cell, is at most twice the limit closer to its pivot than to any other
         rows = rows.withColumn("nearest", nearest).where(F.col("d") <= F.col("nearest") + 2 * self.limit + 1e-9)
-        return rows.select(F.xxhash64("s", "cell", F.lit(level)).alias("s"), "node", "n").distinct()
+        return rows.select(F.xxhash64("s", "cell", F.lit(level)).alias("s"), "node", "n", "u").distinct()
 
     def _leaves(self, live: DataFrame) -> DataFrame:
         """Candidate pairs (a, b, m: the smaller size), once per region they share."""
-        percent = self.percent
-        near = lambda n, k: 100 * np.minimum(n, k) >= percent * np.maximum(n, k)
-        pairs = pairs_within(live.withColumn("value", F.col("n").cast("long")), near, self.block)
-        return pairs.select("a", "b", F.least("x", "y").alias("m"))
+        percent, low = self.percent, (1 << 32) - 1
+
+        def near(values: np.ndarray, value: int) -> np.ndarray:
+            n, u, m, v = values & low, values >> 32, value & low, value >> 32
+            return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((np.maximum(u, v) >= FREE) | ((100 + percent) * np.minimum(u, v) >= percent * (n + m)))
+
+        packed = F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+        pairs = pairs_within(live.withColumn("value", packed), near, self.block)
+        return pairs.select("a", "b", F.least(F.col("x").bitwiseAND(F.lit(low)), F.col("y").bitwiseAND(F.lit(low))).alias("m"))
 
     def run(self) -> DataFrame:
         live = self._live(self.regions)
