@@ -2,11 +2,11 @@
 
 Lines are normalised (ASCII lower case, words of letters, digits and non-ASCII characters, single blanks); lines of fewer than `least` words are left alone.
 Equal normalised lines are one point with a 64-bit SimHash of its words. Two points are near if their hashes differ in at most
-`bits` bits and their normalised texts' edit distance is at most a tenth of the longer one's length. Cut into bits + 2 blocks, hashes
+`bits` bits and their word sequences' edit distance is at most a tenth of the longer one's number of words (words are told apart by 20 bits of a hash). Cut into bits + 2 blocks, hashes
 that close agree in two blocks at least, so points are joined on all pairs of blocks (keys of about 2 * 64 / (bits + 2) bits).
 
-In each key's group all members are first compared with one of them; groups that this makes one class are done, however large. Only pairs
-of different classes are then compared, large groups in blocks. Edit distances are verified by the JVM's banded algorithm with growing bands.
+In a key's group of up to `small` points all pairs with close hashes are verified. Of a larger group all members are first compared with one of them; groups that
+this makes one class are done, however large. Only pairs of different classes are then compared, in blocks. Edit distances are verified by the JVM's banded algorithm with growing bands.
 The kept occurrence is the first by doc_id, row and line.
 
 Rows: a null text stays null and has no lines; null doc_ids come last when the kept occurrence is chosen; equal doc_ids are rows of their own; a
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Text, Words, mixed, saved, slices, words_of
+from .common import ALNUM, Text, Words, mixed, saved, slices, words_of
 from .graph import components, pairs_within, with_classes
 
 LEAST_WORDS, BITS, PERCENT = 6, 3, 90
-SLICE_BYTES, BLOCK = 8_000_000, 2048
+SLICE_BYTES, SMALL, BLOCK = 8_000_000, 32, 2048
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -48,29 +48,39 @@ def lines_of(text: Text, least: int) -> tuple[Words, np.ndarray, np.ndarray, np.
     return words, doc[enough], number[enough], first[enough], last[enough]
 
 
-def points_of(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each line's word sequence, and its SimHash."""
+def _sequence(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all the lines' words, one line after the other, and where each line's begin."""
     n = last - first
-    if not len(n):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     ends = np.cumsum(n)
-    which = np.repeat(first - ends + n, n) + np.arange(int(ends[-1]))
-    own = words.hash[which]
-    place = (which - np.repeat(first, n)).astype(np.uint64)
-    heads = ends - n
-    node = mixed(np.add.reduceat(mixed(own + place * _STEP), heads) + n.astype(np.uint64))
-    sim, lo = np.empty(len(n), np.uint64), 0
-    while lo < len(n):  # in runs of about 100,000 words
-        hi = max(lo + 1, int(np.searchsorted(ends, heads[lo] + 100_000, "right")))
-        some = own[heads[lo] : ends[hi - 1]]
-        ones = np.add.reduceat(np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1), heads[lo:hi] - heads[lo], axis=0, dtype=np.int32)
-        sim[lo:hi] = np.packbits(2 * ones > n[lo:hi, None], axis=1).view(np.uint64).ravel()
-        lo = hi
-    return node, sim
+    return words.hash[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)], ends - n
+
+
+def nodes_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each line's word sequence."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    place = (np.arange(len(own)) - np.repeat(heads, n)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(own + place * _STEP), heads) + n.astype(np.uint64))
+
+
+def simhashes_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each line: the bits that more than half of its words' hashes have. Counts are kept in bytes, eight to a number, for runs of up to 255 words."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    runs = -(-n // 255)
+    of = np.cumsum(runs) - runs
+    cut = np.repeat(heads, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(of, runs))
+    out, lanes = np.zeros(len(n), np.uint64), np.uint64(0x0101010101010101)
+    for k in range(8):
+        counts = np.add.reduceat((own >> np.uint64(k)) & lanes, cut).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        many = 2 * np.add.reduceat(counts, of, axis=0) > n[:, None]
+        out |= (many * (np.uint64(1) << np.arange(k, 64, 8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    return out
 
 
-def normalised(text: Text, words: Words, first: int, last: int) -> str:
-    return b" ".join(LOWER[text.data[a:b]].tobytes() for a, b in zip(words.start[first:last].tolist(), words.end[first:last].tolist())).decode()
+def codes_of(own: np.ndarray) -> str:
+    """A character of the supplementary planes for each word (20 bits of its hash), so that edits of words are edits of characters."""
+    return (np.uint64(0x10000) + (own >> np.uint64(44))).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def block_keys(sim: Column, bits: int) -> Column:
@@ -84,7 +94,7 @@ def near_texts(x: Column, y: Column, percent: int) -> Column:
     """Whether the edit distance is within the limit, tried with growing bands."""
     limit = F.floor(F.greatest(F.length(x), F.length(y)) * (100 - percent) / 100).cast("int")
     near = F.when(F.abs(F.length(x) - F.length(y)) > limit, False)
-    for band in (8, 64, 512):
+    for band in (4, 16, 64, 256):
         near = near.when((limit > band) & (F.call_function("levenshtein", x, y, F.lit(band)) >= 0), True)
     return near.otherwise(F.call_function("levenshtein", x, y, limit) >= 0)
 
@@ -92,8 +102,8 @@ def near_texts(x: Column, y: Column, percent: int) -> Column:
 class Lines:
     """docs: row (unique), doc_id, text."""
 
-    def __init__(self, docs: DataFrame, least: int = LEAST_WORDS, bits: int = BITS, percent: int = PERCENT, block: int = BLOCK):
-        self.docs, self.least, self.bits, self.percent, self.block = docs, least, bits, percent, block
+    def __init__(self, docs: DataFrame, least: int = LEAST_WORDS, bits: int = BITS, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK):
+        self.docs, self.least, self.bits, self.percent, self.small, self.block = docs, least, bits, percent, small, block
         self.classes: DataFrame | None = None
         self.near: DataFrame | None = None
 
@@ -101,18 +111,21 @@ class Lines:
             for batch in batches:
                 for lo, _, text in slices(batch.column(2), SLICE_BYTES):
                     words, doc, number, first, last = lines_of(text, least)
-                    node, sim = points_of(words, first, last)
+                    own, heads = _sequence(words, first, last)
+                    node, sim = nodes_of(own, heads, last - first), simhashes_of(own, heads, last - first)
                     at = pa.array(doc + lo)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64))], ["row", "doc_id", "line", "node", "sim"])
 
         self.lines = saved(docs.mapInArrow(emit, "row long, doc_id long, line int, node long, sim long"), "lines")
         points = self.lines.groupBy("node").agg(F.first("sim").alias("sim"))
-        keyed = points.select("node", "sim", F.explode(block_keys(F.col("sim"), bits)).alias("s"))
-        several = keyed.withColumn("size", F.count("*").over(Window.partitionBy("s"))).where("size > 1").drop("size")
-        self.groups = saved(several.select("s", "node", F.col("sim").alias("value")), "groups")
+        keyed = points.select("node", F.col("sim").alias("value"), F.explode(block_keys(F.col("sim"), bits)).alias("s"))
+        whole = Window.partitionBy("s")
+        several = keyed.withColumn("size", F.count("*").over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
+        far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > bits)
+        self.groups = saved(several.where((F.col("size") > 1) & ~far).select("s", "node", "value", "size"), "groups")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, norm) of the given points, made again from the documents; a point may come more than once."""
+        """(node, codes) of the given points, made again from the documents; a point may come more than once."""
         count, least = nodes.count(), self.least
         wanted = None
         if count <= 2_000_000:  # 16 MB at most; beyond that, all lines are made and joined
@@ -123,7 +136,8 @@ class Lines:
             for batch in batches:
                 for _, _, text in slices(batch.column(2), SLICE_BYTES):
                     words, _, _, first, last = lines_of(text, least)
-                    node = points_of(words, first, last)[0].view(np.int64) if wanted is None or len(wanted.value) else np.zeros(0, np.int64)
+                    own, heads = _sequence(words, first, last)
+                    node = nodes_of(own, heads, last - first).view(np.int64)
                     which = np.arange(len(node))
                     if wanted is not None and len(node):
                         at = np.minimum(np.searchsorted(wanted.value, node), len(wanted.value) - 1)
@@ -135,9 +149,9 @@ class Lines:
                             rows.append(i)
                     if len(seen) > 1_000_000:
                         seen.clear()  # repeats are harmless
-                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array([normalised(text, words, first[i], last[i]) for i in rows], pa.string())], ["node", "norm"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array([codes_of(own[heads[i] : heads[i] + last[i] - first[i]]) for i in rows], pa.string())], ["node", "codes"])
 
-        found = self.docs.mapInArrow(emit, "node long, norm string")
+        found = self.docs.mapInArrow(emit, "node long, codes string")
         return found if wanted is not None else found.join(nodes, "node", "left_semi")
 
     def _verify(self, pairs: DataFrame) -> None:
@@ -149,20 +163,22 @@ class Lines:
         texts = self._texts(nodes)
         x, y = texts.alias("x"), texts.alias("y")  # the same shuffle serves both joins
         both = pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node"))
-        near = both.where(near_texts(F.col("x.norm"), F.col("y.norm"), self.percent)).select("a", "b").distinct()
+        near = both.where(near_texts(F.col("x.codes"), F.col("y.codes"), self.percent)).select("a", "b").distinct()
         self.near = saved(near if self.near is None else self.near.unionByName(near), "near")
         self.classes = saved(components(self.near), "classes")
 
     def link(self) -> None:
         """Finds the classes of near-equal lines."""
         bits = self.bits
-        live = saved(with_classes(self.groups, None), "live")
-        pivots = live.groupBy("s").agg(F.min(F.struct("node", "value")).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"))
-        stars = live.join(pivots, F.col("s") == F.col("group")).where((F.col("node") != F.col("pivot")) & (F.bit_count(F.col("value").bitwiseXOR(F.col("pivot_value"))) <= bits))
-        self._verify(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        live = saved(with_classes(self.groups, self.classes), "live")
         near = lambda v, k: np.bitwise_count((v ^ k).view(np.uint64)) <= bits
-        self._verify(pairs_within(live, near, self.block).select("a", "b"))
+        small = self.groups.where(F.col("size") <= self.small).withColumn("class", F.col("node"))
+        large = self.groups.where(F.col("size") > self.small)
+        pivots = large.groupBy("s").agg(F.min(F.struct("node", "value")).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"))
+        stars = large.join(pivots, F.col("s") == F.col("group")).where((F.col("node") != F.col("pivot")) & (F.bit_count(F.col("value").bitwiseXOR(F.col("pivot_value"))) <= bits))
+        self._verify(pairs_within(small, near, self.block).select("a", "b").unionByName(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))))
+        live = saved(with_classes(large.drop("size"), self.classes), "live")
+        if not live.isEmpty():
+            self._verify(pairs_within(live, near, self.block).select("a", "b"))
 
     def removed(self) -> DataFrame:
         """(row, lines): numbers of the lines that go."""

@@ -17,7 +17,7 @@ def words(line):
 @lru_cache(None)
 def simhash(norm):
     h = words_of(text_of(pa.array([norm])), ALNUM).hash.tolist()
-    return [2 * sum(int.from_bytes(x.to_bytes(8, "little"), "big") >> b & 1 for x in h) > len(h) for b in range(64)]
+    return [2 * sum(x >> b & 1 for x in h) > len(h) for b in range(64)]
 
 
 @lru_cache(None)
@@ -42,7 +42,7 @@ def brute(docs, least=6):
 
     for i, a in enumerate(norms):
         for b in norms[:i]:
-            if sum(x != y for x, y in zip(simhash(a), simhash(b))) <= 3 and 10 * distance(a, b) <= max(len(a), len(b)):
+            if sum(x != y for x, y in zip(simhash(a), simhash(b))) <= 3 and 10 * distance(tuple(a.split()), tuple(b.split())) <= max(len(a.split()), len(b.split())):
                 root[find(a)] = find(b)
     stays = {}
     for x in sorted(lines):
@@ -62,7 +62,7 @@ def docs():
     return [(None if i % 9 == 4 else 1000 - i if i % 7 else 5, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 4}])
+@pytest.mark.parametrize("options", [{}, {"block": 4, "small": 2}])
 def test_lines_against_brute_force(spark, docs, options):
     df = spark.createDataFrame([(d, t, 3, "x") for d, t in docs], "doc_id long, text string, line int, row string").coalesce(1)
     got = line_dedup.deduped(df, **options).select("doc.doc_id", "doc.text", "n_removed", "doc.line").collect()
