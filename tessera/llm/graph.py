@@ -46,8 +46,8 @@ def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(state, F.col("s") == F.col("live")).drop("live")
 
 
-def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int], np.ndarray], block: int) -> DataFrame:
-    """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, whose values are near; once per group.
+def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int, np.ndarray, int], np.ndarray], block: int) -> DataFrame:
+    """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
 
     rows: s, node, value, class, size. A group of more than `block` rows is dealt out as pairs of blocks, so a task never holds more than two
     blocks of it.
@@ -61,10 +61,12 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int], np.ndarray],
         own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
         cross = group[0, 1] != group[0, 2]
         for k in range(len(group) - 1):
-            ok = (kind[k + 1 :] != kind[k]) & near(value[k + 1 :], value[k])
+            ok = kind[k + 1 :] != kind[k]
             if cross:
                 ok &= own[k + 1 :] != own[k]
-            other, theirs = node[k + 1 :][ok], value[k + 1 :][ok]
+            some = np.flatnonzero(ok) + k + 1
+            some = some[near(value[some], value[k], node[some], node[k])] if len(some) else some
+            other, theirs = node[some], value[some]
             if len(other):
                 first = other < node[k]
                 yield np.stack([np.where(first, other, node[k]), np.where(first, node[k], other), np.where(first, theirs, value[k]), np.where(first, value[k], theirs)], axis=1)

@@ -170,7 +170,7 @@ class Lines:
     def link(self) -> None:
         """Finds the classes of near-equal lines."""
         bits = self.bits
-        near = lambda v, k: np.bitwise_count((v ^ k).view(np.uint64)) <= bits
+        near = lambda v, k, _, __: np.bitwise_count((v ^ k).view(np.uint64)) <= bits
         small = self.groups.where(F.col("size") <= self.small).withColumn("class", F.col("node"))
         large = self.groups.where(F.col("size") > self.small)
         pivots = large.groupBy("s").agg(F.min(F.struct("node", "value")).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"))

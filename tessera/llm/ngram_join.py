@@ -10,7 +10,7 @@ and regions that hold a single class are done, however many copies they have. Re
 `PIVOTS` further ones; its points go to the Voronoi cells of their nearest pivots and, by the triangle inequality, also to every cell whose pivot is
 not farther than the nearest one by more than twice the limit; cells are regions again, for `depth` levels. What is left is
 joined pair by pair: pairs of one class, of sizes too different, or with distances to a common pivot that differ by more than the limit are
-skipped; pairs that share fewer rare shingles than a pair within the limit must have are dropped; all others are verified on
+skipped, as are pairs whose bucket counts (a contraction of the metric) are too far apart; pairs that share fewer rare shingles than a pair within the limit must have are dropped; all others are verified on
 their whole sets. Before that, points that share too few of their rare shingles with all others together are left out: they are within the limit of none. A leaf that stays large is dealt out in blocks.
 
 Shingles and sets are 64-bit hashes. No bound drops a pair: `hot_most` bounds the frequent shingles that are told to all tasks, which
@@ -39,7 +39,8 @@ SLICE_BYTES = 8_000_000
 HOT_LEAST, HOT_MOST = 32, 200_000
 RUN_SHINGLES = 4_000_000
 FREE = 1 << 29
-LEAF, DEPTH, PIVOTS, BLOCK = 512, 2, 3, 2048
+BUCKETS = 256
+LEAF, DEPTH, PIVOTS, BLOCK = 4096, 2, 3, 2048
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,9 +69,15 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * _TURN[63])
 
 
+def sketches_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per set, how many of its shingles fall into each of BUCKETS buckets (255 at most). Two sketches' distance in sum is at most the sets' symmetric difference."""
+    cell = np.repeat(np.arange(len(at) - 1), np.diff(at)) * BUCKETS + ((flat >> np.uint64(17)) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=(len(at) - 1) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; after each run of documents also the shingles that several of them have, with times."""
-    names = ["doc_id", "n", "sig", "shingle", "times"]
+    names = ["doc_id", "n", "sig", "sketch", "shingle", "times"]
     held: list[np.ndarray] = []
 
     def often() -> pa.RecordBatch:
@@ -78,14 +85,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         some = times >= 2
         none = pa.nulls(int(some.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(values[some].view(np.int64)), pa.array(times[some])], names)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(values[some].view(np.int64)), pa.array(times[some])], names)
 
     for batch in batches:
         for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
             flat, at = shingle_sets(text)
             n = np.diff(at)
             none = pa.nulls(hi - lo, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signatures(flat, at).view(np.int64), mask=n == 0), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signatures(flat, at).view(np.int64), mask=n == 0), pa.array([x.tobytes() for x in sketches_of(flat, at)], pa.binary()), none, none], names)
             held.append(flat)
             if sum(map(len, held)) > RUN_SHINGLES:
                 yield often()
@@ -124,7 +131,8 @@ class Join:
         self.docs, self.percent, self.leaf, self.block = docs, percent, leaf, block
         self.limit = 1 - percent / 100
         self.spark = docs.sparkSession
-        profile = saved(docs.mapInArrow(_profile, "doc_id long, n long, sig long, shingle long, times long"), "profile")
+        profile = saved(docs.mapInArrow(_profile, "doc_id long, n long, sig long, sketch binary, shingle long, times long"), "profile")
+        self.profile = profile
         self.members = profile.where("shingle is null").select("doc_id", "n", "sig")
         often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= hot_least)
         rows = often.orderBy(F.desc("times"), "shingle").limit(hot_most).collect()
@@ -279,13 +287,34 @@ class Join:
         rows = rows.withColumn("nearest", nearest).where(F.col("d") <= F.col("nearest") + 2 * self.limit + 1e-9)
         return rows.select(F.xxhash64("s", "cell", F.lit(level)).alias("s"), "node", "n", "u").distinct()
 
+    def _sketches(self, live: DataFrame):
+        """The live points' sketches, names ascending, for all tasks; none where they are too many (they only spare counting)."""
+        nodes = live.select("node").distinct()
+        found = self.profile.where("sig is not null").join(nodes, F.col("sig") == F.col("node"), "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+        found = saved(found, "sketches")
+        count = found.count()
+        if not count or count > 200_000:  # 51 MB at most
+            return None
+        names, table = np.empty(count, np.int64), np.empty((count, BUCKETS), np.uint8)
+        for i, row in enumerate(found.orderBy("sig").toLocalIterator()):
+            names[i], table[i] = row["sig"], np.frombuffer(row["sketch"], np.uint8)
+        return self.spark.sparkContext.broadcast((names, table))
+
     def _leaves(self, live: DataFrame) -> DataFrame:
         """Candidate pairs (a, b, m: the smaller size), once per region they share."""
-        percent, low = self.percent, (1 << 32) - 1
+        percent, low, sketches = self.percent, (1 << 32) - 1, self._sketches(live)
 
-        def near(values: np.ndarray, value: int) -> np.ndarray:
+        def near(values: np.ndarray, value: int, nodes: np.ndarray, node: int) -> np.ndarray:
             n, u, m, v = values & low, values >> 32, value & low, value >> 32
-            return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((np.maximum(u, v) >= FREE) | ((100 + percent) * np.minimum(u, v) >= percent * (n + m)))
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((np.maximum(u, v) >= FREE) | ((100 + percent) * np.minimum(u, v) >= percent * (n + m)))
+            if sketches is not None:
+                names, table = sketches.value
+                own, some = table[np.searchsorted(names, node)].astype(np.int16), np.flatnonzero(ok)
+                for lo in range(0, len(some), 2048):
+                    part = some[lo : lo + 2048]
+                    apart = np.abs(table[np.searchsorted(names, nodes[part])] - own).sum(axis=1)
+                    ok[part] = (100 + percent) * apart <= (100 - percent) * (n[part] + m)
+            return ok
 
         packed = F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
         pairs = pairs_within(live.withColumn("value", packed), near, self.block)
