@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, STRIDE, WIDTH, CLASSES = 32, 24, 16, 128
+WINDOW, STRIDE, WIDTH, CLASSES = 32, 26, 16, 96
 CHUNK = 128
 
 

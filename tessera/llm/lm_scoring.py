@@ -29,11 +29,11 @@ from . import attention
 from .common import LOWER, Text, documents, saved, slices, words_of
 from .tokens import encoder, release, vocabulary_path
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 #: Each round takes the texts whose number in the block has another remainder by SHARE.
-ROUNDS, SHARE = 2, 16
+ROUNDS, SHARE = 2, 48
 UNIGRAM = 0.3
-OWN_CLASSES, BUCKETS = 48, 16
+OWN_CLASSES, BUCKETS = 32, 16
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, n_words binary, low binary, high binary, hashes binary, train binary, subs binary, sub_counts binary, train_tokens long"
 
 
@@ -45,15 +45,21 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Blocks of about BLOCK_BYTES of text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, count = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, count = encoder(vocabulary, 600_000), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, text in slices(batch.column(1), BLOCK_BYTES):
                 words = words_of(text)
-                hashes, where, word, times = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
+                by_hash = np.argsort(words.hash)
+                ordered = words.hash[by_hash]
+                heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+                times = np.diff(np.append(heads, len(ordered)))
                 order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress well
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                word, hashes, where = rank[word].astype(np.uint32), hashes[order], where[order]
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                word = np.empty(len(ordered), np.uint32)
+                word[by_hash] = np.repeat(rank, times)
+                hashes, where = ordered[heads][order], by_hash[heads][order]
+                del by_hash, ordered
                 start, size = words.start[where], (words.end - words.start)[where]
                 ends = np.cumsum(size + 1)
                 # the block's distinct words, each after a blank
@@ -74,7 +80,6 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                     }
                 )
                 count += 1
-        release()
 
     return saved(docs.mapInArrow(encode, _BLOCK), "blocks")
 
