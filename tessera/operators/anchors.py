@@ -32,29 +32,35 @@ def tag_pairs(kinds: Column) -> Column:
     start = F.struct(F.array().cast("array<struct<i:int,name:string>>").alias("open"), F.array().cast("array<struct<a:int,b:int>>").alias("pairs"))
 
     def step(x: Column, tag: Column) -> Column:
-        names = F.reverse(F.transform(x["open"], lambda o: o["name"]))
-        back = F.array_position(names, tag["name"]).cast("int")
-        size = F.size(x["open"])
-        at = size - back  # of the open tag, from 0
         opener = F.struct(tag["i"].alias("i"), tag["name"].alias("name"))
-        closed = F.struct(F.concat(F.slice(x["open"], F.lit(1), at), F.slice(x["open"], at + 2, size)).alias("open"), F.concat(x["pairs"], F.array(F.struct(F.get(x["open"], at)["i"].alias("a"), tag["i"].alias("b")))).alias("pairs"))
         opened = F.struct(F.concat(x["open"], F.array(opener)).alias("open"), x["pairs"].alias("pairs"))
-        return F.when(tag["kind"] == "o", opened).when((tag["kind"] == "c") & (back > 0), closed).otherwise(x)
+
+        def close(back: Column) -> Column:
+            size = F.size(x["open"])
+            at = size - back  # of the open tag, from 0
+            pair = F.struct(F.get(x["open"], at)["i"].alias("a"), tag["i"].alias("b"))
+            left = F.concat(F.slice(x["open"], F.lit(1), at), F.slice(x["open"], at + 2, size))
+            return F.when(back > 0, F.struct(left.alias("open"), F.concat(x["pairs"], F.array(pair)).alias("pairs"))).otherwise(x)
+
+        back = F.array_position(F.reverse(F.transform(x["open"], lambda o: o["name"])), tag["name"]).cast("int")
+        return F.when(tag["kind"] == "o", opened).when(tag["kind"] == "c", _let(back, close)).otherwise(x)
 
     return F.array_sort(F.aggregate(kinds, start, step, lambda x: x["pairs"]))
 
 
 def placeholders(n_tags: Column, pairs: Column) -> Column:
     """Per tag its token: <tN> and </tN> for the N-th pair by opening tag, <sN/> for the N-th of the others."""
-    opens, closes = F.transform(pairs, lambda p: p["a"]), F.transform(pairs, lambda p: p["b"])
     every = F.when(n_tags > 0, F.sequence(F.lit(0), n_tags - 1)).otherwise(F.array().cast("array<int>"))
-    single = F.array_except(every, F.concat(opens, closes))
 
-    def token(i: Column) -> Column:
-        a, b = F.array_position(opens, i), F.array_position(closes, i)
-        return F.when(a > 0, F.concat(F.lit("<t"), a, F.lit(">"))).when(b > 0, F.concat(F.lit("</t"), b, F.lit(">"))).otherwise(F.concat(F.lit("<s"), F.array_position(single, i), F.lit("/>")))
+    def numbered_tags(opens: Column, closes: Column, single: Column) -> Column:
+        def token(i: Column) -> Column:
+            a, b = F.array_position(opens, i), F.array_position(closes, i)
+            return F.when(a > 0, F.concat(F.lit("<t"), a, F.lit(">"))).when(b > 0, F.concat(F.lit("</t"), b, F.lit(">"))).otherwise(F.concat(F.lit("<s"), F.array_position(single, i), F.lit("/>")))
+
+        return F.transform(every, token)
 
-    return F.transform(every, token)
+    side = lambda k: F.transform(pairs, lambda p: p[k])
+    return _let(side("a"), lambda o: _let(side("b"), lambda c: _let(F.array_except(every, F.concat(o, c)), lambda s: numbered_tags(o, c, s))))
 
 
 def _mapping(tokens: Column, tags: Column, pairs: Column) -> Column:
@@ -76,11 +82,14 @@ def simplified(line: Column, ends: Column) -> Column:
     def build(t: Column) -> Column:
         def with_pairs(p: Column) -> Column:
             def with_tokens(k: Column) -> Column:
-                whole = joined_pieces(gaps, k)
                 mapping = F.when(F.size(t) > 0, _mapping(k, t, p)).otherwise(F.array().cast(MAPPING))
-                blank = F.regexp_extract(whole, rf"(?U)^({SPACE}*)", 1)
-                after = F.regexp_extract(whole, rf"(?U)({SPACE}*)\z", 1)
-                return F.struct(trimmed(whole).alias("text"), mapping.alias("mapping"), blank.alias("indent"), F.concat(after, F.when(ends, "\n").otherwise("")).alias("trailing"))
+
+                def parts(whole: Column) -> Column:
+                    blank = F.regexp_extract(whole, rf"(?U)^({SPACE}*)", 1)
+                    after = F.regexp_extract(whole, rf"(?U)({SPACE}*)\z", 1)
+                    return F.struct(trimmed(whole).alias("text"), mapping.alias("mapping"), blank.alias("indent"), F.concat(after, F.when(ends, "\n").otherwise("")).alias("trailing"))
+
+                return _let(joined_pieces(gaps, k), parts)
 
             return _let(placeholders(F.size(t), p), with_tokens)
 
