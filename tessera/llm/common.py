@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SEED = np.random.default_rng(20240229)
 #: Odd multiplier and random byte values of the word hash; fixed so that every executor agrees.
@@ -40,6 +41,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has at most so many rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, by their internal names; all others (clashing names too) are left out."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

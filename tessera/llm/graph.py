@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded, saved
+
+#: Up to so many rows a group's pairs are made along with those of all other such groups.
+SMALL = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,13 +43,13 @@ def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         rows = rows.withColumn("class", F.col("node"))
     else:
-        known = classes.select(F.col("node").alias("of"), "component")
+        known = bounded(classes).select(F.col("node").alias("of"), "component")
         rows = rows.join(known, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node")).drop("of", "component")
     state = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low <> high").select(F.col("s").alias("live"), "size")
     return rows.join(state, F.col("s") == F.col("live")).drop("live")
 
 
-def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int, np.ndarray, int], np.ndarray], block: int) -> DataFrame:
+def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int, np.ndarray, np.ndarray | int], np.ndarray], block: int) -> DataFrame:
     """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
 
     rows: s, node, value, class, size. A group of more than `block` rows is dealt out as pairs of blocks, so a task never holds more than two
@@ -57,7 +60,12 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int, np.ndarray, i
     dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "value", "class")
     dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
 
-    def close(group: np.ndarray) -> Iterator[np.ndarray]:
+    def ordered(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        first = a < b
+        return np.stack([np.where(first, a, b), np.where(first, b, a), np.where(first, x, y), np.where(first, y, x)], axis=1)
+
+    def of_large(group: np.ndarray) -> Iterator[np.ndarray]:
+        """Each row against all after it."""
         own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
         cross = group[0, 1] != group[0, 2]
         for k in range(len(group) - 1):
@@ -66,42 +74,51 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, int, np.ndarray, i
                 ok &= own[k + 1 :] != own[k]
             some = np.flatnonzero(ok) + k + 1
             some = some[near(value[some], value[k], node[some], node[k])] if len(some) else some
-            other, theirs = node[some], value[some]
-            if len(other):
-                first = other < node[k]
-                yield np.stack([np.where(first, other, node[k]), np.where(first, node[k], other), np.where(first, theirs, value[k]), np.where(first, value[k], theirs)], axis=1)
-
-    def batch_of(made: list[np.ndarray]) -> pa.RecordBatch:
-        table = np.concatenate(made)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["a", "b", "x", "y"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        out: list[np.ndarray] = []
-        count = 0
-
-        def flush(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal out, count
-            for made in close(np.concatenate(group)):
-                out.append(made)
-                count += len(made)
-                if count >= 50_000:
-                    yield batch_of(out)
-                    out, count = [], 0
-
+            if len(some):
+                yield ordered(node[some], np.full(len(some), node[k]), value[some], np.full(len(some), value[k]))
+
+    def of_small(table: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
+        """All groups at once: rows against those one, two, ... places behind, while any group is that long."""
+        node, value, kind = table[:, 4], table[:, 5], table[:, 6]
+        first = np.arange(len(table))
+        for k in range(1, SMALL):
+            first = first[first + k < len(table)]
+            first = first[group[first] == group[first + k]]
+            if not len(first):
+                return
+            some = first[kind[first] != kind[first + k]]
+            some = some[near(value[some], value[some + k], node[some], node[some + k])] if len(some) else some
+            if len(some):
+                yield ordered(node[some], node[some + k], value[some], value[some + k])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Runs of whole groups; one that is split over batches comes when it is complete."""
+        rest: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-            cuts = [0, *(np.flatnonzero(np.any(table[1:, :3] != table[:-1, :3], axis=1)) + 1).tolist(), len(table)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if held and np.any(held[0][0, :3] != table[lo, :3]):
-                    yield from flush(held)
-                    held = []
-                held.append(table[lo:hi])
-        if held:
-            yield from flush(held)
-        if out:
-            yield batch_of(out)
+            last = np.flatnonzero(np.any(table[:, :3] != table[-1, :3], axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if rest and np.any(rest[0][0, :3] != table[0, :3]):
+                yield np.concatenate(rest)
+                rest = []
+            if cut:
+                yield np.concatenate([*rest, table[:cut]])
+                rest = []
+            rest.append(table[cut:])
+        if rest:
+            yield np.concatenate(rest)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            heads = np.concatenate([[True], np.any(table[1:, :3] != table[:-1, :3], axis=1)])
+            group = np.cumsum(heads) - 1
+            size = np.bincount(group)[group]
+            few = (size <= SMALL) & (table[:, 1] == table[:, 2])
+            made = [of_small(table[few], group[few])]
+            made += [of_large(table[group == g]) for g in np.unique(group[~few]).tolist()]
+            for part in (x for m in made for x in m):
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, k]) for k in range(4)], ["a", "b", "x", "y"])
 
     return dealt.mapInArrow(pairs, "a long, b long, x long, y long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Text, Words, mixed, saved, slices, words_of
+from .common import ALNUM, Text, Words, bounded, mixed, saved, slices, words_of
 from .graph import components, pairs_within, with_classes
 
 LEAST_WORDS, BITS, PERCENT = 6, 3, 90
@@ -184,12 +184,13 @@ class Lines:
         """(row, lines): numbers of the lines that go."""
         rows = self.lines.select("row", "doc_id", "line", "node")
         if self.classes is not None:
-            known = self.classes.select(F.col("node").alias("of"), "component")
+            known = bounded(self.classes).select(F.col("node").alias("of"), "component")
             rows = rows.join(known, F.col("node") == F.col("of"), "left").withColumn("class", F.coalesce("component", "node"))
         else:
             rows = rows.withColumn("class", F.col("node"))
         place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
         several = rows.groupBy("class").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("key"), F.col("stays.r").alias("r"), F.col("stays.l").alias("l"))
+        several = bounded(saved(several, "stays"))
         gone = rows.join(several, F.col("class") == F.col("key")).where((F.col("row") != F.col("r")) | (F.col("line") != F.col("l")))
         return gone.groupBy("row").agg(F.collect_list("line").alias("lines"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Text, documents, mixed, saved, slices, words_of
+from .common import Text, bounded, documents, mixed, saved, slices, words_of
 from .graph import components, pairs_within, with_classes
 
 WIDTH = 5
@@ -304,16 +304,16 @@ class Join:
         """Candidate pairs (a, b, m: the smaller size), once per region they share."""
         percent, low, sketches = self.percent, (1 << 32) - 1, self._sketches(live)
 
-        def near(values: np.ndarray, value: int, nodes: np.ndarray, node: int) -> np.ndarray:
+        def near(values: np.ndarray, value: np.ndarray | int, nodes: np.ndarray, node: np.ndarray | int) -> np.ndarray:
             n, u, m, v = values & low, values >> 32, value & low, value >> 32
             ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((np.maximum(u, v) >= FREE) | ((100 + percent) * np.minimum(u, v) >= percent * (n + m)))
             if sketches is not None:
                 names, table = sketches.value
-                own, some = table[np.searchsorted(names, node)].astype(np.int16), np.flatnonzero(ok)
+                some, m, node = np.flatnonzero(ok), np.broadcast_to(m, n.shape), np.broadcast_to(node, nodes.shape)
                 for lo in range(0, len(some), 2048):
                     part = some[lo : lo + 2048]
-                    apart = np.abs(table[np.searchsorted(names, nodes[part])] - own).sum(axis=1)
-                    ok[part] = (100 + percent) * apart <= (100 - percent) * (n[part] + m)
+                    x, y = (table[np.searchsorted(names, z[part])].astype(np.int16) for z in (nodes, node))
+                    ok[part] = (100 + percent) * np.abs(x - y).sum(axis=1) <= (100 - percent) * (n[part] + m[part])
             return ok
 
         packed = F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
@@ -357,7 +357,7 @@ class Join:
     def _answer(self) -> DataFrame:
         rows = self.members
         if self.classes is not None:
-            classes = self.classes.select(F.col("node").alias("of"), "component")
+            classes = bounded(self.classes).select(F.col("node").alias("of"), "component")
             rows = rows.join(classes, F.col("sig") == F.col("of"), "left").withColumn("class", F.coalesce("component", "sig"))
         else:
             rows = rows.withColumn("class", F.col("sig"))
