@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, STRIDE, WIDTH, CLASSES = 32, 26, 16, 96
+WINDOW, STRIDE, WIDTH, CLASSES = 32, 28, 16, 80
 CHUNK = 128
 
 
@@ -71,7 +71,7 @@ def _cut(kinds: np.ndarray, first: np.ndarray, text: np.ndarray, ends: np.ndarra
     """Classes at the windows' places, which of them lie in the text, and the places."""
     place = first[:, None] + np.arange(WINDOW)
     known = (place >= text[:, None]) & (place < ends[:, None])
-    return kinds[np.where(known, place, text[:, None])], known, place
+    return kinds.take(np.clip(place, text[:, None], ends[:, None] - 1)), known, place
 
 
 def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -84,14 +84,15 @@ def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, len
         own, known, place = _cut(kinds, first[some], text[some], ends[some])
         logits, _ = forward(p, own, known)
         place, valid = place[:, WINDOW - STRIDE :], known[:, WINDOW - STRIDE :]
-        want = targets[np.where(valid, place, 0)]
-        hit = np.take_along_axis(logits, want[:, :, None], 2)[:, :, 0]
-        with np.errstate(over="ignore"):
-            total = np.exp(logits).sum(axis=2)
-        if not np.isfinite(total).all() or not total.all():
+        want = targets.take(np.minimum(np.maximum(place, 0), len(targets) - 1))
+        flat, size = logits.reshape(-1), logits.shape[2]
+        hit = flat.take(np.arange(want.size) * size + want.ravel()).reshape(want.shape)
+        top = np.float32(0)
+        if not -60 < float(flat.min()) <= float(flat.max()) < 60:  # seldom: exponents that need a shift
             top = logits.max(axis=2)
-            total = np.exp(logits - top[:, :, None]).sum(axis=2)
+            logits -= top[:, :, None]
             hit = hit - top
+        total = np.exp(logits, out=logits).sum(axis=2)
         out[place[valid]] = (hit - np.log(total))[valid]
     return out
 
