@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import SPACE, trimmed
 from .lines import FILE, numbered
 
 # Elements in order of precedence.
@@ -76,3 +77,13 @@ def paragraph_blocks(files: DataFrame) -> DataFrame:
     kind = files.schema["file_ord"].dataType.simpleString()
     found = files.select(*FILE, "html").mapInPandas(_scan, f"book_id string, file_ord {kind}, start_line int, end_line int, text string")
     return numbered(found).withColumn("n_chars", F.length("text"))
+
+
+def plain_simplified(line: Column) -> Column:
+    """Direct mode keeps tags: struct(text, indent, trailing) of a line."""
+    return F.struct(trimmed(line).alias("text"), F.regexp_extract(line, rf"(?U)^({SPACE}*)", 1).alias("indent"), F.regexp_extract(line, rf"(?U)({SPACE}*)\z", 1).alias("trailing"))
+
+
+def plain_restored(text: Column, indent: Column, trailing: Column) -> Column:
+    """Nothing for an empty translation."""
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(indent, text, trailing))

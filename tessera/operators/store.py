@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,10 @@ def loaded_settings(spark: SparkSession, text: str | None) -> DataFrame:
     rows = spark.createDataFrame([(text or "",)], "text string")
     parsed = F.from_json("text", f"history array<struct<{', '.join(c.replace(' ', ':') for c in SETTINGS.split(', '))}>>")
     return rows.select(F.posexplode(parsed["history"]).alias("place", "s")).select("place", "s.*")
+
+
+def settings_text(history: DataFrame, **others: str) -> str:
+    """A settings file's text from a history (at most its ten entries reach the driver) and single values such as folders."""
+    names = [c.split()[0] for c in SETTINGS.split(", ")]
+    entries = [{k: v for k, v in r.asDict().items() if k in names} for r in history.collect()]
+    return json.dumps({"history": entries, **others}, ensure_ascii=False, indent=2)

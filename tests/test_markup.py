@@ -221,3 +221,15 @@ def test_settings(spark):
     assert [r.saved_at for r in store.settings_history(rows).collect()] == list(range(29, 19, -1))
     assert store.loaded_settings(spark, "{broken").count() == 0
     assert store.loaded_settings(spark, '{"history": [{"api_key": "k", "chunk_size": 500}]}').first()["chunk_size"] == 500
+
+
+def test_settings_round_trip(spark):
+    rows = spark.createDataFrame([("k", "u", "m", 0.7, 1)], "api_key string, api_url string, model string, temp double, saved_at int")
+    text = store.settings_text(store.settings_history(rows), output_dir="out")
+    assert json.loads(text)["output_dir"] == "out" and store.loaded_settings(spark, text).first()["model"] == "m"
+
+
+def test_direct_lines(spark):
+    got = one(spark, " \u3000<b>a</b>\t", paragraphs.plain_simplified(F.col("c0")))
+    assert tuple(got) == ("<b>a</b>", " \u3000", "\t")
+    assert one(spark, "x", paragraphs.plain_restored(F.col("c0"), F.lit(" "), F.lit("\n"))) == " x\n" and one(spark, "", paragraphs.plain_restored(F.col("c0"), F.lit(" "), F.lit("\n"))) == ""
