@@ -49,9 +49,12 @@ def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(state, F.col("s") == F.col("live")).drop("live")
 
 
-def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int, np.ndarray, np.ndarray | int], np.ndarray], block: int) -> DataFrame:
+def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int, np.ndarray, np.ndarray | int], np.ndarray], block: int, homes=None) -> DataFrame:
     """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
 
+    homes: a broadcast of (nodes ascending, where each one's groups begin, their numbers ascending), if given a pair comes from the first group
+    that both are in only, for groups of over SMALL rows.
+
     rows: s, node, value, class, size. A group of more than `block` rows is dealt out as pairs of blocks, so a task never holds more than two
     blocks of it.
     """
@@ -67,16 +70,31 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int,
     def of_large(group: np.ndarray) -> Iterator[np.ndarray]:
         """Each row against all after it."""
         own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
-        cross = group[0, 1] != group[0, 2]
+        cross, earlier = group[0, 1] != group[0, 2], None
         for k in range(len(group) - 1):
             ok = kind[k + 1 :] != kind[k]
             if cross:
                 ok &= own[k + 1 :] != own[k]
             some = np.flatnonzero(ok) + k + 1
             some = some[near(value[some], value[k], node[some], node[k])] if len(some) else some
+            if len(some) and homes is not None:
+                earlier = shared_before(node, group[0, 0]) if earlier is None else earlier
+                some = some[~np.any(earlier[some] & earlier[k], axis=1)]
             if len(some):
                 yield ordered(node[some], np.full(len(some), node[k]), value[some], np.full(len(some), value[k]))
 
+    def shared_before(node: np.ndarray, s: int) -> np.ndarray:
+        """Which groups of smaller number each node is in, as a row of booleans."""
+        names, begin, numbers = homes.value
+        at = np.searchsorted(names, node)
+        own = [numbers[begin[i] : begin[i + 1]] for i in at.tolist()]
+        own = [x[: np.searchsorted(x, s)] for x in own]
+        every = np.unique(np.concatenate(own))
+        out = np.zeros((len(node), len(every)), bool)
+        for i, x in enumerate(own):
+            out[i, np.searchsorted(every, x)] = True
+        return out
+
     def of_small(table: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
         """All groups at once: rows against those one, two, ... places behind, while any group is that long."""
         node, value, kind = table[:, 4], table[:, 5], table[:, 6]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Text, bounded, documents, mixed, saved, slices, words_of
-from .graph import components, pairs_within, with_classes
+from .graph import SMALL, components, pairs_within, with_classes
 
 WIDTH = 5
 PERCENT = 75
@@ -40,6 +40,7 @@ HOT_LEAST, HOT_MOST = 32, 200_000
 RUN_SHINGLES = 4_000_000
 FREE = 1 << 29
 BUCKETS = 256
+MOST_NODES, MOST_SKETCHES = 2_000_000, 200_000
 LEAF, DEPTH, PIVOTS, BLOCK = 4096, 2, 3, 2048
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -214,7 +215,7 @@ class Join:
         if not count:
             return
         wanted = None
-        if count <= 2_000_000:  # 16 MB at most; beyond that, all sets are made and joined
+        if count <= MOST_NODES:  # 16 MB at most; beyond that, all sets are made and joined
             wanted = self.spark.sparkContext.broadcast(np.sort(np.fromiter((r["node"] for r in nodes.toLocalIterator()), np.int64, count)))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,15 +294,25 @@ class Join:
         found = self.profile.where("sig is not null").join(nodes, F.col("sig") == F.col("node"), "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
         found = saved(found, "sketches")
         count = found.count()
-        if not count or count > 200_000:  # 51 MB at most
+        if not count or count > MOST_SKETCHES:  # 51 MB at most
             return None
         names, table = np.empty(count, np.int64), np.empty((count, BUCKETS), np.uint8)
         for i, row in enumerate(found.orderBy("sig").toLocalIterator()):
             names[i], table[i] = row["sig"], np.frombuffer(row["sketch"], np.uint8)
         return self.spark.sparkContext.broadcast((names, table))
 
-    def _leaves(self, live: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b, m: the smaller size), once per region they share."""
+    def _homes(self, live: DataFrame):
+        """The regions of the points of large regions, for all tasks; none where they are too many (pairs then come once per region)."""
+        rows = saved(live.where(F.col("size") > SMALL).select("node", "s"), "homes")
+        if rows.count() > 4_000_000:  # 64 MB at most
+            return None
+        table = rows.orderBy("node", "s").toArrow()
+        nodes = table["node"].to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.zeros(0, np.int64)
+        return self.spark.sparkContext.broadcast((nodes[begin], np.append(begin, len(nodes)), table["s"].to_numpy()))
+
+    def _leaves(self, live: DataFrame, homes=None) -> DataFrame:
+        """Candidate pairs (a, b, m: the smaller size), once per region they share, or once in all where homes are given."""
         percent, low, sketches = self.percent, (1 << 32) - 1, self._sketches(live)
 
         def near(values: np.ndarray, value: np.ndarray | int, nodes: np.ndarray, node: np.ndarray | int) -> np.ndarray:
@@ -317,7 +328,7 @@ class Join:
             return ok
 
         packed = F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-        pairs = pairs_within(live.withColumn("value", packed), near, self.block)
+        pairs = pairs_within(live.withColumn("value", packed), near, self.block, homes)
         return pairs.select("a", "b", F.least(F.col("x").bitwiseAND(F.lit(low)), F.col("y").bitwiseAND(F.lit(low))).alias("m"))
 
     def run(self) -> DataFrame:
@@ -332,16 +343,14 @@ class Join:
             large.append(big.where(F.col("size") <= self.leaf) if level < DEPTH else big)
             big = big.where(F.col("size") > self.leaf)
         live = self._live(self.regions) if large else live
-        counted = self._leaves(live.where(F.col("size") <= self.leaf)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"))
-        if large:
-            # a pair that shares a large region comes from its cells, and all its regions are counted
-            rest = self._leaves(large[0])
-            for part in large[1:]:
-                rest = rest.unionByName(self._leaves(part))
-            rest = self._sharing(saved(self._triangle(rest.distinct()), "rest"))
-            pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b").unionByName(rest)
-        else:
-            pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b")
+        # pairs of small regions are counted there; a pair that shares a larger one comes once from it, or from its cells, and is counted by a join
+        counted = self._leaves(live.where(F.col("size") <= SMALL)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"))
+        middle = live.where((F.col("size") > SMALL) & (F.col("size") <= self.leaf))
+        rest = self._leaves(middle, self._homes(middle))
+        for part in large:
+            rest = rest.unionByName(self._triangle(self._leaves(part).distinct()))
+        rest = self._sharing(saved(rest.distinct(), "rest"))
+        pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b").unionByName(rest)
         self._measure(pairs)
         return self._answer()
 

@@ -57,8 +57,15 @@ def rows():
     return [(None if i % 50 == 7 else i if i % 61 else 3, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_least": 3, "leaf": 4, "block": 8}, {"hot_most": 1, "leaf": 2, "block": 4}])
-def test_join_is_exact(spark, rows, options):
+@pytest.mark.parametrize(
+    ("options", "limits"),
+    [({}, {"SMALL": 3}), ({"hot_least": 3, "leaf": 4, "block": 8}, {}), ({"hot_most": 1, "leaf": 1000, "block": 4}, {"SMALL": 2, "MOST_NODES": 0, "MOST_SKETCHES": 0})],
+)
+def test_join_is_exact(spark, rows, options, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+        if name == "SMALL":
+            monkeypatch.setattr(graph, name, value)
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, sig string").repartition(3)
     got = ngram_join.joined(docs, **options).collect()
     want = brute(rows)
