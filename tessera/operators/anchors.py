@@ -101,7 +101,7 @@ def simplified(line: Column, ends: Column) -> Column:
 def anchor_blocks(files: DataFrame) -> DataFrame:
     """Blocks of one line each: text with anchors, mapping, indent, trailing, numbers in file and book."""
     rows = text_lines(files).withColumn("b", simplified(F.col("line"), F.col("ends")))
-    rows = rows.select(*FILE, F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), "b.text", "b.mapping", "b.indent", "b.trailing")
+    rows = rows.select(*FILE, "block_ord", F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), "b.text", "b.mapping", "b.indent", "b.trailing")
     return numbered(rows).withColumn("n_chars", F.length("text"))
 
 

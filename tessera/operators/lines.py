@@ -26,8 +26,12 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def text_lines(files: DataFrame) -> DataFrame:
-    """The lines with readable text."""
-    return lines(files).where(has_text(F.col("line")))
+    """The lines with readable text, numbered in their file (block_ord) within the file's row, so without a shuffle."""
+    n = F.size(F.split("html", "\n"))
+    every = F.transform(F.split("html", "\n"), lambda x, i: F.struct(i.alias("line_idx"), x.alias("line"), (i < n - 1).alias("ends")))
+    rows = files.select(*FILE, every.alias("every"))
+    kept = F.filter("every", lambda s: has_text(s["line"]))
+    return rows.select(*FILE, F.posexplode(kept).alias("block_ord", "s")).select(*FILE, "block_ord", "s.line_idx", "s.line", "s.ends")
 
 
 def offsets(per_file: DataFrame, n: str) -> DataFrame:
@@ -41,7 +45,7 @@ def offsets(per_file: DataFrame, n: str) -> DataFrame:
 
 
 def numbered(blocks: DataFrame, order: Column | str = "start_line") -> DataFrame:
-    """Adds block_ord (in the file) and global_idx (in the book), both dense from 0."""
-    rows = blocks.withColumn("block_ord", F.row_number().over(Window.partitionBy(*FILE).orderBy(order)) - 1)
+    """Adds block_ord (in the file, unless it is there) and global_idx (in the book), both dense from 0."""
+    rows = blocks if "block_ord" in blocks.columns else blocks.withColumn("block_ord", F.row_number().over(Window.partitionBy(*FILE).orderBy(order)) - 1)
     counts = offsets(rows.groupBy(*FILE).agg(F.count("*").alias("n_blocks")), "n_blocks").select(*FILE, "before")
     return rows.join(counts, FILE).withColumn("global_idx", F.col("before") + F.col("block_ord")).drop("before")

@@ -67,15 +67,15 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ends = len(lines)
             else:
                 ends = len(lines) - 1  # the last line has no break
-            for a, b in paragraph_ranges(lines):
-                rows.append((book, file, a, b, "\n".join(lines[a : b + 1]) + ("\n" if b < ends else "")))
-        yield pd.DataFrame(rows, columns=["book_id", "file_ord", "start_line", "end_line", "text"])
+            for k, (a, b) in enumerate(paragraph_ranges(lines)):
+                rows.append((book, file, k, a, b, "\n".join(lines[a : b + 1]) + ("\n" if b < ends else "")))
+        yield pd.DataFrame(rows, columns=["book_id", "file_ord", "block_ord", "start_line", "end_line", "text"])
 
 
 def paragraph_blocks(files: DataFrame) -> DataFrame:
     """Blocks (start_line, end_line, text with its line breaks), numbered in file and book."""
     kind = files.schema["file_ord"].dataType.simpleString()
-    found = files.select(*FILE, "html").mapInPandas(_scan, f"book_id string, file_ord {kind}, start_line int, end_line int, text string")
+    found = files.select(*FILE, "html").mapInPandas(_scan, f"book_id string, file_ord {kind}, block_ord int, start_line int, end_line int, text string")
     return numbered(found).withColumn("n_chars", F.length("text"))
 
 

@@ -72,7 +72,7 @@ def chunk_anchor(spark, sf_dir):
 def _document_blocks(spark, sf_dir):
     """Documents as files whose lines are blocks."""
     docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("book_id"), F.col("doc_id").alias("file_ord"), F.col("text").alias("html"))
-    rows = lines.text_lines(docs).select("book_id", "file_ord", F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), F.concat("line", F.when(F.col("ends"), "\n").otherwise("")).alias("text"))
+    rows = lines.text_lines(docs).select("book_id", "file_ord", "block_ord", F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), F.concat("line", F.when(F.col("ends"), "\n").otherwise("")).alias("text"))
     return lines.numbered(rows).withColumn("n_chars", F.length("text"))
 
 
