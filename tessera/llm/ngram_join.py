@@ -181,20 +181,18 @@ class Join:
         few = F.shiftright(info, 28).bitwiseAND(low) - 1
         return saved(several.select("s", "node", info.bitwiseAND(low).alias("n"), few.alias("few"), (info < 1 << 60).alias("rare")).distinct(), "regions")
 
-    def _trimmed(self, regions: DataFrame, turns: int = 3) -> DataFrame:
+    def _trimmed(self, regions: DataFrame, turns: int = 2) -> DataFrame:
         """(s, node, n, u): points that share too few of their prefix with all others together go, and then regions of one point, in turns.
 
         u bounds the shingles that two points share if both have all their infrequent shingles in their prefixes: an infrequent one
         whose region holds no other point isn't shared by such points. For all other points u is FREE.
         """
-        n = F.col("n")
+        n, own, whole = F.col("n"), Window.partitionBy("node"), Window.partitionBy("s")
+        least = shared_least(F.ceil(n * self.percent / 100))
+        u = F.when(F.col("few") < 0, FREE).otherwise(n - F.col("few") + F.col("held"))
         for _ in range(turns):
-            own = regions.groupBy("node").agg(F.first("n").alias("n"), F.first("few").alias("few"), F.count("*").alias("live"), F.sum(F.col("rare").cast("int")).alias("held"))
-            least = shared_least(F.ceil(n * self.percent / 100))
-            u = F.when(F.col("few") < 0, FREE).otherwise(n - F.col("few") + F.col("held"))
-            own = own.select(F.col("node").alias("of"), u.alias("u"), (F.col("live") >= least).alias("stays"))
-            left = regions.select("s", "node", "n", "few", "rare").join(own.where("stays").select("of", "u"), F.col("node") == F.col("of")).drop("of")
-            whole = Window.partitionBy("s")
+            rows = regions.select("s", "node", "n", "few", "rare").withColumn("live", F.count("*").over(own)).withColumn("held", F.sum(F.col("rare").cast("int")).over(own))
+            left = rows.where(F.col("live") >= least).select("s", "node", "n", "few", "rare", u.alias("u"))
             left = left.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high")
             regions = saved(left.drop("low", "high"), "trimmed")
         return regions.select("s", "node", "n", "u")
