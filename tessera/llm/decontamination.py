@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import ALNUM, Text, saved, shared_dir, slices, text_of, words_of
+from .memory import trimming
 
 WINDOW = 10
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 8_000_000
 BLOCK_CHARS = 16_000_000
 SAMPLE = 16
 
@@ -269,7 +270,7 @@ def found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                     ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(scan, _FOUND)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(trimming(scan), _FOUND)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -303,4 +304,4 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(trimming(cut), docs.schema)

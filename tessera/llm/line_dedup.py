@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, Text, Words, bounded, mixed, saved, slices, words_of
 from .graph import components, pairs_within, with_classes
+from .memory import trimming
 
 LEAST_WORDS, BITS, PERCENT = 6, 3, 90
 SLICE_BYTES, SMALL, BLOCK = 8_000_000, 32, 2048
@@ -116,7 +117,7 @@ class Lines:
                     at = pa.array(doc + lo)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64))], ["row", "doc_id", "line", "node", "sim"])
 
-        self.lines = saved(docs.mapInArrow(emit, "row long, doc_id long, line int, node long, sim long"), "lines")
+        self.lines = saved(docs.mapInArrow(trimming(emit), "row long, doc_id long, line int, node long, sim long"), "lines")
         points = self.lines.groupBy("node").agg(F.first("sim").alias("sim"))
         keyed = points.select("node", F.col("sim").alias("value"), F.explode(block_keys(F.col("sim"), bits)).alias("s"))
         whole = Window.partitionBy("s")
@@ -151,7 +152,7 @@ class Lines:
                         seen.clear()  # repeats are harmless
                     yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array([codes_of(own[heads[i] : heads[i] + last[i] - first[i]]) for i in rows], pa.string())], ["node", "codes"])
 
-        found = self.docs.mapInArrow(emit, "node long, codes string")
+        found = self.docs.mapInArrow(trimming(emit), "node long, codes string")
         return found if wanted is not None else found.join(nodes, "node", "left_semi")
 
     def _verify(self, pairs: DataFrame) -> None:

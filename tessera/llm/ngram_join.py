@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Text, bounded, documents, mixed, saved, slices, words_of
 from .graph import SMALL, components, pairs_within, with_classes
+from .memory import trimming
 
 WIDTH = 5
 PERCENT = 75
@@ -132,7 +133,7 @@ class Join:
         self.docs, self.percent, self.leaf, self.block = docs, percent, leaf, block
         self.limit = 1 - percent / 100
         self.spark = docs.sparkSession
-        profile = saved(docs.mapInArrow(_profile, "doc_id long, n long, sig long, sketch binary, shingle long, times long"), "profile")
+        profile = saved(docs.mapInArrow(trimming(_profile), "doc_id long, n long, sig long, sketch binary, shingle long, times long"), "profile")
         self.profile = profile
         self.members = profile.where("shingle is null").select("doc_id", "n", "sig")
         often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= hot_least)
@@ -174,7 +175,7 @@ class Join:
                         node = np.repeat(sig[keep].view(np.int64), size)[lo:hi]
                         yield pa.RecordBatch.from_arrays([pa.array(rare[lo:hi].view(np.int64)), pa.array(node), pa.array(info[lo:hi])], ["s", "node", "info"])
 
-        rows = self.docs.mapInArrow(emit, "s long, node long, info long")
+        rows = self.docs.mapInArrow(trimming(emit), "s long, node long, info long")
         whole = Window.partitionBy("s")
         several = rows.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high")
         info, low = F.col("info"), F.lit((1 << 28) - 1)
@@ -237,7 +238,7 @@ class Join:
                         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
                         yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), lists], ["node", "shingles"])
 
-        found = self.docs.mapInArrow(sets, "node long, shingles array<long>")
+        found = self.docs.mapInArrow(trimming(sets), "node long, shingles array<long>")
         if wanted is None:
             found = found.join(nodes, "node", "left_semi")
         x, y = found.alias("x"), found.alias("y")  # the same shuffle serves both joins

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, saved, slices
+from .memory import trimming
 from .tokens import SLICE_BYTES, encoder, vocabulary_path
 
 WINDOW = 1024
@@ -126,7 +127,7 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     vocabulary = vocabulary or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, 400_000), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for lo, hi, text in slices(batch.column(1), SLICE_BYTES):
@@ -147,7 +148,7 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                     ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids"],
                 )
 
-    pieces = saved(documents(docs, id_col, text_col).mapInArrow(cut, _PIECES), "pieces")
+    pieces = saved(documents(docs, id_col, text_col).mapInArrow(trimming(cut), _PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)  # a row per length: at most `size`
     shift = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
