@@ -19,9 +19,6 @@ ANY_TOKEN = r"</?\d+>|</?t\d+>|<s\d+/>"
 SPACE = r"[\s\x1c-\x1f]"
 
 
-def lit_pattern(text: str) -> Column:
-    return F.lit(text)
-
 
 def normalised(html: Column) -> Column:
     """Block elements on lines of their own, at most one blank line between two, none at the start. Idempotent."""
