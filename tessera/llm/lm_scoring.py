@@ -76,7 +76,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                         "block": pa.array([part << 24 | count]), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "held_out": pa.array([held.tolist()], pa.list_(pa.bool_())),
                         "n_words": [n.astype("<u4").tobytes()], "low": [(word & 0xFFFF).astype("<u2").tobytes()], "high": [(word >> 16).astype("<u2").tobytes()],
                         "hashes": [hashes.astype("<u8").tobytes()], "train": [train.astype("<u4").tobytes()], "subs": [subs.astype("<u2").tobytes()],
-                        "sub_counts": [np.diff(at).astype("<u2").tobytes()], "train_tokens": pa.array([int(n[~held].sum() + (~held).sum())]),
+                        "sub_counts": [np.diff(at).astype("<u4").tobytes()], "train_tokens": pa.array([int(n[~held].sum() + (~held).sum())]),
                     }
                 )
                 count += 1
@@ -93,7 +93,7 @@ class Block:
         self.n_words = take("n_words", "<u4").astype(np.int64)
         self.word = take("low", "<u2").astype(np.int64) | take("high", "<u2").astype(np.int64) << 16
         self.hashes, self.train = take("hashes", "<u8"), take("train", "<u4")
-        self.subs, self.sub_counts = take("subs", "<u2").astype(np.int64), take("sub_counts", "<u2").astype(np.int64)
+        self.subs, self.sub_counts = take("subs", "<u2").astype(np.int64), take("sub_counts", "<u4").astype(np.int64)
         self.sub_first = np.cumsum(self.sub_counts) - self.sub_counts
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
 

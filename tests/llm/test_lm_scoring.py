@@ -52,3 +52,23 @@ def test_tables_without_text(spark):
     got = lm_scoring.scored(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)]
     assert all(r.base_score == 0 for r in got)
+
+
+def test_word_of_more_ids_than_16_bits_count(spark):
+    from tessera.llm.tokens import encoder, vocabulary_path
+
+    rng, path = np.random.default_rng(4), vocabulary_path()
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 160_000))
+    texts = ["some words before", f"in {long} between", "other words after", *(f"word{k} w{k}" for k in range(20))]
+
+    def ids_of(texts):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        (row,) = lm_scoring.encoded(docs, path).collect()
+        ids, lengths, _ = lm_scoring.Block(row.asDict()).texts(np.arange(len(texts)), end)
+        return np.split(ids, np.cumsum(lengths)[:-1])
+
+    end = encoder(path).tokenizer.get_vocab_size(True)
+    got = ids_of(texts)
+    assert len(got[1]) > 1 << 16
+    for text, own in zip(texts, got):
+        assert own.tolist() == ids_of([text])[0].tolist() == [*encoder(path).tokenizer.encode("".join(f" {w}" for w in words(text)), add_special_tokens=False).ids, end]
