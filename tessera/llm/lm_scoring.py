@@ -30,10 +30,10 @@ from .common import LOWER, Text, documents, saved, slices, words_of
 from .tokens import encoder, release, vocabulary_path
 
 BLOCK_BYTES = 10_000_000
-#: Each round takes the texts whose number in the block has another remainder by SHARE.
-ROUNDS, SHARE = 2, 48
+#: Each round takes the texts whose number in the block has another remainder by SHARE; as many rounds as that take every text once.
+ROUNDS, SHARE = 2, 2
 UNIGRAM = 0.3
-OWN_CLASSES, BUCKETS = 32, 16
+OWN_CLASSES, BUCKETS = 48, 16
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, n_words binary, low binary, high binary, hashes binary, train binary, subs binary, sub_counts binary, train_tokens long"
 
 

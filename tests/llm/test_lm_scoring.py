@@ -72,3 +72,21 @@ def test_word_of_more_ids_than_16_bits_count(spark):
     assert len(got[1]) > 1 << 16
     for text, own in zip(texts, got):
         assert own.tolist() == ids_of([text])[0].tolist() == [*encoder(path).tokenizer.encode("".join(f" {w}" for w in words(text)), add_special_tokens=False).ids, end]
+
+
+def test_training_takes_every_text(spark):
+    from tessera.llm import attention
+    from tessera.llm.tokens import encoder, vocabulary_path
+
+    path = vocabulary_path()
+    end = encoder(path).tokenizer.get_vocab_size(True)
+    ids = [i for i in range(40) if not lm_scoring.held_out(i)][:12]
+    kinds = spark.sparkContext.broadcast(np.arange(end + 1) % attention.CLASSES)
+    start = attention.initial(np.full((attention.CLASSES, attention.CLASSES), -np.log(attention.CLASSES)))
+
+    def model(changed):
+        docs = spark.createDataFrame([(d, "green apples fell" if k == changed else "the same words here") for k, d in enumerate(ids)], "doc_id long, text string").coalesce(1)
+        return attention.vector(lm_scoring.trained(lm_scoring.encoded(docs, path), kinds, end, start))
+
+    common = model(None)
+    assert all(not np.allclose(model(k), common) for k in (0, 1, 2, 5, len(ids) - 1))
