@@ -2,8 +2,9 @@
 
 Lines are normalised (ASCII lower case, words of letters, digits and non-ASCII characters, single blanks); lines of fewer than `least` words are left alone.
 Equal normalised lines are one point with a 64-bit SimHash of its words. Two points are near if their hashes differ in at most
-`bits` bits and their word sequences' edit distance is at most a tenth of the longer one's number of words (words are told apart by 20 bits of a hash). Cut into bits + 2 blocks, hashes
-that close agree in two blocks at least, so points are joined on all pairs of blocks (keys of about 2 * 64 / (bits + 2) bits).
+`bits` bits and their word sequences' edit distance is at most a tenth of the longer one's number of words (words are told apart by 20 bits of a hash).
+Lines so few edits apart share a run of words, so points are joined on hashes of runs, thinned out by least hashes in a window (winnowing) such that
+no pair within the edit limit is missed; the hashes' bits only spare edit distances.
 
 In a key's group of up to `small` points all pairs with close hashes are verified. Of a larger group all members are first compared with one of them; groups that
 this makes one class are done, however large. Only pairs of different classes are then compared, in blocks. Edit distances are verified by the JVM's banded algorithm with growing bands.
@@ -16,7 +17,6 @@ document that loses all its lines keeps an empty text; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .graph import components, pairs_within, with_classes
 from .memory import trimming
 
 LEAST_WORDS, BITS, PERCENT = 6, 3, 90
+#: What the query and the pipeline use: so many bits leave out hardly any pair within the edit limit.
+WIDE_BITS = 22
 SLICE_BYTES, SMALL, BLOCK = 8_000_000, 32, 2048
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -84,11 +86,37 @@ def codes_of(own: np.ndarray) -> str:
     return (np.uint64(0x10000) + (own >> np.uint64(44))).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def block_keys(sim: Column, bits: int) -> Column:
-    """Keys of all pairs of the hash's bits + 2 blocks."""
-    edges = [64 * k // (bits + 2) for k in range(bits + 3)]
-    part = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    return F.array(*(F.xxhash64(F.lit(100 * i + j), part[i], part[j]) for i, j in combinations(range(bits + 2), 2)))
+def runs_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line: hashes of the runs of `size` words that are least among `window` neighbouring ones (its number, hash). Lines that share size + window - 1 words in a row share one."""
+    span = size + window - 1
+    if len(own) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(own) - size + 1)
+    every = mixed(sum(own[k : k + len(at)] * (_STEP + np.uint64(2 * k)) for k in range(size)) + np.uint64(size))
+    line = np.repeat(np.arange(len(n)), n)
+    first = np.arange(len(own) - span + 1)
+    first = first[line[first] == line[first + span - 1]]  # windows that lie in one line
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    best = first + np.argmin(np.stack([every[first + k] for k in range(window)]), axis=0)
+    best = best[np.concatenate([[True], best[1:] != best[:-1]])]
+    return line[best], every[best]
+
+
+def keys_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (line's number, key) of which any two lines within the edit limit share one. At 90 percent, lines of n words with n // 10 edits share at
+    least 5 words in a row, from 45 words on at least 8; lines of 40 to 44 words have keys of both kinds. Lines that allow no edit have none."""
+    if percent != 90:
+        raise ValueError("the lengths of shared runs are worked out for 90 percent")
+    out = []
+    for low, high, size, window in ((9, 44, 4, 2), (40, None, 5, 4)):
+        some = np.flatnonzero((n >= low) & (n <= (high or n.max(initial=0))))
+        count = n[some]
+        ends = np.cumsum(count)
+        words = own[np.repeat(heads[some] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        line, key = runs_of(words, ends - count, count, size, window)
+        out.append((some[line], key))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def near_texts(x: Column, y: Column, percent: int) -> Column:
@@ -113,17 +141,37 @@ class Lines:
                 for lo, _, text in slices(batch.column(2), SLICE_BYTES):
                     words, doc, number, first, last = lines_of(text, least)
                     own, heads = _sequence(words, first, last)
-                    node, sim = nodes_of(own, heads, last - first), simhashes_of(own, heads, last - first)
+                    node = nodes_of(own, heads, last - first)
                     at = pa.array(doc + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64))], ["row", "doc_id", "line", "node", "sim"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(node.view(np.int64))], ["row", "doc_id", "line", "node"])
+
+        self.lines = saved(docs.mapInArrow(trimming(emit), "row long, doc_id long, line int, node long"), "lines")
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                for _, _, text in slices(batch.column(2), SLICE_BYTES):
+                    words, _, _, first, last = lines_of(text, max(least, 9))
+                    own, heads = _sequence(words, first, last)
+                    n = last - first
+                    node, sim = nodes_of(own, heads, n).view(np.int64), simhashes_of(own, heads, n).view(np.int64)
+                    new = np.zeros(len(n), bool)
+                    for i, x in enumerate(node.tolist()):
+                        if x not in seen:
+                            seen.add(x)
+                            new[i] = True
+                    if len(seen) > 1_000_000:
+                        seen.clear()  # repeats are harmless
+                    line, key = keys_of(own, heads, n, percent)
+                    line, key = line[new[line]], key[new[line]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[line]), pa.array(sim[line])], ["s", "node", "value"])
 
-        self.lines = saved(docs.mapInArrow(trimming(emit), "row long, doc_id long, line int, node long, sim long"), "lines")
-        points = self.lines.groupBy("node").agg(F.first("sim").alias("sim"))
-        keyed = points.select("node", F.col("sim").alias("value"), F.explode(block_keys(F.col("sim"), bits)).alias("s"))
         whole = Window.partitionBy("s")
-        several = keyed.withColumn("size", F.count("*").over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
+        keys = docs.mapInArrow(trimming(keyed), "s long, node long, value long")
+        several = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high").select("s", "node", "value").distinct()
+        several = several.withColumn("size", F.count("*").over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
         far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > bits)
-        self.groups = saved(several.where((F.col("size") > 1) & ~far).select("s", "node", "value", "size"), "groups")
+        self.groups = saved(several.where(~far).select("s", "node", "value", "size"), "groups")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """(node, codes) of the given points, made again from the documents; a point may come more than once."""

@@ -84,3 +84,22 @@ def test_near_texts_bands(spark):
     df = spark.createDataFrame(rows, "x string, y string")
     got = [r[0] for r in df.select(line_dedup.near_texts(F.col("x"), F.col("y"), 90)).collect()]
     assert got == [True, False, True, True, False, True]
+
+
+def test_lines_within_the_edit_limit_are_found(spark):
+    rng = np.random.default_rng(12)
+    vocab, lines, pairs = [f"w{i}" for i in range(5000)], [], []
+    for n in [9, *range(10, 61), 80, 99, 100, 150, 300] * 3:
+        a = rng.choice(vocab, n).tolist()
+        b, limit = list(a), n // 10
+        for at in sorted(rng.choice(n, limit, replace=False).tolist(), reverse=True):
+            kind = rng.integers(0, 2)
+            b[at : at + 1] = [["new"], []][kind]
+        pairs.append((len(lines), len(lines) + 1))
+        lines += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r[0] for r in line_dedup.deduped(df, bits=64).where("n_removed > 0").select("doc.doc_id").collect()}
+    assert gone == {b for _, b in pairs}
+    wide = {r[0] for r in line_dedup.deduped(df, bits=line_dedup.WIDE_BITS).where("n_removed > 0").select("doc.doc_id").collect()}
+    print("recall", len(wide), len(gone))
+    assert len(wide) >= 0.99 * len(gone)
