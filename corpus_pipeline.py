@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents that lose all their words by that."""
-    return _measured(line_dedup.cleaned(docs, bits=line_dedup.WIDE_BITS))
+    return _measured(line_dedup.cleaned(docs, least=1, bits=line_dedup.WIDE_BITS))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

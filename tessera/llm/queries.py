@@ -34,7 +34,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduped(_table(spark, sf_dir, "documents"), bits=line_dedup.WIDE_BITS).select("doc.doc_id", "n_lines", "n_removed", "doc.text")
+    return line_dedup.deduped(_table(spark, sf_dir, "documents"), least=1, bits=line_dedup.WIDE_BITS).select("doc.doc_id", "n_lines", "n_removed", "doc.text")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_lines_within_the_edit_limit_are_found(spark):
     wide = {r[0] for r in line_dedup.deduped(df, bits=line_dedup.WIDE_BITS).where("n_removed > 0").select("doc.doc_id").collect()}
     print("recall", len(wide), len(gone))
     assert len(wide) >= 0.99 * len(gone)
+
+
+def test_query_drops_exact_repeats_of_short_lines(spark, tmp_path):
+    from tessera.llm.queries import op4_line_dedup
+
+    texts = ["Read more\n一行没有空格的很长的文字" + "字" * 50, "other words\nread MORE!", "一行没有空格的很长的文字" + "字" * 50 + "\n...\n...", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "other words", 2: "...\n...", 3: None}
