@@ -74,9 +74,10 @@ def _cut(kinds: np.ndarray, first: np.ndarray, text: np.ndarray, ends: np.ndarra
     return kinds.take(np.clip(place, text[:, None], ends[:, None] - 1)), known, place
 
 
-def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Natural log P(targets[i] | kinds up to i in its text), for texts of so many places, one after the other."""
-    out = np.zeros(len(kinds), np.float32)
+def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log P(targets[i] | kinds up to i in its text), for texts of so many places, one after the other, and of the mean of `starts` over the classes there."""
+    out, some_of = np.zeros(len(kinds), np.float32), np.zeros(len(kinds), np.float32)
+    starts = starts.astype(np.float32)
     first, text = windows(lengths)
     ends = np.repeat(np.cumsum(lengths), -(-lengths // STRIDE))
     for lo in range(0, len(first), CHUNK):
@@ -94,7 +95,8 @@ def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, len
             hit = hit - top
         total = np.exp(logits, out=logits).sum(axis=2)
         out[place[valid]] = (hit - np.log(total))[valid]
-    return out
+        some_of[place[valid]] = np.log((logits.reshape(-1, size) @ starts).reshape(total.shape) / total)[valid]
+    return out, some_of
 
 
 def gradients(p: dict[str, np.ndarray], kinds: np.ndarray, known: np.ndarray, want: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

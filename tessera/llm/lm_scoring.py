@@ -7,8 +7,10 @@ round every block makes one pass over its share of training texts, starting from
 averaged with the numbers of scored ids as weights. What is gathered thus grows with the number of blocks, while the driver only holds parameters and
 tables bounded by the vocabulary of the tokenizer.
 
-P(word | context) = (1 - UNIGRAM) P(its ids | context) + UNIGRAM c / N: a mixture with the corpus' word frequencies, so words that were
-never seen are still scored by their ids. Word counts reach the blocks by a join on the word's 64-bit hash, one row per block and distinct word.
+A word is scored where it begins: the model's classes there, renormalised over the shares of their ids that begin words, give the class of its first id, and
+within the class words have their corpus frequency: P(word | context) = (1 - UNIGRAM) P(class | context, word begins) c / C(class) + UNIGRAM c / N, which sums to 1 over the
+words of the training texts. A share `new` (words seen once among all, after Good and Turing) is kept for the product of a word's ids and the word's
+end instead, so words never seen are scored by their ids. Word counts reach the blocks by a join on the word's 64-bit hash, one row per block and distinct word.
 
 Rows: null and wordless texts are one end; rows with null doc_ids count as training texts; equal doc_ids are rows of their own; without any training text
 all counts are 0 and the scores come from uniform tables; an empty table gives no rows; other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from .tokens import encoder, release, vocabulary_path
 BLOCK_BYTES = 10_000_000
 #: Each round takes the texts whose number in the block has another remainder by SHARE; as many rounds as that take every text once.
 ROUNDS, SHARE = 2, 2
-UNIGRAM = 0.3
+UNIGRAM = 0.1
 OWN_CLASSES, BUCKETS = 48, 16
+#: Place of the counts at words' beginnings among an id's counts.
+BEGINS = 2 * BUCKETS
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, n_words binary, low binary, high binary, hashes binary, train binary, subs binary, sub_counts binary, train_tokens long"
 
 
@@ -127,17 +132,19 @@ def _parts(docs: np.ndarray, n: np.ndarray, words: int = 200_000) -> Iterator[np
 
 
 def id_counts(blocks: DataFrame, end: int) -> DataFrame:
-    """(id, bucket, n) over all training texts: how often an id follows (bucket below BUCKETS) or precedes (above) an id of the bucket; the last bucket pair holds text starts."""
+    """(id, bucket, n) over all training texts: how often an id follows (bucket below BUCKETS) or precedes (above) an id of the bucket; the bucket BEGINS: how often it begins a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = BEGINS + 1
         for block in _blocks(batches):
-            table = np.zeros((end + 1) * 2 * BUCKETS, np.int64)
+            table = np.zeros((end + 1) * size, np.int64)
             for docs in _parts(np.flatnonzero(~block.held_out), block.n_words):
-                ids, lengths, _ = block.texts(docs, end)
+                ids, lengths, count = block.texts(docs, end)
                 last = np.concatenate([[end], ids[:-1]])
-                table += np.bincount(np.concatenate([ids * 2 * BUCKETS + last * 7 % BUCKETS, last * 2 * BUCKETS + BUCKETS + ids * 7 % BUCKETS]), minlength=len(table))
+                table += np.bincount(np.concatenate([ids * size + last * 7 % BUCKETS, last * size + BUCKETS + ids * 7 % BUCKETS]), minlength=len(table))
+                table += np.bincount(ids[np.cumsum(count) - count] * size + BEGINS, minlength=len(table))
             some = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array((some // (2 * BUCKETS)).astype(np.int32)), pa.array((some % (2 * BUCKETS)).astype(np.int32)), pa.array(table[some])], ["id", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((some // size).astype(np.int32)), pa.array((some % size).astype(np.int32)), pa.array(table[some])], ["id", "bucket", "n"])
 
     return blocks.mapInArrow(count, "id int, bucket int, n long").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
 
@@ -210,6 +217,41 @@ def trained(blocks: DataFrame, kinds, end: int, p: dict[str, np.ndarray], rounds
     return p
 
 
+class Vocabulary(NamedTuple):
+    """Per id: its class, log P(id | class), log P(id | class, word begins). Per class: the share of its ids that begin words, and how often one does."""
+
+    kind: np.ndarray
+    within: np.ndarray
+    begins: np.ndarray
+    share: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray, number: int) -> Vocabulary:
+        kind, total, heads = classes(counts[:, :BEGINS], number), counts[:, :BUCKETS].sum(axis=1), counts[:, BEGINS]
+        part = lambda n: np.log((n + 0.1) / np.bincount(kind, n + 0.1, number)[kind])
+        times = np.bincount(kind, heads, number)
+        share = np.where(times > 0, times / np.maximum(1, np.bincount(kind, total, number)), 1e-9)  # hardly any for classes that never began a word
+        return cls(kind, part(total), part(heads), share, times)
+
+
+def word_logs(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, count: np.ndarray, c: np.ndarray, train_tokens: int, unigram: float, new: float) -> np.ndarray:
+    """Natural log P(word | the words before it in its text) of each word and end. count: its number of ids; c: its count in the training texts."""
+    end = len(v.kind) - 1
+    logs, begins = attention.scores(p, v.kind[_inputs(ids, lengths, end)], v.kind[ids], lengths, v.share)
+    head = np.cumsum(count) - count
+    first, kind = ids[head], v.kind[ids[head]]
+    start = logs[head] + np.log(v.share[kind]) - begins[head]  # log P(class of its first id | a word begins)
+    seen = np.log(np.maximum(c, 1e-300))
+    known = np.logaddexp(np.log1p(-unigram) + start + seen - np.log(np.maximum(v.times[kind], 1)), np.log(max(unigram, 1e-300)) + seen - np.log(max(1, train_tokens)))
+    rest = logs + v.within[ids]
+    rest[head] = 0
+    after = np.append(begins[head[1:]], 0)
+    after[first == end] = 0  # nothing follows a text's end
+    spelled = start + v.begins[first] + np.add.reduceat(rest, head) + after
+    return np.logaddexp(np.log1p(-new) + known, np.log(new) + spelled)
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -228,19 +270,17 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     facts = blocks.agg(F.sum("train_tokens").alias("n"), F.sum(F.expr("size(filter(held_out, x -> not x))")).alias("docs")).first()
     train_tokens, ends = facts["n"] or 0, facts["docs"] or 0
 
-    counts = np.zeros((end + 1, 2 * BUCKETS), np.int64)
+    counts = np.zeros((end + 1, BEGINS + 1), np.int64)
     table = id_counts(blocks, end).toArrow()  # at most ids x buckets rows
     counts[table["id"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
-    kind_of = classes(counts, number)
-    total = counts[:, :BUCKETS].sum(axis=1)
-    inside = np.log((total + 0.1) / np.bincount(kind_of, total + 0.1, number)[kind_of])
-    kinds = context.broadcast(kind_of)
+    vocabulary_facts = Vocabulary.of(counts, number)
+    kinds = context.broadcast(vocabulary_facts.kind)
     pairs = np.full(number * number, 0.05)
     table = bigram_counts(blocks, kinds, end, number).toArrow()
     pairs[table["pair"].to_numpy()] += table["n"].to_numpy()
     pairs = pairs.reshape(number, number)
     p = trained(blocks, kinds, end, attention.initial(np.log(pairs / pairs.sum(axis=1, keepdims=True))), rounds, share)
-    model, within = context.broadcast(p), context.broadcast(inside)
+    model, facts_of = context.broadcast(p), context.broadcast(vocabulary_facts)
 
     def vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +294,11 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     whole = Window.partitionBy("hash")  # a row per block that has the word
     placed = rows.select("block", "hash", F.sum("times").over(whole).alias("c"), (F.col("block") == F.min("block").over(whole)).alias("first"))
     placed = saved(placed, "counts")
-    distinct = placed.where("first and c > 0").count() + (1 if ends else 0)
+    found = placed.where("first").agg(F.count_if(F.col("c") > 0).alias("distinct"), F.count_if(F.col("c") == 1).alias("once")).first()
+    distinct = found["distinct"] + (1 if ends else 0)
+    new = min(0.5, max(1e-6, found["once"] / max(1, train_tokens)))
+    number_of_blocks = blocks.select("block").count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), number_of_blocks // 4)  # a few blocks a task, however many there are
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
@@ -267,13 +311,10 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
             c = times[np.searchsorted(hashes, own)] if len(own) else np.zeros(0, np.int64)
             c = np.append(c, ends)  # the last is the end's count
             base = np.log10(c + 1.0) - np.log10(train_tokens + distinct + 1.0)
-            frequency = c / max(1, train_tokens)
             for docs in _parts(np.arange(len(block.doc_ids)), block.n_words):
                 ids, lengths, count = block.texts(docs, end)
-                logs = attention.scores(model.value, kinds.value[_inputs(ids, lengths, end)], kinds.value[ids], lengths) + within.value[ids]
                 word = np.insert(block.word[block.first[docs[0]] : block.first[docs[-1] + 1]], np.cumsum(block.n_words[docs]), len(c) - 1)
-                by_word = np.add.reduceat(logs, np.cumsum(count) - count)
-                mixed = np.logaddexp(np.log1p(-unigram) + by_word, np.log(np.maximum(unigram * frequency[word], 1e-300)))
+                mixed = word_logs(model.value, facts_of.value, ids, lengths, count, c[word], train_tokens, unigram, new)
                 heads = np.cumsum(block.n_words[docs] + 1) - block.n_words[docs] - 1
                 sums = lambda x: np.add.reduceat(x, heads)  # noqa: B023, E731
                 out.append(pa.RecordBatch.from_arrays(
@@ -285,4 +326,5 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                 ))
         return pa.Table.from_batches(out, _RESULT)
 
-    return blocks.groupBy("block").cogroup(placed.select("block", "hash", "c").groupBy("block")).applyInArrow(score, _SCORED)
+    dealt = lambda df: df.repartition(parts, "block").groupBy("block")
+    return dealt(blocks).cogroup(dealt(placed.select("block", "hash", "c"))).applyInArrow(score, _SCORED)

@@ -16,7 +16,8 @@ def test_each_place_is_scored_once_with_its_window():
     lengths = np.array([1, 5, 24, 25, 100, 3])
     n = int(lengths.sum())
     kinds, targets = rng.integers(0, 10, n), rng.integers(0, 10, n)
-    got = at.scores(p, kinds, targets, lengths)
+    got, begins = at.scores(p, kinds, targets, lengths, np.linspace(0.1, 1, 10))
+    assert np.all((begins < 0) & (begins > np.log(0.1) - 1e-4))
     ends = np.cumsum(lengths)
     for lo, hi in zip(ends - lengths, ends):
         for i in range(lo, hi):
@@ -56,5 +57,5 @@ def test_training_lowers_the_loss():
     p = at.initial(np.full((10, 10), -np.log(10)))
     q, losses = at.trained(p, kinds, targets, lengths, rate=0.02, batch=16)
     assert losses[-1] < losses[0] - 0.3
-    assert at.scores(q, kinds, targets, lengths).mean() > at.scores(p, kinds, targets, lengths).mean() + 0.3
+    assert at.scores(q, kinds, targets, lengths, np.ones(10))[0].mean() > at.scores(p, kinds, targets, lengths, np.ones(10))[0].mean() + 0.3
     assert np.allclose(at.vector(at.from_vector(at.vector(q), q)), at.vector(q))

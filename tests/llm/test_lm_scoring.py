@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -24,7 +25,7 @@ def rows():
 
 def test_scores(spark, rows):
     docs = spark.createDataFrame([(d, t, 1.5, "x") for d, t in rows], "doc_id long, text string, score double, block string").repartition(3)
-    got = lm_scoring.scored(docs, share=2).collect()
+    got = lm_scoring.scored(docs).collect()
     train = Counter()
     for d, t in rows:
         if d is None or zlib.crc32(str(d).encode()) % 7 != 2:
@@ -40,10 +41,44 @@ def test_scores(spark, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_of_next_words_add_up(spark):
-    docs = spark.createDataFrame([(1, "a b"), (4, "a"), (8, "b a")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, unigram=0.0).collect()}
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+def test_probabilities_of_next_words_add_up():
+    """Over the words of the training texts and the end, after the same context; words that are spelled get less than 1 in all."""
+    from tessera.llm import attention
+    from tessera.llm.tokens import encoder, vocabulary_path
+
+    enc = encoder(vocabulary_path())
+    end = enc.tokenizer.get_vocab_size(True)
+    train = Counter({"apple": 5, "stone": 2, "wordthatneedsseveralids": 1, "x": 9, None: 4})
+    ids_of = lambda w: [end] if w is None else enc.tokenizer.encode(f" {w}", add_special_tokens=False).ids
+    counts = np.zeros((end + 1, lm_scoring.BEGINS + 1), np.int64)
+    for w, n in train.items():
+        for k, i in enumerate(ids_of(w)):
+            counts[i, (7 * k) % lm_scoring.BUCKETS] += n
+            counts[i, lm_scoring.BEGINS] += n * (k == 0)
+    v = lm_scoring.Vocabulary.of(counts, attention.CLASSES)
+    rng = np.random.default_rng(3)
+    p = attention.initial(rng.normal(size=(attention.CLASSES, attention.CLASSES)) - np.log(attention.CLASSES))
+    p["out"] = rng.normal(size=p["out"].shape).astype(np.float32)
+
+    def next_word(w, new):
+        words = ["apple", "x", w]
+        ids = [ids_of(x) for x in words]
+        c = np.array([train[x] for x in words], float)
+        return lm_scoring.word_logs(p, v, np.array(sum(ids, [])), np.array([sum(map(len, ids))]), np.array([len(x) for x in ids]), c, sum(train.values()), 0.1, new)[-1]
+
+    assert abs(sum(np.exp(next_word(w, 1e-12)) for w in train) - 1) < 1e-4
+    assert sum(np.exp(next_word(w, 0.2)) for w in [*train, "unseen", "words", "also"]) < 1 + 1e-4
+
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def test_trained_model_beats_base_and_untrained_model(spark):
+    docs = spark.read.parquet(DATA)
+    mean = lambda c, **o: lm_scoring.scored(docs, **o).where("held_out").agg({c: "sum"}).first()[0]
+    score = mean("score")
+    assert score > mean("base_score", rounds=0) and score > mean("score", rounds=0)
 
 
 def test_tables_without_text(spark):
