@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Text, bounded, documents, mixed, saved, slices, words_of
+from .common import Text, bounded, documents, dropped, mixed, saved, slices, words_of
 from .graph import SMALL, components, pairs_within, with_classes
 from .memory import trimming
 
@@ -41,8 +41,8 @@ HOT_LEAST, HOT_MOST = 32, 200_000
 RUN_SHINGLES = 4_000_000
 FREE = 1 << 29
 BUCKETS = 256
-MOST_NODES, MOST_SKETCHES = 2_000_000, 200_000
-LEAF, DEPTH, PIVOTS, BLOCK = 4096, 2, 3, 2048
+MOST_NAMED, MOST_NODES, MOST_SKETCHES = 500_000, 2_000_000, 200_000
+LEAF, DEPTH, PIVOTS, BLOCK = 16, 2, 3, 2048
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,7 +67,8 @@ def shingle_sets(text: Text, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
 
 def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of each set; meaningless for empty ones."""
-    sums = np.concatenate([[0], np.cumsum(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)))]).astype(np.uint64)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
     return mixed(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * _TURN[63])
 
 
@@ -195,7 +196,8 @@ class Join:
             rows = regions.select("s", "node", "n", "few", "rare").withColumn("live", F.count("*").over(own)).withColumn("held", F.sum(F.col("rare").cast("int")).over(own))
             left = rows.where(F.col("live") >= least).select("s", "node", "n", "few", "rare", u.alias("u"))
             left = left.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high")
-            regions = saved(left.drop("low", "high"), "trimmed")
+            before, regions = regions, saved(left.drop("low", "high"), "trimmed")
+            dropped(before)
         return regions.select("s", "node", "n", "u")
 
     def _can(self, n: Column, u: Column, m: Column, v: Column) -> Column:
@@ -213,9 +215,13 @@ class Join:
         count = nodes.count()
         if not count:
             return
-        wanted = None
+        docs, wanted = self.docs, None
+        if count <= MOST_NAMED:  # texts that hold none of the points aren't read into sets again
+            ids = self.members.join(F.broadcast(nodes), F.col("sig") == F.col("node"), "left_semi").groupBy("sig").agg(F.min("doc_id").alias("id"))
+            ids = saved(ids.where("id is not null").select("id").distinct(), "ids")
+            docs = docs.where("doc_id is null").unionByName(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi"))
         if count <= MOST_NODES:  # 16 MB at most; beyond that, all sets are made and joined
-            wanted = self.spark.sparkContext.broadcast(np.sort(np.fromiter((r["node"] for r in nodes.toLocalIterator()), np.int64, count)))
+            wanted = self.spark.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -238,7 +244,7 @@ class Join:
                         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
                         yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), lists], ["node", "shingles"])
 
-        found = self.docs.mapInArrow(trimming(sets), "node long, shingles array<long>")
+        found = docs.mapInArrow(trimming(sets), "node long, shingles array<long>")
         if wanted is None:
             found = found.join(nodes, "node", "left_semi")
         x, y = found.alias("x"), found.alias("y")  # the same shuffle serves both joins
@@ -246,8 +252,10 @@ class Join:
         shared = both.select("a", "b", F.size(F.array_intersect("x.shingles", "y.shingles")).alias("shared"), (F.size("x.shingles") + F.size("y.shingles")).alias("total"))
         union = F.col("total") - F.col("shared")
         measured = shared.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance"))
-        self.tried = saved(self.tried.unionByName(measured).distinct(), "tried")
-        self.classes = saved(components(self.tried.where("near").select("a", "b")), "classes")
+        before, self.tried = self.tried, saved(self.tried.unionByName(measured).distinct(), "tried")
+        dropped(before, pairs, nodes)
+        before, self.classes = self.classes, saved(components(self.tried.where("near").select("a", "b")), "classes")
+        dropped(before)
 
     def _pivots(self, live: DataFrame, turn: int) -> DataFrame:
         """One point per region, another one each turn."""
@@ -264,11 +272,13 @@ class Join:
         return rows.select(*self._ordered(F.col("node"), F.col("pivot")), F.least("n", "pivot_n").alias("m")).distinct()
 
     def _sharing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, m: the smaller size) that share as many rare shingles as the limit asks for."""
-        first = pairs.join(self.regions.select("s", "node"), F.col("a") == F.col("node")).select("a", "b", "m", "s")
-        other = self.regions.select(F.col("s").alias("in"), F.col("node").alias("of"))
-        both = first.join(other, (F.col("s") == F.col("in")) & (F.col("b") == F.col("of")))
-        return both.groupBy("a", "b", "m").count().where(F.col("count") >= shared_least(F.col("m"))).select("a", "b")
+        """Pairs (a, b, m: the smaller size) that share as many rare shingles as the limit asks for. A point's rare shingles are one row, so that joins make a row per pair."""
+        pairs = saved(pairs, "asked")
+        nodes = bounded(saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked-nodes"))
+        rare = self.regions.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("s").alias("rare"))
+        x, y = rare.alias("x"), rare.alias("y")  # the same shuffle serves both joins
+        both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+        return both.where(F.size(F.array_intersect("x.rare", "y.rare")) >= shared_least(F.col("m"))).select("a", "b")
 
     def _voronoi(self, live: DataFrame, level: int) -> DataFrame:
         """Large regions split into the cells of their pivots: (s, node, n) with new region numbers."""
@@ -343,8 +353,9 @@ class Join:
             big = big.where(F.col("size") > self.leaf)
         live = self._live(self.regions) if large else live
         # pairs of small regions are counted there; a pair that shares a larger one comes once from it, or from its cells, and is counted by a join
-        counted = self._leaves(live.where(F.col("size") <= SMALL)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"))
-        middle = live.where((F.col("size") > SMALL) & (F.col("size") <= self.leaf))
+        small = min(SMALL, self.leaf)
+        counted = self._leaves(live.where(F.col("size") <= small)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m"))
+        middle = live.where((F.col("size") > small) & (F.col("size") <= self.leaf))
         rest = self._leaves(middle, self._homes(middle))
         for part in large:
             rest = rest.unionByName(self._triangle(self._leaves(part).distinct()))

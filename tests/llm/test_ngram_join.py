@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import graph, ngram_join
+from tessera.llm.common import text_of
 
 
 def sets_of(text):
@@ -103,3 +105,10 @@ def test_components(spark):
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for e in edges for x in e if any(x in f and f[0] != f[1] for f in edges)}
+
+
+def test_equal_sets_have_equal_signatures_wherever_they_stand():
+    texts = [" ".join(f"w{(i * 7 + k) % 50}" for k in range(20 + i)) for i in range(40)]
+    whole = ngram_join.signatures(*ngram_join.shingle_sets(text_of(pa.array(texts))))
+    alone = [ngram_join.signatures(*ngram_join.shingle_sets(text_of(pa.array([t]))))[0] for t in texts]
+    assert whole.tolist() == alone
