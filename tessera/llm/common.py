@@ -6,8 +6,11 @@ hashed by a few numpy passes instead of a Python loop over words.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,22 +26,51 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
 
 
+#: Where a local session without spark.checkpoint.dir keeps its tables.
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir; a temporary folder only where that is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = f"file://{_local[0]}"
+    return f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+#: The folder of each written table.
+_folders: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read any more (others are left alone)."""
+    for table in tables:
+        known, path = _folders.pop(id(table), (lambda: None, ""))
+        if table is not None and known() is table:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables this application has written, once its results are stored elsewhere."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "any")).getParent()
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -133,8 +165,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words_of(text: Text, kind: np.ndarray = NOT_SPACE) -> Words:
-    """Maximal runs of the bytes of a kind, cut at text ends too, with a 64-bit hash of their lower-cased bytes."""
+def _single(data: np.ndarray) -> np.ndarray | None:
+    """Where characters of scripts without blanks begin and end (Thai, Lao, U+3000 to U+9FFF, U+20000 to U+2FFFF), if there are any."""
+    if not len(data) or int(data.max()) < 0xE0:
+        return None
+    after = np.append(data[1:], 0)
+    three = ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB))
+    four = (data == 0xF0) & (after >= 0xA0) & (after <= 0xAF)
+    cut = np.zeros(len(data) + 4, bool)
+    for lead, size in ((three, 3), (four, 4)):
+        at = np.flatnonzero(lead)
+        cut[at] = cut[at + size] = True
+    return cut[: len(data)]
+
+
+def words_of(text: Text, kind: np.ndarray = NOT_SPACE, single: bool = False) -> Words:
+    """Maximal runs of the bytes of a kind, cut at text ends too, with a 64-bit hash of their lower-cased bytes; single: each character of scripts without blanks is one."""
     data, offsets = text
     n = len(data)
     if not n:
@@ -149,6 +195,9 @@ def words_of(text: Text, kind: np.ndarray = NOT_SPACE) -> Words:
     shuts[:-1] &= ~part[1:]
     tails = offsets[1:][offsets[1:] > 0] - 1
     shuts[tails] = part[tails]
+    if single and (cut := _single(data)) is not None:
+        opens |= cut & part
+        shuts[:-1] |= cut[1:] & part[:-1]
     start, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
     return Words(start, end, hashes_of(data, start, end, _LOWER_BYTE), np.searchsorted(start, offsets))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, saved
+from .common import bounded, dropped, saved
 
 #: Up to so many rows a group's pairs are made along with those of all other such groups.
 SMALL = 64
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
         small = large.join(least, F.col("u") == F.col("of")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = saved(small.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        last, pairs = pairs, saved(small.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        dropped(last, large)
         state = tuple(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if state == before:
             break
@@ -49,8 +50,9 @@ def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(state, F.col("s") == F.col("live")).drop("live")
 
 
-def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int, np.ndarray, np.ndarray | int], np.ndarray], block: int, homes=None) -> DataFrame:
+def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, homes=None) -> DataFrame:
     """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
+    Where rows have a column `more`, a second value, near gets (more, more) of both sides too.
 
     homes: a broadcast of (nodes ascending, where each one's groups begin, their numbers ascending), if given a pair comes from the first group
     that both are in only, for groups of over SMALL rows.
@@ -60,13 +62,17 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int,
     """
     parts = F.ceil(F.col("size") / block).cast("int")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
-    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "value", "class")
+    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "value", "class", *(["more"] if "more" in rows.columns else []))
     dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
 
     def ordered(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         first = a < b
         return np.stack([np.where(first, a, b), np.where(first, b, a), np.where(first, x, y), np.where(first, y, x)], axis=1)
 
+    def kept(table: np.ndarray, some: np.ndarray, other: np.ndarray | int) -> np.ndarray:
+        pair = (table[some, 5], table[other, 5], table[some, 4], table[other, 4])
+        return near(*pair, table[some, 7], table[other, 7]) if table.shape[1] > 7 else near(*pair)
+
     def of_large(group: np.ndarray) -> Iterator[np.ndarray]:
         """Each row against all after it."""
         own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
@@ -76,7 +82,7 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int,
             if cross:
                 ok &= own[k + 1 :] != own[k]
             some = np.flatnonzero(ok) + k + 1
-            some = some[near(value[some], value[k], node[some], node[k])] if len(some) else some
+            some = some[kept(group, some, k)] if len(some) else some
             if len(some) and homes is not None:
                 earlier = shared_before(node, group[0, 0]) if earlier is None else earlier
                 some = some[~np.any(earlier[some] & earlier[k], axis=1)]
@@ -105,7 +111,7 @@ def pairs_within(rows: DataFrame, near: Callable[[np.ndarray, np.ndarray | int,
             if not len(first):
                 return
             some = first[kind[first] != kind[first + k]]
-            some = some[near(value[some], value[some + k], node[some], node[some + k])] if len(some) else some
+            some = some[kept(table, some, some + k)] if len(some) else some
             if len(some):
                 yield ordered(node[some], node[some + k], value[some], value[some + k])
 

@@ -1,42 +1,58 @@
 """Fuzzy line dedup: of each connected group of near-equal lines in the whole corpus, one occurrence stays.
 
-Lines are normalised (ASCII lower case, words of letters, digits and non-ASCII characters, single blanks); lines of fewer than `least` words are left alone.
-Equal normalised lines are one point with a 64-bit SimHash of its words. Two points are near if their hashes differ in at most
-`bits` bits and their word sequences' edit distance is at most a tenth of the longer one's number of words (words are told apart by 20 bits of a hash).
-Lines so few edits apart share a run of words, so points are joined on hashes of runs, thinned out by least hashes in a window (winnowing) such that
-no pair within the edit limit is missed; the hashes' bits only spare edit distances.
-
-In a key's group of up to `small` points all pairs with close hashes are verified. Of a larger group all members are first compared with one of them; groups that
-this makes one class are done, however large. Only pairs of different classes are then compared, in blocks. Edit distances are verified by the JVM's banded algorithm with growing bands.
+Lines are normalised (ASCII lower case, words of letters, digits and non-ASCII characters, single blanks; each Chinese, Japanese, Thai or Lao character
+is a word). Equal normalised lines are one point with a 64-bit SimHash of its words. Near are two lines, the longer one of ten words or more, whose word sequences' edit
+distance is at most a tenth of its words (words are told apart by 20 bits of a hash), and two lines of four to nine words that differ by one character.
+
+Candidates share a block (pigeonhole principle): among more blocks than edits one is left whole. Blocks are cut from the word sequence, as lines one word apart may
+differ in a third of their SimHash bits. Lines of up to 39 words have blocks at places counted from their start and their end, so that no pair within
+the limit is missed; lines from 36 words on have the `SKETCH` least hashes of their runs of four words, of which pairs at the limit share one with a
+probability of 0.99, whatever the places of the edits. Numbers of words, the parities of words that fall to one of 48 bits (an edit changes two at most) and SimHash bits
+(more than `bits` apart) then spare edit distances.
+
+In a block's group of up to `small` points all pairs with close hashes are verified. Of a larger group all members are first compared with one of them; groups that
+this makes one class are done, however large. Only pairs of different classes are then compared, in blocks of rows. Edit distances are verified by the JVM's banded algorithm with growing bands.
 The kept occurrence is the first by doc_id, row and line.
 
-Rows: a null text stays null and has no lines; null doc_ids come last when the kept occurrence is chosen; equal doc_ids are rows of their own; a
-document that loses all its lines keeps an empty text; an empty table gives no rows; other columns are passed on.
+Rows: a null text stays null and has no lines; lines without a word are left alone; null doc_ids come last when the kept occurrence is chosen; equal doc_ids are rows of
+their own; a document that loses all its lines keeps an empty text; an empty table gives no rows; other columns are passed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Text, Words, bounded, mixed, saved, slices, words_of
+from .common import ALNUM, LOWER, Text, Words, bounded, dropped, mixed, saved, slices, words_of
 from .graph import components, pairs_within, with_classes
 from .memory import trimming
 
-LEAST_WORDS, BITS, PERCENT = 6, 3, 90
-#: What the query and the pipeline use: so many bits leave out hardly any pair within the edit limit.
-WIDE_BITS = 22
+LEAST_WORDS, BITS, PERCENT = 1, 28, 90
+#: Lines of so many words at least may have near ones; the hashes of a long line's runs.
+NEAR_WORDS, SKETCH, RUN = 4, 8, 4
+#: Up to so many named points, only the documents that hold them are read again.
+MOST_NAMED = 500_000
 SLICE_BYTES, SMALL, BLOCK = 8_000_000, 32, 2048
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: Blocks of a line of (from, to) words: (size, places from the start and from the end).
+BLOCKS = [
+    (9, 15, 5, [0]), (15, 19, 7, [0]),  # one edit: the first or the last half
+    (18, 27, 5, [0]), (18, 27, 4, [5, 6]), (26, 39, 7, [0]), (26, 39, 6, [7, 8]),  # up to three: a half has one, so one of its quarters none, moved by one place at most
+]
+SKETCHED = 36
+#: Below so many words lines are compared by characters; bits that one character's edit changes.
+SHORT, CHANGED = 10, 4
 
 
 def lines_of(text: Text, least: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words, and of each line with enough of them: its text, its number there, and its first and last word (exclusive)."""
-    words = words_of(text, ALNUM)
+    words = words_of(text, ALNUM, single=True)
     data, offsets = text
     breaks = np.flatnonzero(data == 0x0A)
     # a line begins with each text and after each line break, the one after a final line break being empty
@@ -81,44 +97,88 @@ def simhashes_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarra
     return out
 
 
+def shapes_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each line 48 bits (whether the words that fall to a bit are odd in number), of which an edit changes two at most, above its number of words (up to 65,535)."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (np.uint64(16) + (own >> np.uint64(8)) % np.uint64(48)), heads)
+    return (bits | np.minimum(n, 65_535).astype(np.uint64)).view(np.int64)
+
+
+def can_be_near(x: np.ndarray, y: np.ndarray | int, percent: int) -> np.ndarray:
+    """Whether two shapes allow the edit limit."""
+    n, m = x & 0xFFFF, y & 0xFFFF
+    limit = np.maximum(n, m) * (100 - percent) // 100
+    return (np.abs(n - m) <= limit) & (np.bitwise_count(((x ^ y) >> 16).view(np.uint64) & np.uint64((1 << 48) - 1)) <= 2 * limit)
+
+
 def codes_of(own: np.ndarray) -> str:
     """A character of the supplementary planes for each word (20 bits of its hash), so that edits of words are edits of characters."""
     return (np.uint64(0x10000) + (own >> np.uint64(44))).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def runs_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line: hashes of the runs of `size` words that are least among `window` neighbouring ones (its number, hash). Lines that share size + window - 1 words in a row share one."""
-    span = size + window - 1
-    if len(own) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(len(own) - size + 1)
-    every = mixed(sum(own[k : k + len(at)] * (_STEP + np.uint64(2 * k)) for k in range(size)) + np.uint64(size))
-    line = np.repeat(np.arange(len(n)), n)
-    first = np.arange(len(own) - span + 1)
-    first = first[line[first] == line[first + span - 1]]  # windows that lie in one line
-    if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    best = first + np.argmin(np.stack([every[first + k] for k in range(window)]), axis=0)
-    best = best[np.concatenate([[True], best[1:] != best[:-1]])]
-    return line[best], every[best]
-
-
-def keys_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (line's number, key) of which any two lines within the edit limit share one. At 90 percent, lines of n words with n // 10 edits share at
-    least 5 words in a row, from 45 words on at least 8; lines of 40 to 44 words have keys of both kinds. Lines that allow no edit have none."""
-    if percent != 90:
-        raise ValueError("the lengths of shared runs are worked out for 90 percent")
-    out = []
-    for low, high, size, window in ((9, 44, 4, 2), (40, None, 5, 4)):
-        some = np.flatnonzero((n >= low) & (n <= (high or n.max(initial=0))))
-        count = n[some]
-        ends = np.cumsum(count)
-        words = own[np.repeat(heads[some] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        line, key = runs_of(words, ends - count, count, size, window)
-        out.append((some[line], key))
+def _hashes(own: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words that begin at the given places."""
+    return mixed(sum(own[first + k] * (_STEP + np.uint64(2 * k)) for k in range(size)) + np.uint64(size))
+
+
+def _least(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the SKETCH least distinct hashes of its runs (its number, hash)."""
+    runs = n - RUN + 1
+    ends = np.cumsum(runs)
+    line = np.repeat(np.arange(len(n)), runs)
+    h = _hashes(own, np.repeat(heads - ends + runs, runs) + np.arange(int(ends[-1]) if len(ends) else 0), RUN)
+    # of long lines all but about 6 * SKETCH are too large, unless many runs are alike
+    low = h <= (np.float64(2**64 - 2**12) * np.minimum(1, 6 * SKETCH / runs)).astype(np.uint64)[line]
+    few = np.bincount(line[low], minlength=len(n)) < 4 * SKETCH
+    low |= few[line]
+    line, h = line[low], h[low]
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+    line, h = line[new], h[new]
+    some = np.arange(len(h)) - np.searchsorted(line, line, "left") < SKETCH
+    return line[some], h[some]
+
+
+def keys_of(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Even keys (line's number, key) of blocks of words; lines within the edit limit share one."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for low, high, size, places in BLOCKS:
+        some = np.flatnonzero((n >= low) & (n <= high))
+        for place in places:
+            for side, first in ((0, heads[some] + place), (1, heads[some] + n[some] - place - size)):
+                out.append((some, _hashes(own, first, size) * np.uint64(4) + np.uint64(2 * side)))
+    long = np.flatnonzero(n >= SKETCHED)
+    line, h = _least(own, heads[long], n[long])
+    out.append((long[line], h & ~np.uint64(1)))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+def plain_lines(text: Text, words: Words, first: np.ndarray, last: np.ndarray) -> list[str]:
+    """The normalised lines."""
+    raw = LOWER[text.data].tobytes()
+    start, end = words.start.tolist(), words.end.tolist()
+    return [b" ".join([raw[start[k] : end[k]] for k in range(a, b)]).decode(errors="replace") for a, b in zip(first.tolist(), last.tolist())]
+
+
+def halves_of(line: str) -> list[int]:
+    """Odd keys of a line's first and last half, of which lines that differ by one character share one; of two sizes if the number of characters is odd."""
+    half, out = len(line) // 2, []
+    for size in range(half, half + 1 + len(line) % 2):
+        for salt, part in ((b"a", line[:size]), (b"b", line[-size:])):
+            out.append(int.from_bytes(blake2b(part.encode(), digest_size=8, salt=salt).digest(), "little", signed=True) | 1)
+    return out
+
+
+def bigrams_of(line: str) -> int:
+    """64 bits of which one character's edit changes CHANGED at most: whether the pairs of neighbouring characters that fall to a bit are odd in number."""
+    bits, codes = 0, list(map(ord, line))
+    for a, b in zip(codes, codes[1:]):
+        bits ^= 1 << ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 13 & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def near_texts(x: Column, y: Column, percent: int) -> Column:
     """Whether the edit distance is within the limit, tried with growing bands."""
     limit = F.floor(F.greatest(F.length(x), F.length(y)) * (100 - percent) / 100).cast("int")
@@ -132,6 +192,8 @@ class Lines:
     """docs: row (unique), doc_id, text."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST_WORDS, bits: int = BITS, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK):
+        if percent < 90:
+            raise ValueError("blocks are cut for 90 percent or more")
         self.docs, self.least, self.bits, self.percent, self.small, self.block = docs, least, bits, percent, small, block
         self.classes: DataFrame | None = None
         self.near: DataFrame | None = None
@@ -151,40 +213,49 @@ class Lines:
             seen: set[int] = set()
             for batch in batches:
                 for _, _, text in slices(batch.column(2), SLICE_BYTES):
-                    words, _, _, first, last = lines_of(text, max(least, 9))
+                    words, _, _, first, last = lines_of(text, max(least, NEAR_WORDS))
                     own, heads = _sequence(words, first, last)
-                    n = last - first
-                    node, sim = nodes_of(own, heads, n).view(np.int64), simhashes_of(own, heads, n).view(np.int64)
-                    new = np.zeros(len(n), bool)
+                    node = nodes_of(own, heads, last - first).view(np.int64)
+                    new = []
                     for i, x in enumerate(node.tolist()):
                         if x not in seen:
                             seen.add(x)
-                            new[i] = True
+                            new.append(i)
                     if len(seen) > 1_000_000:
                         seen.clear()  # repeats are harmless
-                    line, key = keys_of(own, heads, n, percent)
-                    line, key = line[new[line]], key[new[line]]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[line]), pa.array(sim[line])], ["s", "node", "value"])
-
-        whole = Window.partitionBy("s")
-        keys = docs.mapInArrow(trimming(keyed), "s long, node long, value long")
-        several = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high").select("s", "node", "value").distinct()
+                    first, last, node = first[new], last[new], node[new]
+                    own, heads = _sequence(words, first, last)
+                    n = last - first
+                    line, key = keys_of(own, heads, n)
+                    sim, shape = simhashes_of(own, heads, n).view(np.int64), shapes_of(own, heads, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[line]), pa.array(sim[line]), pa.array(shape[line])], ["s", "node", "value", "more"])
+                    short = np.flatnonzero(n < SHORT)
+                    rows = [(key, int(node[i]), bigrams_of(x), len(x)) for i, x in zip(short.tolist(), plain_lines(text, words, first[short], last[short])) for key in halves_of(x)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["s", "node", "value", "more"])
+
+        whole, odd = Window.partitionBy("s"), F.col("s").bitwiseAND(F.lit(1)) == 1
+        keys = docs.mapInArrow(trimming(keyed), "s long, node long, value long, more long")
+        several = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high").select("s", "node", "value", "more").distinct()
         several = several.withColumn("size", F.count("*").over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
-        far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > bits)
-        self.groups = saved(several.where(~far).select("s", "node", "value", "size"), "groups")
+        far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > F.when(odd, CHANGED).otherwise(bits))
+        self.groups = saved(several.where(~far).select("s", "node", "value", "more", "size"), "groups")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, codes) of the given points, made again from the documents; a point may come more than once."""
-        count, least = nodes.count(), self.least
-        wanted = None
+        """(node, codes, chars) of the given points, made again from the documents; a point may come more than once. codes: a character per word, of lines of
+        nine words or more; chars: the normalised line, of lines of up to nine."""
+        count, least, docs, wanted = nodes.count(), self.least, self.docs, None
+        if count <= MOST_NAMED:  # only the documents that hold one of them
+            rows = self.lines.join(F.broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct()
+            docs = docs.join(F.broadcast(rows), "row", "left_semi")
         if count <= 2_000_000:  # 16 MB at most; beyond that, all lines are made and joined
-            wanted = self.docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r["node"] for r in nodes.toLocalIterator()), np.int64, count)))
+            wanted = self.docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
                 for _, _, text in slices(batch.column(2), SLICE_BYTES):
-                    words, _, _, first, last = lines_of(text, least)
+                    words, _, _, first, last = lines_of(text, max(least, NEAR_WORDS))
                     own, heads = _sequence(words, first, last)
                     node = nodes_of(own, heads, last - first).view(np.int64)
                     which = np.arange(len(node))
@@ -198,9 +269,12 @@ class Lines:
                             rows.append(i)
                     if len(seen) > 1_000_000:
                         seen.clear()  # repeats are harmless
-                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array([codes_of(own[heads[i] : heads[i] + last[i] - first[i]]) for i in rows], pa.string())], ["node", "codes"])
+                    n = (last - first)[rows]
+                    codes = [codes_of(own[heads[i] : heads[i] + k]) if k >= SHORT - 1 else None for i, k in zip(rows, n.tolist())]
+                    chars = iter(plain_lines(text, words, first[rows][n < SHORT], last[rows][n < SHORT]))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(codes, pa.string()), pa.array([next(chars) if k < SHORT else None for k in n.tolist()], pa.string())], ["node", "codes", "chars"])
 
-        found = self.docs.mapInArrow(trimming(emit), "node long, codes string")
+        found = docs.mapInArrow(trimming(emit), "node long, codes string, chars string")
         return found if wanted is not None else found.join(nodes, "node", "left_semi")
 
     def _verify(self, pairs: DataFrame) -> None:
@@ -212,22 +286,37 @@ class Lines:
         texts = self._texts(nodes)
         x, y = texts.alias("x"), texts.alias("y")  # the same shuffle serves both joins
         both = pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node"))
-        near = both.where(near_texts(F.col("x.codes"), F.col("y.codes"), self.percent)).select("a", "b").distinct()
-        self.near = saved(near if self.near is None else self.near.unionByName(near), "near")
-        self.classes = saved(components(self.near), "classes")
+        by_words = (F.greatest(F.length("x.codes"), F.length("y.codes")) >= SHORT) & near_texts(F.col("x.codes"), F.col("y.codes"), self.percent)
+        by_chars = F.call_function("levenshtein", F.col("x.chars"), F.col("y.chars"), F.lit(1)) >= 0
+        near = both.where(F.coalesce(by_words, F.lit(False)) | F.coalesce(by_chars, F.lit(False))).select("a", "b").distinct()
+        before, self.near = self.near, saved(near if self.near is None else self.near.unionByName(near), "near")
+        dropped(before, pairs, nodes)
+        before, self.classes = self.classes, saved(components(self.near), "classes")
+        dropped(before)
 
     def link(self) -> None:
         """Finds the classes of near-equal lines."""
-        bits = self.bits
-        near = lambda v, k, _, __: np.bitwise_count((v ^ k).view(np.uint64)) <= bits
+        words, chars = F.col("s").bitwiseAND(F.lit(1)) == 0, F.col("s").bitwiseAND(F.lit(1)) == 1
+        percent, bits = self.percent, self.bits
+        differ = lambda v, k: np.bitwise_count((v ^ k).view(np.uint64))
+        by_words = lambda v, k, _, __, x, y: (differ(v, k) <= bits) & can_be_near(x, y, percent)
+        by_chars = lambda v, k, _, __, x, y: (differ(v, k) <= CHANGED) & (np.abs(x - y) <= 1)
+        every = lambda rows: [pairs_within(rows.where(kind), near, self.block).select("a", "b") for kind, near in ((words, by_words), (chars, by_chars))]
         small = self.groups.where(F.col("size") <= self.small).withColumn("class", F.col("node"))
         large = self.groups.where(F.col("size") > self.small)
-        pivots = large.groupBy("s").agg(F.min(F.struct("node", "value")).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"))
-        stars = large.join(pivots, F.col("s") == F.col("group")).where((F.col("node") != F.col("pivot")) & (F.bit_count(F.col("value").bitwiseXOR(F.col("pivot_value"))) <= bits))
-        self._verify(pairs_within(small, near, self.block).select("a", "b").unionByName(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))))
+        point = F.struct("node", "value", "more")
+        pivots = large.groupBy("s").agg(F.min(point).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"), F.col("p.more").alias("pivot_more"))
+        apart, low = F.bit_count(F.col("value").bitwiseXOR(F.col("pivot_value"))), F.lit(0xFFFF)
+        n, m = F.col("more").bitwiseAND(low), F.col("pivot_more").bitwiseAND(low)
+        limit = F.floor(F.greatest(n, m) * (100 - percent) / 100)
+        alike = (apart <= bits) & (F.abs(n - m) <= limit) & (F.bit_count(F.shiftright(F.col("more").bitwiseXOR(F.col("pivot_more")), 16).bitwiseAND(F.lit((1 << 48) - 1))) <= 2 * limit)
+        alike = F.when(chars, (apart <= CHANGED) & (F.abs(F.col("more") - F.col("pivot_more")) <= 1)).otherwise(alike)
+        stars = large.join(pivots, F.col("s") == F.col("group")).where((F.col("node") != F.col("pivot")) & alike)
+        stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        self._verify(reduce(DataFrame.unionByName, every(small), stars))
         live = saved(with_classes(large.drop("size"), self.classes), "live")
         if not live.isEmpty():
-            self._verify(pairs_within(live, near, self.block).select("a", "b"))
+            self._verify(reduce(DataFrame.unionByName, every(live)))
 
     def removed(self) -> DataFrame:
         """(row, lines): numbers of the lines that go."""
