@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -143,24 +144,29 @@ class FakeBackend:
 
 
 def translated(chunks: DataFrame, backend: Callable[[int, str], str], *, interval: float = 0, permits: int = 1, partitions: int | None = None) -> DataFrame:
-    """(book_id, chunk_id, trans, status ok or api_error, error). Each task has an own share of the permits; write the result before anything reads it,
-    or a second evaluation repeats the calls."""
-    rows = chunks.select("book_id", "chunk_id", "orig")
-    if partitions:
-        rows = rows.repartition(partitions)
-    share = max(1, permits // max(1, partitions or 1))
+    """(book_id, chunk_id, trans, status ok or api_error, error). permits: calls at a time, and starts per interval, of all tasks together. With an interval, or
+    with `partitions`, chunks are dealt over so many tasks (at most one per permit), each with as many threads as its share of the permits; the rest of an uneven
+    division is left unused. Write the result before anything reads it, or a second evaluation repeats the calls."""
+    rows, share = chunks.select("book_id", "chunk_id", "orig"), 1
+    if partitions or interval > 0:
+        tasks = max(1, min(partitions or 1, permits))
+        rows, share = rows.repartition(tasks), max(1, permits // tasks)
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limiter = RateLimiter(interval, share)
-        for part in parts:
-            out = []
-            for book, chunk, text in zip(part["book_id"], part["chunk_id"], part["orig"]):
-                limiter.acquire()
-                try:
-                    out.append((book, chunk, without_thinking(backend(chunk, text)), "ok", None))
-                except Exception as e:  # any failure of a call is a result of its chunk
-                    out.append((book, chunk, None, "api_error", str(e)[:2000]))
-            yield pd.DataFrame(out, columns=["book_id", "chunk_id", "trans", "status", "error"])
+
+        def one(row: tuple) -> tuple:
+            book, chunk, text = row
+            limiter.acquire()
+            try:
+                return book, chunk, without_thinking(backend(chunk, text)), "ok", None
+            except Exception as e:  # any failure of a call is a result of its chunk
+                return book, chunk, None, "api_error", str(e)[:2000]
+
+        with ThreadPoolExecutor(share) as pool:
+            for part in parts:
+                asked = zip(part["book_id"], part["chunk_id"], part["orig"])
+                yield pd.DataFrame(list(pool.map(one, asked) if share > 1 else map(one, asked)), columns=["book_id", "chunk_id", "trans", "status", "error"])
 
     return rows.mapInPandas(call, RESULT)
 

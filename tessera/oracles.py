@@ -56,6 +56,37 @@ latest as (select * from a qualify row_number() over (partition by chunk_id orde
 book as (select doc_id as chunk_id, text as orig, coalesce(trans, '') as trans, coalesce(error_type <> 'ok', false) as is_error, error_type,
   case when error_type = 'api_error' then 'API错误' when error_type <> 'ok' then '格式错误' when coalesce(trans, '') <> '' then '已翻译' else '未翻译' end as status from documents left join latest on doc_id = chunk_id)"""
 _TIDY = r"regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]*\n[ \t]*\n[ \t]*\n+', chr(10) || chr(10), 'g'), '^(\s*\n)+', ''), '(\s*\n)+$', '')"
+# The fake backend's replies, block by block: number 6 of 7 chunks fails, the others are whole, lack the last block, number the first one 0, lack, double or forge an anchor.
+_FAULTS = rf"""{_CHUNKS},
+f0 as (select *, chunk_id % 7 as fault, count(*) over (partition by chunk_id) as size, min(case when contains(text, '</t1>') then n end) over (partition by chunk_id) as shut, min(case when contains(text, '<t1>') then n end) over (partition by chunk_id) as opened from z),
+f1 as (select *, case when fault = 2 and n = 1 then 0 else n end as id, case
+  when fault = 3 and n = shut then left(text, strpos(text, '</t1>') - 1) || substr(text, strpos(text, '</t1>') + 5)
+  when fault = 4 and n = opened then left(text, strpos(text, '<t1>') - 1) || '<t1><t1>' || substr(text, strpos(text, '<t1>') + 4)
+  when fault = 5 and n = 1 then text || '<s99/>' else text end as body from f0),
+f2 as (select * from f1 where fault <> 6 and not (fault = 1 and n = size)),
+f3 as (select *, list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(body, '<t(\d+)>', 1)),
+  lambda k: (length(body) - length(replace(body, '<t' || k || '>', ''))) / (length(k) + 3) <> (length(body) - length(replace(body, '</t' || k || '>', ''))) / (length(k) + 4)), lambda k: cast(k as bigint))) as wrong from f2),
+f4 as (select *, case when id <> n then 'index_mismatch_at_' || id || '_expected_' || n when len(wrong) > 0 then 'unbalanced_internal_t' || wrong[1] end as fails from f3),
+f5 as (select chunk_id, count(*) as got, string_agg('<' || id || '>' || body || '</' || id || '>', chr(10) order by n) as trans, arg_min(fails, n) filter (where fails is not null) as fails from f4 group by chunk_id),
+judged as (select c.chunk_id, n_blocks, case when c.chunk_id % 7 <> 6 then coalesce(trans, '') end as trans,
+  case when c.chunk_id % 7 = 6 then 'api_error' when coalesce(got, 0) <> n_blocks then 'line_count_mismatch' else coalesce(fails, 'ok') end as error_type from chunks c left join f5 on c.chunk_id = f5.chunk_id),
+parsed as (select f1.*, case when (fault = 1 and n = size) or (fault = 2 and n = 1) then text else regexp_replace(body, '^\s+|\s+$', '', 'g') end as reply from f1 where fault <> 6)"""
+# A block's tags put back; what its anchor </t1> stood for, if it has one.
+_BACK = r"case when mapping = '' then {0} else list_reduce(list_prepend({0}, string_split(mapping, chr(31))), lambda a, m: replace(a, split_part(m, '=', 1), substr(m, strpos(m, '=') + 1))) end"
+_SHUT = "coalesce(list_filter(list_transform(string_split(mapping, chr(31)), lambda m: case when starts_with(m, '</t1>=') then substr(m, 7) end), lambda x: x is not null)[1], '')"
+# Block elements in order of precedence; a line's first opening tag of the first element that is closed there or later spans the lines up to that.
+_ELEMENTS = ["p", "h[1-6]", "li", "blockquote", "figcaption", "dt", "dd", "summary", "pre", "text"]
+_OPENERS = ", ".join(rf"lower(regexp_extract(line, '(?i)<({t})(?:\s+[^>]*)?>', 1))" for t in _ELEMENTS)
+_PARAGRAPHS = rf"""{_LINES},
+closers as (select distinct page_id, line_idx, lower(unnest(regexp_extract_all(line, '(?i)</([a-z]+[1-6]?)\s*>', 1))) as name from lines),
+o0 as (select page_id, line_idx, [{_OPENERS}] as names from lines),
+o1 as (select page_id, line_idx, unnest(names) as name, unnest(range(len(names))) as place from o0),
+o2 as (select o1.page_id, o1.line_idx, place, min(closers.line_idx) as e from o1 join closers on o1.page_id = closers.page_id and o1.name = closers.name and closers.line_idx >= o1.line_idx where o1.name <> '' group by all),
+o3 as (select page_id, line_idx, arg_min(e, place) as e from o2 group by all),
+spans as (select lines.page_id, lines.line_idx, coalesce(e, lines.line_idx) as e from lines left join o3 on lines.page_id = o3.page_id and lines.line_idx = o3.line_idx),
+walk(page_id, a, e) as (select page_id, line_idx, e from spans where line_idx = 0 union all select s.page_id, s.line_idx, s.e from walk w join spans s on s.page_id = w.page_id and s.line_idx = w.e + 1),
+w1 as (select w.page_id, a, w.e, string_agg(line, chr(10) order by line_idx) as body, bool_and(ends) as whole from walk w join lines l on l.page_id = w.page_id and l.line_idx between a and w.e group by all),
+paragraphs as (select page_id, a as start_line, e as end_line, body || case when whole then chr(10) else '' end as text, row_number() over (order by page_id, a) - 1 as global_idx from w1 where regexp_matches(regexp_replace(body, '{_TAG}', '', 'g'), '{_READABLE}'))"""
 _TOKEN = r"</?\d+>|</?t\d+>|<s\d+/>"
 _DIRECT = rf"""
 l0 as (select doc_id, string_split(text, chr(10)) as l from documents),
@@ -95,6 +126,24 @@ SQL: dict[str, str] = {
         """select lines.page_id, string_agg(lines.line || case when t.line is null then '' when lines.ends then chr(10) || lines.line else chr(10) || lines.line end || case when lines.ends then chr(10) else '' end, '' order by lines.line_idx) as html
         from lines left join text t on lines.page_id = t.page_id and lines.line_idx = t.line_idx group by lines.page_id""",
     ),
+    "validate_format": _with(_FAULTS, "select chunk_id, trans, n_blocks, error_type from judged", True),
+    "parse_response": _with(_FAULTS, "select global_idx, reply as text from parsed", True),
+    "revalidate": _with(_FAULTS, "select chunk_id, case when coalesce(trans, '') <> '' then error_type end as error_type from judged", True),
+    "backfill_eligible": _with(_FAULTS, "select chunk_id from judged where error_type = 'ok' or starts_with(error_type, 'unbalanced_internal_')", True),
+    "export_eligible": _with(_FAULTS, "select chunk_id from judged where coalesce(trans, '') <> ''", True),
+    "blocks_of_chunk": _with(_CHUNKS, "select n, global_idx, replace(substring(text, 1, 100), chr(10), ' ') as preview from z where chunk_id = 3", True),
+    "chunk_detail": _with(_FAULTS, rf"select j.chunk_id, j.trans, array_to_string(list_sort(list_distinct(regexp_extract_all(orig, '{_TOKEN}'))), ',') as tokens, '<s99/>' as forged from judged j join chunks c on c.chunk_id = j.chunk_id where j.chunk_id = 5", True),
+    "all_done": "select * from (values ('faulty', false), ('whole', true)) as t(kind, done)",
+    "epub_round_trip": r"select page_id, row_number() over (partition by page_id % 10 order by page_id desc) - 1 as file_ord, regexp_replace(html, '\r\n?', chr(10), 'g') as html from pages",
+    "restore_faulty": _with(_BLOCKS, f"select page_id, line_idx, indent || {_BACK.format("replace(text, '</t1>', '')")} || {_SHUT} || tail as line from blocks"),
+    "render_translated": _with(
+        _FAULTS,
+        f"""select lines.page_id, string_agg(case when fault = 3 and n = shut then indent || {_BACK.format("reply")} || {_SHUT} || tail else lines.line || case when lines.ends then chr(10) else '' end end, '' order by lines.line_idx) as html
+        from lines left join parsed p on lines.page_id = p.page_id and lines.line_idx = p.line_idx group by lines.page_id""",
+        True,
+    ),
+    "paragraph_blocks": _with(_PARAGRAPHS, "select page_id, start_line, end_line, text, global_idx from paragraphs", True),
+    "render_direct": _with(_PARAGRAPHS, "select html.page_id, html.html || case when bool_or(p.text is not null and not ends_with(p.text, chr(10))) then chr(10) else '' end as html from html left join paragraphs p on html.page_id = p.page_id group by html.page_id, html.html", True),
     "strip_thinking": "select conv_id, turn, case turn % 3 when 0 then " + _TIDY.format("'<think>a <cot>b</cot> x' || text") + " when 1 then 'rest' else " + _TIDY.format("text") + " end as text from conversations",
     "code_fence_strip": "select conv_id, turn, trim(text, chr(10) || chr(13)) as text from conversations",
     "reply_decode": "select conv_id, turn, case when turn % 4 = 0 or (turn % 4 = 1 and text <> '') then text end as text, case when turn % 4 = 0 or (turn % 4 = 1 and text <> '') then 'ok' else 'api_error' end as status from conversations",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,8 @@ from .functions.replies import reply_content, status, strip_thinking
 from .operators import checks, chunks, lines, render, store, translate
 from .operators.anchors import anchor_blocks, placeholders, restored, tag_kinds, tag_pairs
 from .operators.paragraphs import paragraph_blocks
+from .plans.translation import prepare
+from .sources import epub
 from .sources.epub import from_pages
 
 FAULTS = ("none", "drop", "swap", "unbalance", "duplicate", "forge", "error")
@@ -21,8 +27,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of fewer splits than cores is dealt over the cores; a larger one is read where it lies."""
+    pages, cores = _table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.normalised_files(from_pages(_table(spark, sf_dir, "pages")))
+    return lines.normalised_files(from_pages(_pages(spark, sf_dir)))
+
+
+#: Where a local session without spark.checkpoint.dir keeps its books.
+_local: list[str] = []
+
+
+def _book(spark: SparkSession, sf_dir: str, mode: str = "anchor") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, blocks and chunks, computed once and written to the shared folder, as a translation job does."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = f"file://{_local[0]}"
+    book = store.Store(spark, f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/book-{uuid.uuid4().hex}")
+    found = prepare(book, from_pages(_pages(spark, sf_dir)), mode)
+    return book.read("files"), book.read("blocks"), found
 
 
 def html_normalize(spark, sf_dir):
@@ -95,10 +126,9 @@ def _chunks(spark, sf_dir):
     return chunks.chunked(anchor_blocks(files(spark, sf_dir)))
 
 
-def _results(spark, sf_dir, faults=FAULTS):
+def _judged(found, faults=FAULTS):
     """The chunks through the fake backend, with their check; deterministic, so it may be computed more than once."""
-    found = _chunks(spark, sf_dir)
-    return found, translate.judged(translate.translated(found, translate.FakeBackend(faults)), found)
+    return translate.judged(translate.translated(found, translate.FakeBackend(faults)), found)
 
 
 def translate_identity(spark, sf_dir):
@@ -107,12 +137,63 @@ def translate_identity(spark, sf_dir):
 
 
 def validate_format(spark, sf_dir):
-    return _results(spark, sf_dir)[1].select("chunk_id", "trans", "n_blocks", "error_type")
+    found = _book(spark, sf_dir)[2]
+    return _judged(found).select("chunk_id", "trans", F.col("n_blocks").cast("long").alias("n_blocks"), "error_type")
 
 
 def parse_response(spark, sf_dir):
-    found, results = _results(spark, sf_dir)
-    return checks.parsed(results.where("trans is not null"), chunks.chunk_blocks(found), anchor_blocks(files(spark, sf_dir))).select("global_idx", "text")
+    _, blocks, found = _book(spark, sf_dir)
+    return checks.parsed(_judged(found).where("trans is not null"), chunks.chunk_blocks(found), blocks).select("global_idx", "text")
+
+
+def revalidate(spark, sf_dir):
+    """Stored results checked anew."""
+    rows = _judged(_book(spark, sf_dir)[2]).withColumn("error_type", F.when(F.col("error_type") != "api_error", "stale").otherwise(F.col("error_type")))
+    return checks.revalidated(rows).select("chunk_id", "error_type")
+
+
+def backfill_eligible(spark, sf_dir):
+    return store.in_book(_judged(_book(spark, sf_dir)[2])).select("chunk_id")
+
+
+def export_eligible(spark, sf_dir):
+    return _judged(_book(spark, sf_dir)[2]).where(checks.exported(F.col("error_type"), F.col("trans"))).select("chunk_id")
+
+
+def blocks_of_chunk(spark, sf_dir):
+    _, blocks, found = _book(spark, sf_dir)
+    return store.blocks_of(chunks.chunk_blocks(found), blocks, 3).select(F.col("n").cast("long").alias("n"), "global_idx", "preview")
+
+
+def chunk_detail(spark, sf_dir):
+    """The chunk whose reply has a forged anchor."""
+    found = _book(spark, sf_dir)[2]
+    one = store.chunk_detail(store.reassembled(found.select("book_id", "chunk_id", "orig"), _judged(found).drop("n_blocks")), FAULTS.index("forge"))
+    return one.select("chunk_id", "trans", F.array_join(F.array_sort("tokens"), ",").alias("tokens"), F.array_join(F.array_sort("forged"), ",").alias("forged"))
+
+
+def all_done(spark, sf_dir):
+    """Whether nothing is left to translate: with failed calls, and without."""
+    found = _book(spark, sf_dir)[2]
+    rows = [(kind, store.all_done(found, _judged(found, faults))) for kind, faults in (("faulty", FAULTS), ("whole", ("none",)))]
+    return spark.createDataFrame(rows, "kind string, done boolean")
+
+
+def epub_round_trip(spark, sf_dir):
+    """Pages packed as ten books, whose spines run from the last page to the first, and read back."""
+    book = (F.col("page_id") % 10).cast("string")
+    pages = _pages(spark, sf_dir).select(book.alias("book_id"), "page_id", F.concat(F.lit("text/p"), F.col("page_id"), F.lit(".html")).alias("name"), "html")
+    listed = pages.groupBy("book_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("page_id", "name")))).alias("p"))
+    item = F.array_join(F.transform("p", lambda x: F.concat(F.lit("<item id='i"), x["page_id"], F.lit("' media-type='application/xhtml+xml' href='"), x["name"], F.lit("'/>"))), "")
+    ref = F.array_join(F.transform("p", lambda x: F.concat(F.lit("<itemref idref='i"), x["page_id"], F.lit("'/>"))), "")
+    package = F.concat(F.lit("<package xmlns='http://www.idpf.org/2007/opf'><manifest>"), item, F.lit("</manifest><spine>"), ref, F.lit("</spine></package>"))
+    container = F.lit("<container><rootfiles><rootfile full-path='book.opf'/></rootfiles></container>")
+    fixed = listed.select("book_id", F.explode(F.array(F.struct(F.lit("mimetype").alias("n"), F.lit("application/epub+zip").alias("t")), F.struct(F.lit("META-INF/container.xml").alias("n"), container.alias("t")), F.struct(F.lit("book.opf").alias("n"), package.alias("t")))).alias("m"))
+    parts = pages.select("book_id", F.col("name").alias("rel_path"), F.col("html").alias("t")).unionByName(fixed.select("book_id", F.col("m.n").alias("rel_path"), F.col("m.t").alias("t")))
+    made = parts.select("book_id", F.concat("book_id", F.lit(".epub")).alias("path"), "rel_path", F.col("t").cast("binary").alias("content"), F.lit(None).cast("int").alias("file_ord"))
+    books = epub.packed(made, spark.createDataFrame([], "book_id string, file_ord int, html string"))
+    back = epub.content_files(epub.unpacked(books.select("path", F.col("epub").alias("content"))))
+    return back.select(F.regexp_extract("rel_path", r"(\d+)", 1).cast("long").alias("page_id"), F.col("file_ord").cast("long").alias("file_ord"), "html")
 
 
 def restore_line(spark, sf_dir):
@@ -129,39 +210,33 @@ def restore_faulty(spark, sf_dir):
 
 
 def render_replace_identity(spark, sf_dir):
-    source = files(spark, sf_dir)
-    blocks = anchor_blocks(source)
+    source, blocks, _ = _book(spark, sf_dir)
     out = render.replaced(source, blocks, blocks.select("book_id", "global_idx", "text"))
     return out.select(F.col("file_ord").alias("page_id"), "html")
 
 
 def render_bilingual(spark, sf_dir):
-    source = files(spark, sf_dir)
-    blocks = anchor_blocks(source)
+    source, blocks, _ = _book(spark, sf_dir)
     out = render.bilingual(source, blocks, blocks.select("book_id", "global_idx", "text"))
     return out.select(F.col("file_ord").alias("page_id"), "html")
 
 
 def render_translated(spark, sf_dir):
     """The export with faulty replies: what isn't usable keeps its original line."""
-    source = files(spark, sf_dir)
-    blocks = anchor_blocks(source)
-    found = chunks.chunked(blocks)
-    results = translate.judged(translate.translated(found, translate.FakeBackend(FAULTS)), found)
+    source, blocks, found = _book(spark, sf_dir)
+    results = _judged(found)
     usable = results.where(checks.exported(F.col("error_type"), F.col("trans")))
     out = render.replaced(source, blocks, checks.parsed(usable, chunks.chunk_blocks(found), blocks))
     return out.select(F.col("file_ord").alias("page_id"), "html")
 
 
 def paragraph_blocks_query(spark, sf_dir):
-    return paragraph_blocks(files(spark, sf_dir)).select(F.col("file_ord").alias("page_id"), "start_line", "end_line", "text", "global_idx")
+    return paragraph_blocks(files(spark, sf_dir)).select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "text", F.col("global_idx").cast("long").alias("global_idx"))
 
 
 def render_direct(spark, sf_dir):
     """Direct mode through the identity backend."""
-    source = files(spark, sf_dir)
-    blocks = paragraph_blocks(source)
-    found = chunks.chunked(blocks, "direct")
+    source, blocks, found = _book(spark, sf_dir, "direct")
     results = translate.translated(found, translate.FakeBackend(("fence",)))
     return render.direct(source, blocks, chunks.chunk_blocks(found), results).select(F.col("file_ord").alias("page_id"), "html")
 
@@ -255,5 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "restore_line": restore_line, "restore_faulty": restore_faulty, "render_replace_identity": render_replace_identity, "render_bilingual": render_bilingual, "render_translated": render_translated,
     "paragraph_blocks": paragraph_blocks_query, "render_direct": render_direct, "strip_thinking": strip_thinking_query, "code_fence_strip": code_fence_strip, "reply_decode": reply_decode,
     "token_set": token_set, "forged_tokens": forged_tokens, "latest_result": latest_result, "reassemble": reassemble, "resume_pending": resume_pending, "status_filter": status_filter,
+    "revalidate": revalidate, "backfill_eligible": backfill_eligible, "export_eligible": export_eligible, "blocks_of_chunk": blocks_of_chunk, "chunk_detail": chunk_detail,
+    "all_done": all_done, "epub_round_trip": epub_round_trip,
     "status_counts": status_counts, "keyword_search": keyword_search, "chunk_list": chunk_list, "preview": preview, "history_topk": history_topk,
 }

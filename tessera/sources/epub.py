@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
-import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,35 +19,28 @@ MEMBERS = "book_id string, path string, rel_path string, content binary, file_or
 _PAGES = (".xhtml", ".html", ".htm")
 
 
-def _attributes(tag: str) -> dict[str, str]:
-    return dict(re.findall(r'([\w:.-]+)="([^"]*)"', tag))
+def _elements(text: str, name: str) -> Iterator[ElementTree.Element]:
+    """All elements of a local name, in document order, whatever their namespace."""
+    return (e for e in ElementTree.fromstring(text).iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2].lower() == name)
 
 
 def reading_order(names: list[str], read) -> list[str]:
     """Content files: the package's spine, then pages that it doesn't name, then tables of contents; without a usable package all of them by path."""
     pages = sorted(n for n in names if n.lower().endswith(_PAGES))
     contents = sorted(n for n in names if n.lower().endswith(".ncx"))
-    order: list[str] = []
     try:
-        container = read("META-INF/container.xml")
-        package = re.search(r'<rootfile\s+[^>]*full-path="([^"]+)"', container, re.IGNORECASE)[1]
-        text, here = read(package), posixpath.dirname(package)
-        items = {}
-        for tag in re.findall(r"<item\b([^>]+)>", text, re.IGNORECASE):
-            a = _attributes(tag)
-            if a.get("id") and a.get("href"):
-                items[a["id"]] = (a["href"], a.get("media-type", "").lower())
-        spine = re.search(r"<spine\b[^>]*>(.*?)</spine>", text, re.IGNORECASE | re.DOTALL)
-        for ref in re.findall(r'<itemref\s+[^>]*?\bidref="([^"]+)"', spine[1], re.IGNORECASE):
-            href, kind = items.get(ref, ("", ""))
-            path = posixpath.normpath(posixpath.join(here, unquote(href)))
-            if "html" in kind and path in names and path not in order:
-                order.append(path)
-        if not re.search("<itemref", spine[1], re.IGNORECASE):
-            raise KeyError("itemref")
-    except (KeyError, TypeError, UnicodeDecodeError):
+        package = next(_elements(read("META-INF/container.xml"), "rootfile")).attrib["full-path"]
+        text = read(package)
+        items = {e.get("id"): e for e in _elements(text, "item") if e.get("id") and e.get("href")}
+        refs = [e.get("idref") for e in _elements(text, "itemref")]
+    except (KeyError, StopIteration, UnicodeDecodeError, ElementTree.ParseError):
+        refs = []
+    if not refs:
         return sorted(pages + contents)
-    return order + [p for p in pages if p not in order] + contents
+    listed = [items[r] for r in refs if r in items and "html" in items[r].get("media-type", "").lower()]
+    paths = [posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(e.get("href")))) for e in listed]
+    order = list(dict.fromkeys(p for p in paths if p in set(names)))
+    return order + [p for p in pages if p not in set(order)] + contents
 
 
 def _unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +70,12 @@ def _unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def members(spark: SparkSession, path: str) -> DataFrame:
     """All members of the books under a path; content files have file_ord (reading order) and html, or decode_error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
-    return raw.mapInPandas(_unpack, MEMBERS)
+    return unpacked(raw)
+
+
+def unpacked(books: DataFrame) -> DataFrame:
+    """The members of books (path, content)."""
+    return books.mapInPandas(_unpack, MEMBERS)
 
 
 def content_files(members: DataFrame) -> DataFrame:
