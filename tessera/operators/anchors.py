@@ -1,101 +1,98 @@
-"""Inline tags as numbered anchors, per line and without a shuffle: tags of one line are paired by a fold over arrays."""
+"""Inline tags as numbered anchors, per line and without a shuffle: a line's tags are paired in one pass, by an Arrow function."""
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.markup import PLACEHOLDER, SPACE, TAG, VOID_TAGS, joined_pieces, split_by, trimmed
+from ..functions.markup import PLACEHOLDER, TAG, VOID_TAGS, joined_pieces, split_by
 from .lines import FILE, numbered, text_lines
 
-MAPPING = "array<struct<token:string,tag:string>>"
-
 
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.transform(F.array(value), use)[0]
 
 
-def tag_kinds(tags: Column) -> Column:
-    """Per tag (i, name, kind): o opens, c closes, u stands alone (comment, instruction, doctype, void or self-closing element)."""
-
-    def one(tag: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z0-9\-:]+)", 1))
-        alone = tag.startswith("<!--") | (name == "") | (~tag.startswith("</") & (tag.endswith("/>") | name.isin(VOID_TAGS)))
-        return F.struct(i.alias("i"), name.alias("name"), F.when(alone, "u").when(tag.startswith("</"), "c").otherwise("o").alias("kind"))
-
-    return F.transform(tags, one)
-
-
-def tag_pairs(kinds: Column) -> Column:
-    """Pairs (a, b) of places of opening and closing tags, by a: a closing tag takes the last open one of its name; pairs may cross."""
-    start = F.struct(F.array().cast("array<struct<i:int,name:string>>").alias("open"), F.array().cast("array<struct<a:int,b:int>>").alias("pairs"))
+_TAG = re.compile(TAG[5:], re.IGNORECASE | re.DOTALL | re.ASCII)
+_NAME = re.compile(r"</?([a-zA-Z0-9\-:]+)")
+_ALONE = frozenset(VOID_TAGS)
+_string = lambda *names: [T.StructField(x, T.StringType()) for x in names]
+TAGGED = T.ArrayType(T.StructType(_string("tag", "token")))
+SIMPLIFIED = T.StructType([*_string("text"), T.StructField("mapping", T.ArrayType(T.StructType(_string("token", "tag")))), *_string("indent", "trailing")])
 
-    def step(x: Column, tag: Column) -> Column:
-        opener = F.struct(tag["i"].alias("i"), tag["name"].alias("name"))
-        opened = F.struct(F.concat(x["open"], F.array(opener)).alias("open"), x["pairs"].alias("pairs"))
 
-        def close(back: Column) -> Column:
-            size = F.size(x["open"])
-            at = size - back  # of the open tag, from 0
-            pair = F.struct(F.get(x["open"], at)["i"].alias("a"), tag["i"].alias("b"))
-            left = F.concat(F.slice(x["open"], F.lit(1), at), F.slice(x["open"], at + 2, size))
-            return F.when(back > 0, F.struct(left.alias("open"), F.concat(x["pairs"], F.array(pair)).alias("pairs"))).otherwise(x)
+def _pairs(tags: list[str]) -> dict[int, int]:
+    """Places of opening tags with those of their closing tags: a closing tag takes the last open one of its name; pairs may cross. One pass with a stack per name."""
+    open_at, pairs = defaultdict(list), {}
+    for i, tag in enumerate(tags):
+        name = _NAME.match(tag)
+        if name is None:  # comment, instruction, doctype
+            continue
+        name = name[1].lower()
+        if tag.startswith("</"):
+            if open_at[name]:
+                pairs[open_at[name].pop()] = i
+        elif not tag.endswith("/>") and name not in _ALONE:
+            open_at[name].append(i)
+    return pairs
 
-        back = F.array_position(F.reverse(F.transform(x["open"], lambda o: o["name"])), tag["name"]).cast("int")
-        return F.when(tag["kind"] == "o", opened).when(tag["kind"] == "c", _let(back, close)).otherwise(x)
 
-    return F.array_sort(F.aggregate(kinds, start, step, lambda x: x["pairs"]))
-
-
-def placeholders(n_tags: Column, pairs: Column) -> Column:
+def _tokens(tags: list[str], pairs: dict[int, int]) -> list[str]:
     """Per tag its token: <tN> and </tN> for the N-th pair by opening tag, <sN/> for the N-th of the others."""
-    every = F.when(n_tags > 0, F.sequence(F.lit(0), n_tags - 1)).otherwise(F.array().cast("array<int>"))
-
-    def numbered_tags(opens: Column, closes: Column, single: Column) -> Column:
-        def token(i: Column) -> Column:
-            a, b = F.array_position(opens, i), F.array_position(closes, i)
-            return F.when(a > 0, F.concat(F.lit("<t"), a, F.lit(">"))).when(b > 0, F.concat(F.lit("</t"), b, F.lit(">"))).otherwise(F.concat(F.lit("<s"), F.array_position(single, i), F.lit("/>")))
-
-        return F.transform(every, token)
-
-    side = lambda k: F.transform(pairs, lambda p: p[k])
-    return _let(side("a"), lambda o: _let(side("b"), lambda c: _let(F.array_except(every, F.concat(o, c)), lambda s: numbered_tags(o, c, s))))
-
-
-def _mapping(tokens: Column, tags: Column, pairs: Column) -> Column:
-    """Tokens with their tags, in order of pairs and single tags; a pair's two tokens together."""
-
-    def own(i: Column) -> Column:
-        pair = F.get(F.filter(pairs, lambda p: p["a"] == i), 0)
-        one = lambda k: F.struct(F.get(tokens, k).alias("token"), F.get(tags, k).alias("tag"))
-        empty = F.array().cast(MAPPING)
-        return F.when(pair.isNotNull(), F.array(one(i), one(pair["b"]))).when(F.exists(pairs, lambda p: p["b"] == i), empty).otherwise(F.array(one(i)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(tags) - 1), own))
-
-
-def simplified(line: Column, ends: Column) -> Column:
-    """struct(text, mapping, indent, trailing) of a line; `ends`: whether a line break follows it."""
-    gaps, tags = split_by(line, TAG)
-
-    def build(t: Column) -> Column:
-        def with_pairs(p: Column) -> Column:
-            def with_tokens(k: Column) -> Column:
-                mapping = F.when(F.size(t) > 0, _mapping(k, t, p)).otherwise(F.array().cast(MAPPING))
-
-                def parts(whole: Column) -> Column:
-                    blank = F.regexp_extract(whole, rf"(?U)^({SPACE}*)", 1)
-                    after = F.regexp_extract(whole, rf"(?U)({SPACE}*)\z", 1)
-                    return F.struct(trimmed(whole).alias("text"), mapping.alias("mapping"), blank.alias("indent"), F.concat(after, F.when(ends, "\n").otherwise("")).alias("trailing"))
-
-                return _let(joined_pieces(gaps, k), parts)
-
-            return _let(placeholders(F.size(t), p), with_tokens)
-
-        return _let(tag_pairs(tag_kinds(t)), with_pairs)
-
-    return _let(tags, build)
+    out, singles = [""] * len(tags), 0
+    for n, a in enumerate(sorted(pairs), 1):
+        out[a], out[pairs[a]] = f"<t{n}>", f"</t{n}>"
+    for i, token in enumerate(out):
+        if not token:
+            singles += 1
+            out[i] = f"<s{singles}/>"
+    return out
+
+
+def _simplified(line: str, ends: bool) -> tuple:
+    """(text, mapping, indent, trailing). The mapping lists pairs and single tags in order, a pair's two tokens together."""
+    mapping, whole = [], line
+    if "<" in line and (found := list(_TAG.finditer(line))):
+        tags = [m[0] for m in found]
+        pairs = _pairs(tags)
+        tokens, shut = _tokens(tags, pairs), set(pairs.values())
+        parts, at = [], 0
+        for m, token in zip(found, tokens):
+            parts += [line[at : m.start()], token]
+            at = m.end()
+        whole = "".join(parts) + line[at:]
+        for i in range(len(tags)):
+            if i not in shut:
+                mapping += [(tokens[k], tags[k]) for k in (i, pairs.get(i)) if k is not None]
+    text = whole.strip()
+    lead = len(whole) - len(whole.lstrip())
+    after = whole[lead + len(text) :] if text else whole
+    return text, [{"token": x, "tag": y} for x, y in mapping], whole[:lead], after + ("\n" if ends else "")
+
+
+@F.arrow_udf(SIMPLIFIED)
+def simplified(line: pa.Array, ends: pa.Array) -> pa.Array:
+    """struct(text, mapping, indent, trailing) of a line; `ends`: whether a line break follows it. An Arrow batch at a time, one pass over a line's tags."""
+    rows = [_simplified(x or "", bool(e)) for x, e in zip(line.to_pylist(), ends.to_pylist())]
+    kinds = [pa.string(), pa.list_(pa.struct([("token", pa.string()), ("tag", pa.string())])), pa.string(), pa.string()]
+    columns = list(zip(*rows)) or [[], [], [], []]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text", "mapping", "indent", "trailing"])
+
+
+@F.arrow_udf(TAGGED)
+def tagged(line: pa.Array) -> pa.Array:
+    """A line's tags with their tokens."""
+    out = []
+    for x in line.to_pylist():
+        tags = [m[0] for m in _TAG.finditer(x or "")]
+        out.append([{"tag": t, "token": k} for t, k in zip(tags, _tokens(tags, _pairs(tags)))])
+    return pa.array(out, pa.list_(pa.struct([("tag", pa.string()), ("token", pa.string())])))
 
 
 def anchor_blocks(files: DataFrame) -> DataFrame:

@@ -11,31 +11,37 @@ from .lines import FILE, offsets
 CHUNK_CHARS = 1000
 
 
+def _starts(sizes: Column, step) -> Column:
+    """Places of the blocks that begin chunks. step(size, count, n) gives, for a block of n characters after a chunk so far: whether it begins a new one though the
+    last is open, and size and count of the chunk so far after it (count 0: closed). The fold keeps an entry per chunk, not per block."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("count"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def fold(x: Column, n: Column) -> Column:
+        flush, size, count = step(x["size"], x["count"], n)
+        begins = (x["count"] == 0) | flush
+        return F.struct(size.alias("size"), count.alias("count"), (x["i"] + 1).alias("i"), F.when(begins, F.concat(x["starts"], F.array(x["i"]))).otherwise(x["starts"]).alias("starts"))
+
+    return F.aggregate(sizes, start, fold, lambda x: x["starts"])
+
+
 def closing_chunks(sizes: Column, limit: int) -> Column:
-    """Per block its chunk: a chunk is closed by the block that brings it to the limit (and may pass it)."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    """Places where chunks begin: a chunk is closed by the block that brings it to the limit (and may pass it)."""
 
-    def step(x: Column, n: Column) -> Column:
-        size = x["size"] + n
-        full = size >= limit
-        return F.struct(F.when(full, 0).otherwise(size).alias("size"), F.when(full, x["chunk"] + 1).otherwise(x["chunk"]).alias("chunk"), F.concat(x["out"], F.array(x["chunk"])).alias("out"))
+    def step(size: Column, count: Column, n: Column) -> tuple[Column, Column, Column]:
+        full = size + n >= limit
+        return F.lit(False), F.when(full, 0).otherwise(size + n), F.when(full, 0).otherwise(count + 1)
 
-    return F.aggregate(sizes, start, step, lambda x: x["out"])
+    return _starts(sizes, step)
 
 
 def bounded_chunks(sizes: Column, limit: int) -> Column:
-    """Per block its chunk: a chunk is closed before the block that would bring it over the limit; a block of the limit's size stands alone."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("count"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    """Places where chunks begin: a chunk is closed before the block that would bring it over the limit; a block of the limit's size stands alone."""
 
-    def step(x: Column, n: Column) -> Column:
-        flush = (x["count"] > 0) & ((n >= limit) | (x["size"] + n > limit))
-        own = x["chunk"] + flush.cast("int")
-        alone = n >= limit
-        size = F.when(alone, 0).when(flush, n).otherwise(x["size"] + n)
-        count = F.when(alone, 0).when(flush, 1).otherwise(x["count"] + 1)
-        return F.struct(size.alias("size"), count.alias("count"), F.when(alone, own + 1).otherwise(own).alias("chunk"), F.concat(x["out"], F.array(own)).alias("out"))
+    def step(size: Column, count: Column, n: Column) -> tuple[Column, Column, Column]:
+        flush, alone = (count > 0) & ((n >= limit) | (size + n > limit)), n >= limit
+        return flush, F.when(alone, 0).when(flush, n).otherwise(size + n), F.when(alone, 0).when(flush, 1).otherwise(count + 1)
 
-    return F.aggregate(sizes, start, step, lambda x: x["out"])
+    return _starts(sizes, step)
 
 
 def anchored_prompt(texts: Column) -> Column:
@@ -51,11 +57,10 @@ def chunked(blocks: DataFrame, mode: str = "anchor", limit: int = CHUNK_CHARS) -
     """(book_id, file_ord, chunk_id, orig, n_blocks, blocks: their global_idx in order). A file's blocks are folded in one row; chunks never span files."""
     fold, prompt = (closing_chunks, anchored_prompt) if mode == "anchor" else (bounded_chunks, plain_prompt)
     files = blocks.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("block_ord", "global_idx", "text", "n_chars"))).alias("b"))
-    files = files.withColumn("c", fold(F.transform("b", lambda x: x["n_chars"]), limit)).withColumn("n_chunks", F.array_max("c") + 1)
+    files = files.withColumn("c", fold(F.transform("b", lambda x: x["n_chars"]), limit)).withColumn("n_chunks", F.size("c"))
     before = offsets(files.select(*FILE, "n_chunks"), "n_chunks").select(*FILE, "before")
-    rows = files.join(before, FILE).select(*FILE, "before", "b", "c", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("k"))
-    own = F.filter("b", lambda x, i: F.get(F.col("c"), i) == F.col("k"))
-    rows = rows.withColumn("own", own)
+    rows = files.join(before, FILE).select(*FILE, "before", "b", "c", F.posexplode("c").alias("k", "first"))
+    rows = rows.withColumn("own", F.slice("b", F.col("first") + 1, F.coalesce(F.get("c", F.col("k") + 1), F.size("b")) - F.col("first")))
     return rows.select(*FILE, (F.col("before") + F.col("k")).alias("chunk_id"), prompt(F.transform("own", lambda x: x["text"])).alias("orig"), F.size("own").alias("n_blocks"), F.transform("own", lambda x: x["global_idx"]).alias("blocks"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from .functions.markup import BLOCK_TAGS, BREAK_TAGS, VOID_TAGS
-from .operators.chunks import CHUNK_CHARS
-
+# Elements on lines of their own, line-ending elements, elements without an end tag, characters per chunk, what counts as a tag and as readable.
+BLOCK_TAGS = "p div h[1-6] ul ol li blockquote table tr td th thead tbody tfoot figure figcaption header footer article section aside nav main pre details summary dl dt dd".split()
+BREAK_TAGS = ["br", "hr"]
+VOID_TAGS = "img br hr col meta link input base source area param track wbr keygen".split()
+CHUNK_CHARS = 1000
 _TAG = r"(?is)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>|</?[a-zA-Z0-9\-:]+(?:\s+[^>]*)?>|<[a-zA-Z0-9\-:]+(?:\s+[^>]*)?/>"
 _READABLE = r"[a-zA-Z0-9\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}\x{00c0}-\x{024f}]"
 _B, _R = "|".join(BLOCK_TAGS), "|".join(BREAK_TAGS)

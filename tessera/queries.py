@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import markup
 from .functions.replies import reply_content, status, strip_thinking
 from .operators import checks, chunks, lines, render, store, translate
-from .operators.anchors import anchor_blocks, placeholders, restored, tag_kinds, tag_pairs
+from .operators.anchors import anchor_blocks, restored, tagged
 from .operators.paragraphs import paragraph_blocks
 from .plans.translation import prepare
 from .sources import epub
@@ -78,10 +78,7 @@ def readable_pages(spark, sf_dir):
 
 def tag_pairs_query(spark, sf_dir):
     rows = lines.text_lines(files(spark, sf_dir))
-    rows = rows.withColumn("tags", F.regexp_extract_all("line", F.lit(markup._grouped(markup.TAG)), F.lit(1))).where(F.size("tags") > 0)
-    rows = rows.withColumn("kinds", tag_kinds(F.col("tags"))).withColumn("pairs", tag_pairs(F.col("kinds")))
-    rows = rows.withColumn("tokens", placeholders(F.size("tags"), F.col("pairs")))
-    return rows.select(F.col("file_ord").alias("page_id"), F.col("line_idx").cast("long").alias("line_idx"), F.posexplode(F.arrays_zip("tags", "tokens")).alias("i", "z")).select("page_id", "line_idx", F.col("i").cast("long").alias("i"), F.col("z.tags").alias("tag"), F.col("z.tokens").alias("token"))
+    return rows.select(F.col("file_ord").alias("page_id"), F.col("line_idx").cast("long").alias("line_idx"), F.posexplode(tagged(F.col("line"))).alias("i", "z")).select("page_id", "line_idx", F.col("i").cast("long").alias("i"), F.col("z.tag").alias("tag"), F.col("z.token").alias("token"))
 
 
 def tag_simplify(spark, sf_dir):
