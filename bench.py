@@ -21,7 +21,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate()  # a shuffle has a partition per core
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["text_blocks"](spark, sf).count()  # starts the executor threads and compiles what all queries share

@@ -59,8 +59,9 @@ def chunked(blocks: DataFrame, mode: str = "anchor", limit: int = CHUNK_CHARS) -
     files = blocks.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("block_ord", "global_idx", "text", "n_chars"))).alias("b"))
     files = files.withColumn("c", fold(F.transform("b", lambda x: x["n_chars"]), limit)).withColumn("n_chunks", F.size("c"))
     before = offsets(files.select(*FILE, "n_chunks"), "n_chunks").select(*FILE, "before")
-    rows = files.join(before, FILE).select(*FILE, "before", "b", "c", F.posexplode("c").alias("k", "first"))
-    rows = rows.withColumn("own", F.slice("b", F.col("first") + 1, F.coalesce(F.get("c", F.col("k") + 1), F.size("b")) - F.col("first")))
+    # each chunk's row gets its own blocks only
+    own = F.transform("c", lambda first, k: F.slice("b", first + 1, F.coalesce(F.get("c", k + 1), F.size("b")) - first))
+    rows = files.join(before, FILE).select(*FILE, "before", F.posexplode(own).alias("k", "own"))
     return rows.select(*FILE, (F.col("before") + F.col("k")).alias("chunk_id"), prompt(F.transform("own", lambda x: x["text"])).alias("orig"), F.size("own").alias("n_blocks"), F.transform("own", lambda x: x["global_idx"]).alias("blocks"))
 
 

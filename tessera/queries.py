@@ -41,8 +41,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _local: list[str] = []
 
 
-def _book(spark: SparkSession, sf_dir: str, mode: str = "anchor") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, blocks and chunks, computed once and written to the shared folder, as a translation job does."""
+def _store(spark: SparkSession) -> store.Store:
+    """A new book store in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -51,7 +51,12 @@ def _book(spark: SparkSession, sf_dir: str, mode: str = "anchor") -> tuple[DataF
             _local.append(tempfile.mkdtemp(prefix="tessera-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = f"file://{_local[0]}"
-    book = store.Store(spark, f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/book-{uuid.uuid4().hex}")
+    return store.Store(spark, f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/book-{uuid.uuid4().hex}")
+
+
+def _book(spark: SparkSession, sf_dir: str, mode: str = "anchor") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, blocks and chunks, computed once and written to the shared folder, as a translation job does."""
+    book = _store(spark)
     found = prepare(book, from_pages(_pages(spark, sf_dir)), mode)
     return book.read("files"), book.read("blocks"), found
 
@@ -93,7 +98,7 @@ def block_global_index(spark, sf_dir):
 
 
 def chunk_anchor(spark, sf_dir):
-    found = chunks.chunked(anchor_blocks(files(spark, sf_dir)))
+    found = _chunks(spark, sf_dir)
     return found.select(F.col("file_ord").alias("page_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("n_blocks").cast("long").alias("n_blocks"), F.array_join("blocks", ",").alias("blocks"))
 
 
@@ -110,17 +115,17 @@ def chunk_direct(spark, sf_dir):
 
 
 def prompt_render(spark, sf_dir):
-    found = chunks.chunked(anchor_blocks(files(spark, sf_dir)))
+    found = _chunks(spark, sf_dir)
     return found.select(F.col("chunk_id").cast("long").alias("chunk_id"), "orig")
 
 
 def chunk_stats(spark, sf_dir):
-    found = chunks.chunk_counts(chunks.chunked(anchor_blocks(files(spark, sf_dir))))
+    found = chunks.chunk_counts(_chunks(spark, sf_dir))
     return found.select("book_id", F.col("n_chunks").cast("long"), F.col("n_files").cast("long"), F.col("n_blocks").cast("long"))
 
 
 def _chunks(spark, sf_dir):
-    return chunks.chunked(anchor_blocks(files(spark, sf_dir)))
+    return _book(spark, sf_dir)[2]
 
 
 def _judged(found, faults=FAULTS):
