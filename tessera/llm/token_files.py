@@ -2,9 +2,10 @@
 
 Re-Pair replaces frequent adjacent pairs by new symbols (nonterminals). Here a round counts all pairs of a
 shard, takes the most frequent ones such that no symbol is the left of one and the right of
-another (then no two occurrences overlap) and replaces all of them at once. Pairs never cross a document's
+another (then no two occurrences overlap; in runs of one id every second place counts) and replaces all of them at once. Rounds go
+on while a pair is frequent and symbols are left. Pairs never cross a document's
 end. A file holds the rules, each rule's expansion length, and per document its symbols and ids, so that
-any document, or any range of its ids, is decoded without the rest.
+any document, or any range of its ids, is decoded by the rules it uses, without the rest.
 
 Rows: null text counts as empty (the end id alone); a null doc_id comes first; equal doc_ids are ordered by text;
 an empty table gives no files and no rows; other columns are ignored.
@@ -33,27 +34,38 @@ WIDTH = 1 << 16
 END_ID = 2
 
 
-def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, least: int = 12, most: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n x 2) and the documents' ends among the symbols. ends: the place after each document's last id."""
+def _seconds(equal: np.ndarray) -> np.ndarray:
+    """Every second place of each run of set flags: of overlapping pairs of one id, those that begin within the pair before."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return at
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    return at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 1]
+
+
+def compressed(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 12, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (n x 2) and the documents' ends among the symbols. ends: the place after each document's last id.
+
+    Goes on until no pair occurs `least` times or the symbols run out; a round takes the `most` most frequent ones at a time, which bounds its table.
+    """
     seq = ids.astype(np.uint16)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     symbol = base
-    for _ in range(rounds):
-        room = WIDTH - symbol
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and symbol < WIDTH:
+        free = ~last[:-1]
+        free[_seconds((seq[:-1] == seq[1:]) & free)] = False
         codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ordered = np.sort(codes[~last[:-1]])
+        ordered = np.sort(codes[free])
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
         counts = np.diff(np.append(heads, len(ordered)))
         many = np.flatnonzero(counts >= least)
-        many = many[np.argsort(-counts[many], kind="stable")[: min(most, room)]]
+        many = many[np.argsort(-counts[many], kind="stable")]
         left, right, took, lefts, rights = np.zeros(WIDTH, np.uint16), np.zeros(WIDTH, np.uint16), [], 0, 0
         for code in ordered[heads[many]].tolist():
             a, b = code >> 16, code & 0xFFFF
-            if a == b or right[a] or left[b]:
+            if right[a] or left[b] or (a == b and (left[a] or right[b])):
                 continue
             if not left[a]:
                 lefts += 1
@@ -62,6 +74,8 @@ def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, le
                 rights += 1
                 right[b] = rights
             took.append((a, b))
+            if len(took) == min(most, WIDTH - symbol):
+                break
         if not took:
             break
         pairs = np.array(took, np.uint16)
@@ -69,18 +83,15 @@ def compressed(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, le
         table = np.zeros((lefts + 1) * (rights + 1), np.uint16)
         table[row[pairs[:, 0]] + column[pairs[:, 1]]] = np.arange(symbol, symbol + len(pairs), dtype=np.uint16)
         made = table.take(row.take(wide[:-1]) + column.take(wide[1:]))
-        made[last[:-1]] = 0
+        made[~free] = 0
         at = np.flatnonzero(made)
         seq[at] = made[at]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        before = len(seq)
         seq, last = seq[keep], last[keep]
         rules.append(pairs)
         symbol += len(pairs)
-        if len(at) < 0.03 * before:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), np.flatnonzero(last) + 1
 
 
@@ -129,7 +140,8 @@ class Shard:
         return _HEAD.pack(MAGIC, base, len(doc_ids), len(rules), len(symbols), zlib.crc32(body)) + body
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All symbols' ids in one array, and where each symbol's begin."""
+        """All symbols' ids in one array, and where each symbol's begin. A rule's pair occurred `least` times without overlap when it was made, so a
+        round's expansions together are no longer than that part of the shard."""
         if self._flat is None:
             begin = np.concatenate([[0], np.cumsum(self._sizes)])
             flat = np.empty(int(begin[-1]), np.uint32)
@@ -161,7 +173,23 @@ class Shard:
             return np.zeros(0, np.uint32)
         a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return self._expand(own[a:b])[lo - skipped : hi - skipped]
+        return self._range(own[a:b], lo - skipped, hi - skipped)
+
+    def _range(self, symbols: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Ids lo to hi of the symbols, by following only the rules that reach into the range; each turn opens all its nonterminals once."""
+        while True:
+            ends = np.cumsum(self._sizes[symbols])
+            a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "left")) + 1
+            skipped = int(ends[a - 1]) if a else 0
+            symbols, lo, hi = symbols[a:b], lo - skipped, hi - skipped
+            opened = symbols >= self.base
+            if not opened.any():
+                return symbols[lo:hi].astype(np.uint32)
+            wide = 1 + opened.astype(np.int64)
+            at = (np.cumsum(wide) - wide)[opened]
+            pairs = self.rules[symbols[opened].astype(np.int64) - self.base]
+            symbols = np.repeat(symbols, wide)
+            symbols[at], symbols[at + 1] = pairs[:, 0], pairs[:, 1]
 
 
 def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_ids: int = 1_500_000) -> DataFrame:

@@ -51,11 +51,38 @@ def test_grammar_round_trip_and_random_access():
         assert shard.document(i).tolist() == ids[a:b].tolist()
         for lo, hi in ((0, 1), (3, 90), (b - a - 1, b - a), (5, 5)):
             assert shard.document(i, lo, hi).tolist() == ids[a:b][lo:hi].tolist()
+    assert shard._flat is not None
+    fresh = token_files.Shard(token_files.Shard.packed([5, None, 7, 8, 9], ids, ends, 50257))
+    assert fresh.document(3, 5, 600).tolist() == ids[700:2401][5:600].tolist() and fresh._flat is None  # no expansion of the whole grammar
     assert shard.known.tolist() == [True, False, True, True, True]
     with pytest.raises(ValueError):
         token_files.Shard(token_files.Shard.packed([5], ids[:9], np.array([9]), 50257)[:-1])
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 3, 40])
+def test_grammar_leaves_no_frequent_pair(kinds):
+    rng = np.random.default_rng(kinds)
+    for n in (0, 1, 2, 3, 24, 25, 999):
+        ids = np.repeat(rng.integers(0, kinds, n), rng.integers(1, 6, n)).astype(np.uint32)
+        ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 5 if len(ids) else 0), len(ids)))
+        ends = ends[ends > 0]
+        symbols, rules, symbol_ends = token_files.compressed(ids, ends, 50)
+        spelled = {s: [s] for s in range(50)}
+        for k, (a, b) in enumerate(rules.tolist()):
+            spelled[50 + k] = spelled[a] + spelled[b]
+        begins = [0, *symbol_ends[:-1]]
+        got = [[x for s in symbols[a:b].tolist() for x in spelled[s]] for a, b in zip(begins, symbol_ends)]
+        assert got == [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+        left = {}
+        for a, b in zip(begins, symbol_ends):
+            i = a
+            while i + 1 < b:
+                pair = symbols[i], symbols[i + 1]
+                left[pair] = left.get(pair, 0) + 1
+                i += 2 if pair[0] == pair[1] and i + 2 < b and symbols[i + 2] == pair[0] else 1
+        assert max(left.values(), default=0) < 12
+
+
 def test_token_files_against_the_library(spark, library):
     texts = [*ODD, "same", "same"]
     got = token_files.token_files(rows(spark, texts, [100 - i for i in range(len(texts) - 2)] + [3, 3]).repartition(3), shard_ids=2000).orderBy("start").collect()
