@@ -6,6 +6,7 @@ against a document where its host is bad: the share of its documents that fail a
 
 Rows: a null text has no words; a null host is a host of its own; equal or null doc_ids are rows of their own; a single
 host, or hosts of equal rates, gives a prior so strong that all get the mean rate; an empty table gives no rows. Only the prior's three numbers reach the driver.
+Host rates are broadcast up to `most_hosts` hosts; beyond, documents and rates are joined by host and salt, so a hot host's documents are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ SPACE = " \t\n\x0b\f\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 HOST_LIMIT = 0.5
+#: Hosts whose rates are broadcast at most, and shares that a host's documents are dealt into beyond.
+MOST_HOSTS, SALTS = 500_000, 32
 
 
 def let(value: Column, use) -> Column:
@@ -80,19 +83,24 @@ def soft_failed(m: Column) -> Column:
     return (10 * m["n_symbols"] > m["n_words"]) | (100 * m["n_dup_lines"] > 30 * m["n_lines"]) | (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])
 
 
-def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT, columns: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT, columns: list[str] | None = None, most_hosts: int = MOST_HOSTS) -> DataFrame:
     """The given columns (all, if none are given) as struct `row`, the counts as struct `m`, and base_failed, soft_failed, host_rate, kept."""
     rows = docs.select(F.struct(*(docs[c] for c in columns or docs.columns)).alias("row"), docs[host_col].cast("string").alias("host"), measured(docs[text_col]).alias("m"))
     rows = rows.select("*", base_failed(F.col("m")).alias("base_failed"), soft_failed(F.col("m")).alias("soft_failed"))
     rows = saved(rows, "rules")
     failed = F.col("base_failed") | F.col("soft_failed")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed.cast("int")).alias("bad"))
+    hosts = saved(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed.cast("int")).alias("bad")), "hosts")
     rate = F.col("bad") / F.col("n")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.count("*").alias("n")).first()
     mean, spread = prior["m"] or 0.0, prior["v"] or 0.0
     strength = max(0.0, mean * (1 - mean) / spread - 1) if spread > 1e-12 else 1e12
     hosts = hosts.select(F.col("host").alias("of"), ((F.col("bad") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
-    joined = rows.join(hosts, rows["host"].eqNullSafe(hosts["of"]))
+    if prior["n"] <= most_hosts:
+        joined = rows.join(F.broadcast(hosts), rows["host"].eqNullSafe(hosts["of"]))
+    else:
+        dealt = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
+        hosts = hosts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = dealt.join(hosts.hint("merge"), dealt["host"].eqNullSafe(hosts["of"]) & (dealt["salt"] == hosts["share"]))
     return joined.select("row", "m", "base_failed", "soft_failed", "host_rate", (~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("host_rate") >= host_limit))).alias("kept"))
 
 
