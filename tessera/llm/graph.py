@@ -1,4 +1,4 @@
-"""Pairs within groups, and connected components of an edge table by alternating large-star and small-star steps."""
+"""Pairs and links within groups, and connected components of an edge table by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import edits
 from .common import bounded, dropped, saved
+from .memory import trimming
 
 #: Up to so many rows a group's pairs are made along with those of all other such groups.
 SMALL = 64
+#: So many bytes of texts are compared at once, or those of one group's block.
+TEXT_BYTES = 16_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,9 +55,16 @@ def with_classes(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(state, F.col("s") == F.col("live")).drop("live")
 
 
+def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
+    """(s, i, j, own, columns) sorted by s, i, j: rows of each group, of one with more than `block` rows by pairs of blocks."""
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
+    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+    return dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+
+
 def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, homes=None) -> DataFrame:
     """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
-    Where rows have a column `more`, a second value, near gets (more, more) of both sides too.
 
     homes: a broadcast of (nodes ascending, where each one's groups begin, their numbers ascending), if given a pair comes from the first group
     that both are in only, for groups of over SMALL rows.
@@ -60,18 +72,14 @@ def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, h
     rows: s, node, value, class, size. A group of more than `block` rows is dealt out as pairs of blocks, so a task never holds more than two
     blocks of it.
     """
-    parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
-    dealt = dealt.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "value", "class", *(["more"] if "more" in rows.columns else []))
-    dealt = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    dealt = _dealt(rows, block, "node", "value", "class")
 
     def ordered(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         first = a < b
         return np.stack([np.where(first, a, b), np.where(first, b, a), np.where(first, x, y), np.where(first, y, x)], axis=1)
 
     def kept(table: np.ndarray, some: np.ndarray, other: np.ndarray | int) -> np.ndarray:
-        pair = (table[some, 5], table[other, 5], table[some, 4], table[other, 4])
-        return near(*pair, table[some, 7], table[other, 7]) if table.shape[1] > 7 else near(*pair)
+        return near(table[some, 5], table[other, 5], table[some, 4], table[other, 4])
 
     def of_large(group: np.ndarray) -> Iterator[np.ndarray]:
         """Each row against all after it."""
@@ -146,3 +154,75 @@ def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, h
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, k]) for k in range(4)], ["a", "b", "x", "y"])
 
     return dealt.mapInArrow(pairs, "a long, b long, x long, y long")
+
+
+def links_within(rows: DataFrame, near: Callable[..., np.ndarray], limit: Callable[..., np.ndarray], block: int, small: int = SMALL) -> DataFrame:
+    """Links (a < b) that join the classes which pairs of one group s within the edit limit join. Pairs are verified where the group is, so that rows come per joined classes, not per pair.
+
+    rows: s, node, value, more, class, size, text. near(s, value, value, more, more): whether two rows can be near; limit(s, length, length): how many edits two texts may be apart. Groups
+    are dealt out as in pairs_within; those of up to `small` rows are dealt with together.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Runs of whole groups."""
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)], axis=1)
+            last = np.flatnonzero(np.any(keys != keys[-1], axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            rest = table.slice(cut)
+            for lo, hi in cuts(keys[:cut], pc.binary_length(table.column(8)).to_numpy()[:cut]):
+                yield table.slice(lo, hi - lo)
+        if rest is not None:
+            yield rest
+
+    def cuts(keys: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Whole groups of about TEXT_BYTES of text."""
+        heads = np.flatnonzero(np.concatenate([[True], np.any(keys[1:] != keys[:-1], axis=1)])) if len(keys) else np.zeros(0, np.int64)
+        run = (np.cumsum(size) // TEXT_BYTES)[heads]
+        first = heads[np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))] if len(heads) else heads
+        return zip(first.tolist(), [*first[1:].tolist(), len(keys)])
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole(batches):
+            table = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(8)], axis=1)
+            s, own, node, value, more, kind = table[:, 0], table[:, 3], table[:, 4], table[:, 5], table[:, 6], table[:, 7]
+            codes, at = edits.flat(part.column(8).to_pylist())
+            n, bits = np.diff(at), edits.parities(codes, at)
+            found: list[tuple[np.ndarray, ...]] = []
+
+            def keep(x: np.ndarray, y: np.ndarray) -> None:
+                ok = kind[x] != kind[y]  # noqa: B023
+                x, y = x[ok], y[ok]
+                ok = near(s[x], value[x], value[y], more[x], more[y])  # noqa: B023
+                x, y = x[ok], y[ok]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) + np.abs(n[x] - n[y])  # noqa: B023
+                most = limit(s[x], n[x], n[y])  # noqa: B023
+                ok = apart <= 2 * most
+                found.append((x[ok], y[ok], apart[ok], most[ok]))  # noqa: B023
+
+            heads = np.concatenate([[True], np.any(table[1:, :3] != table[:-1, :3], axis=1)])
+            group = np.cumsum(heads) - 1
+            size, cross = np.bincount(group)[group], table[:, 1] != table[:, 2]
+            first, step = np.flatnonzero((size <= small) & ~cross), 1
+            while len(first):  # rows against those one, two, ... places behind, while any group is that long
+                first = first[first + step < len(table)]
+                first = first[group[first] == group[first + step]]
+                keep(first, first + step)
+                step += 1
+            for k in np.flatnonzero((size > small) | cross).tolist():
+                after = np.arange(k + 1, int(np.searchsorted(group, group[k], "right")))
+                after = after[own[after] != own[k]] if cross[k] else after
+                keep(np.full(len(after), k), after)
+            if not found:
+                continue
+            x, y, apart, most = (np.concatenate(z) for z in zip(*found))
+            some = edits.links(codes, at, kind, x, y, apart, most)
+            a, b = node[x[some]], node[y[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _dealt(rows, block, "node", "value", "more", "class", "text").mapInArrow(trimming(joining), "a long, b long")

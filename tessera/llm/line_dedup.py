@@ -10,8 +10,8 @@ the limit is missed; lines from 36 words on have the `SKETCH` least hashes of th
 probability of 0.99, whatever the places of the edits. Numbers of words, the parities of words that fall to one of 48 bits (an edit changes two at most) and SimHash bits
 (more than `bits` apart) then spare edit distances.
 
-In a block's group of up to `small` points all pairs with close hashes are verified. Of a larger group all members are first compared with one of them; groups that
-this makes one class are done, however large. Only pairs of different classes are then compared, in blocks of rows. Edit distances are verified by the JVM's banded algorithm with growing bands.
+All members of a block's group are first compared with one of them, by the JVM's banded edit distance with growing bands; groups that this makes one class are done, however large. The
+rest's lines go to the groups, in blocks of rows, where pairs of different classes are verified as long as their classes are two (edits.py); what comes out is a row per joined classes, not per pair.
 The kept occurrence is the first by doc_id, row and line.
 
 Rows: a null text stays null and has no lines; lines without a word are left alone; null doc_ids come last when the kept occurrence is chosen; equal doc_ids are rows of
@@ -21,7 +21,6 @@ their own; a document that loses all its lines keeps an empty text; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, Text, Words, bounded, dropped, mixed, saved, slices, words_of
-from .graph import components, pairs_within, with_classes
+from .graph import components, links_within, with_classes
 from .memory import trimming
 
 LEAST_WORDS, BITS, PERCENT = 1, 28, 90
@@ -109,7 +108,8 @@ def can_be_near(x: np.ndarray, y: np.ndarray | int, percent: int) -> np.ndarray:
     """Whether two shapes allow the edit limit."""
     n, m = x & 0xFFFF, y & 0xFFFF
     limit = np.maximum(n, m) * (100 - percent) // 100
-    return (np.abs(n - m) <= limit) & (np.bitwise_count(((x ^ y) >> 16).view(np.uint64) & np.uint64((1 << 48) - 1)) <= 2 * limit)
+    odd = np.bitwise_count(((x ^ y) >> 16).view(np.uint64) & np.uint64((1 << 48) - 1)).astype(np.int64)
+    return (np.abs(n - m) <= limit) & (odd + np.abs(n - m) <= 2 * limit)
 
 
 def codes_of(own: np.ndarray) -> str:
@@ -237,9 +237,9 @@ class Lines:
         whole, odd = Window.partitionBy("s"), F.col("s").bitwiseAND(F.lit(1)) == 1
         keys = docs.mapInArrow(trimming(keyed), "s long, node long, value long, more long")
         several = keys.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low <> high").select("s", "node", "value", "more").distinct()
-        several = several.withColumn("size", F.count("*").over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
+        several = several.withColumn("size", F.count("*").over(whole)).withColumn("pivot", F.min(F.struct("node", "value", "more")).over(whole)).withColumn("low", F.min("value").over(whole)).withColumn("high", F.max("value").over(whole))
         far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > F.when(odd, CHANGED).otherwise(bits))
-        self.groups = saved(several.where(~far).select("s", "node", "value", "more", "size"), "groups")
+        self.groups = saved(several.where(~far).select("s", "node", "value", "more", "pivot"), "groups")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """(node, codes, chars) of the given points, made again from the documents; a point may come more than once. codes: a character per word, of lines of
@@ -289,34 +289,45 @@ class Lines:
         by_words = (F.greatest(F.length("x.codes"), F.length("y.codes")) >= SHORT) & near_texts(F.col("x.codes"), F.col("y.codes"), self.percent)
         by_chars = F.call_function("levenshtein", F.col("x.chars"), F.col("y.chars"), F.lit(1)) >= 0
         near = both.where(F.coalesce(by_words, F.lit(False)) | F.coalesce(by_chars, F.lit(False))).select("a", "b").distinct()
+        self._extend(near)
+        dropped(pairs, nodes)
+
+    def _extend(self, near: DataFrame) -> None:
+        """New links extend the classes."""
         before, self.near = self.near, saved(near if self.near is None else self.near.unionByName(near), "near")
-        dropped(before, pairs, nodes)
+        dropped(before)
         before, self.classes = self.classes, saved(components(self.near), "classes")
         dropped(before)
 
     def link(self) -> None:
         """Finds the classes of near-equal lines."""
-        words, chars = F.col("s").bitwiseAND(F.lit(1)) == 0, F.col("s").bitwiseAND(F.lit(1)) == 1
+        chars = F.col("s").bitwiseAND(F.lit(1)) == 1
         percent, bits = self.percent, self.bits
-        differ = lambda v, k: np.bitwise_count((v ^ k).view(np.uint64))
-        by_words = lambda v, k, _, __, x, y: (differ(v, k) <= bits) & can_be_near(x, y, percent)
-        by_chars = lambda v, k, _, __, x, y: (differ(v, k) <= CHANGED) & (np.abs(x - y) <= 1)
-        every = lambda rows: [pairs_within(rows.where(kind), near, self.block).select("a", "b") for kind, near in ((words, by_words), (chars, by_chars))]
-        small = self.groups.where(F.col("size") <= self.small).withColumn("class", F.col("node"))
-        large = self.groups.where(F.col("size") > self.small)
-        point = F.struct("node", "value", "more")
-        pivots = large.groupBy("s").agg(F.min(point).alias("p")).select(F.col("s").alias("group"), F.col("p.node").alias("pivot"), F.col("p.value").alias("pivot_value"), F.col("p.more").alias("pivot_more"))
-        apart, low = F.bit_count(F.col("value").bitwiseXOR(F.col("pivot_value"))), F.lit(0xFFFF)
-        n, m = F.col("more").bitwiseAND(low), F.col("pivot_more").bitwiseAND(low)
+        others = self.groups.where(F.col("node") != F.col("pivot.node"))
+        apart, low = F.bit_count(F.col("value").bitwiseXOR(F.col("pivot.value"))), F.lit(0xFFFF)
+        n, m = F.col("more").bitwiseAND(low), F.col("pivot.more").bitwiseAND(low)
         limit = F.floor(F.greatest(n, m) * (100 - percent) / 100)
-        alike = (apart <= bits) & (F.abs(n - m) <= limit) & (F.bit_count(F.shiftright(F.col("more").bitwiseXOR(F.col("pivot_more")), 16).bitwiseAND(F.lit((1 << 48) - 1))) <= 2 * limit)
-        alike = F.when(chars, (apart <= CHANGED) & (F.abs(F.col("more") - F.col("pivot_more")) <= 1)).otherwise(alike)
-        stars = large.join(pivots, F.col("s") == F.col("group")).where((F.col("node") != F.col("pivot")) & alike)
-        stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        self._verify(reduce(DataFrame.unionByName, every(small), stars))
-        live = saved(with_classes(large.drop("size"), self.classes), "live")
-        if not live.isEmpty():
-            self._verify(reduce(DataFrame.unionByName, every(live)))
+        odd = F.bit_count(F.shiftright(F.col("more").bitwiseXOR(F.col("pivot.more")), 16).bitwiseAND(F.lit((1 << 48) - 1)))
+        alike = (apart <= bits) & (F.abs(n - m) <= limit) & (odd + F.abs(n - m) <= 2 * limit)
+        alike = F.when(chars, (apart <= CHANGED) & (F.abs(F.col("more") - F.col("pivot.more")) <= 1)).otherwise(alike)
+        self._verify(others.where(alike).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
+        live = saved(with_classes(others.drop("pivot"), self.classes), "live")
+        if live.isEmpty():
+            return
+        nodes = saved(live.select("node").distinct(), "nodes")
+        texts = self._texts(nodes).dropDuplicates(["node"])
+
+        def near(s: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            differ = np.bitwise_count((v ^ w).view(np.uint64))
+            return np.where(s & 1 == 1, (differ <= CHANGED) & (np.abs(x - y) <= 1), (differ <= bits) & can_be_near(x, y, percent))
+
+        def most(s: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+            longer = np.maximum(n, m)
+            return np.where(s & 1 == 1, 1, np.where(longer >= SHORT, longer * (100 - percent) // 100, -1))
+
+        rows = live.join(texts, "node").select("s", "node", "value", "more", "class", "size", F.when(chars, F.col("chars")).otherwise(F.col("codes")).alias("text"))
+        self._extend(links_within(rows, near, most, self.block, self.small))
+        dropped(live, nodes)
 
     def removed(self) -> DataFrame:
         """(row, lines): numbers of the lines that go."""

@@ -165,3 +165,66 @@ def test_query_drops_exact_repeats_of_short_lines(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: texts[0], 1: "other words", 2: "...\n...", 3: None}
+
+
+def families(rng, number, size, words=60, edits=5):
+    """Lines of one template each, apart by about twice the edit limit's share."""
+    out = []
+    for f in range(number):
+        base = [f"f{f}w{i}" for i in range(words)]
+        for k in range(size):
+            w = list(base)
+            for at in rng.choice(np.arange(words // 2, words), edits, replace=False).tolist():
+                w[at] = f"own{f}x{k}x{at}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_no_table_holds_a_row_per_pair_of_a_group(spark, monkeypatch):
+    """Lines that share a block but mostly aren't near: joins hold rows by the groups' rows, links rows by classes."""
+    lines = families(np.random.default_rng(3), 2, 90)
+    docs = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "row long, doc_id long, text string")
+    own, asked, verify = line_dedup.Lines(docs), [], line_dedup.Lines._verify
+    monkeypatch.setattr(line_dedup.Lines, "_verify", lambda self, pairs: (asked.append(pairs.distinct().count()), verify(self, pairs)))
+    own.link()
+    assert sum(asked) <= own.groups.count()
+    assert own.near is None or own.near.count() <= 2 * len(lines)
+    want = brute(list(enumerate(lines)))
+    got = line_dedup.deduped(docs.select("doc_id", "text")).select("doc.doc_id", "doc.text", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_edit_distances_in_bands(monkeypatch):
+    from tessera.llm import edits
+
+    monkeypatch.setattr(edits, "BANDS", (2,))
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "xyz"]
+    for n in rng.integers(0, 40, 20):
+        w = rng.integers(97, 105, int(n)).tolist()
+        for _ in range(3):
+            for p in rng.integers(0, len(w) + 1, int(rng.integers(0, 5))).tolist():
+                w[p : p + int(rng.integers(0, 2))] = [120] * int(rng.integers(0, 2))
+            texts.append("".join(map(chr, w)))
+    codes, at = edits.flat(texts)
+    a, b = np.triu_indices(len(texts), 1)
+    true = np.array([distance(texts[i], texts[j]) for i, j in zip(a, b)])
+    bits, n = edits.parities(codes, at), np.diff(at)
+    assert (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) + np.abs(n[a] - n[b]) <= 2 * true).all()
+    for limit in (0, 1, 3, 7):
+        assert (edits.within(codes, at, a, b, np.full(len(a), limit)) == (true <= limit)).all()
+    limit = rng.integers(0, 9, len(a))
+    assert (edits.within(codes, at, a, b, limit) == (true <= limit)).all()
+    some = edits.links(codes, at, np.arange(len(texts)), a, b, true, np.full(len(a), 2))
+    assert (true[some] <= 2).all()
+    root = {}
+
+    def find(i):
+        while root.get(i, i) != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(a[some].tolist(), b[some].tolist()):
+        assert find(i) != find(j)  # a link joins two classes
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i, j in zip(a[true <= 2].tolist(), b[true <= 2].tolist()))
