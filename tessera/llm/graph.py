@@ -63,6 +63,32 @@ def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
     return dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
 
 
+def _last(kind: np.ndarray) -> np.ndarray:
+    """An order of rows in which those of the largest class come last."""
+    names, times = np.unique(kind, return_counts=True)
+    return np.argsort(kind == names[np.argmax(times)], kind="stable")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Runs of whole groups; one that is split over batches comes when it is complete."""
+    rest: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        last = np.flatnonzero(np.any(table[:, :3] != table[-1, :3], axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if rest and np.any(rest[0][0, :3] != table[0, :3]):
+            yield np.concatenate(rest)
+            rest = []
+        if cut:
+            yield np.concatenate([*rest, table[:cut]])
+            rest = []
+        rest.append(table[cut:])
+    if rest:
+        yield np.concatenate(rest)
+
+
 def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, homes=None) -> DataFrame:
     """Pairs (a < b, x and y: their values) of nodes of one group s, of two classes, that near(values, value, nodes, node) keeps; once per group.
 
@@ -82,10 +108,11 @@ def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, h
         return near(table[some, 5], table[other, 5], table[some, 4], table[other, 4])
 
     def of_large(group: np.ndarray) -> Iterator[np.ndarray]:
-        """Each row against all after it."""
+        """Each row against all after it; those of the largest class come last, as they have no pairs among themselves."""
+        group = group[_last(group[:, 6])]
         own, node, value, kind = group[:, 3], group[:, 4], group[:, 5], group[:, 6]
         cross, earlier = group[0, 1] != group[0, 2], None
-        for k in range(len(group) - 1):
+        for k in range(int(np.sum(kind != kind[-1]))):
             ok = kind[k + 1 :] != kind[k]
             if cross:
                 ok &= own[k + 1 :] != own[k]
@@ -123,27 +150,8 @@ def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, h
             if len(some):
                 yield ordered(node[some], node[some + k], value[some], value[some + k])
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """Runs of whole groups; one that is split over batches comes when it is complete."""
-        rest: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-            last = np.flatnonzero(np.any(table[:, :3] != table[-1, :3], axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if rest and np.any(rest[0][0, :3] != table[0, :3]):
-                yield np.concatenate(rest)
-                rest = []
-            if cut:
-                yield np.concatenate([*rest, table[:cut]])
-                rest = []
-            rest.append(table[cut:])
-        if rest:
-            yield np.concatenate(rest)
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
+        for table in _groups(batches):
             heads = np.concatenate([[True], np.any(table[1:, :3] != table[:-1, :3], axis=1)])
             group = np.cumsum(heads) - 1
             size = np.bincount(group)[group]
@@ -156,6 +164,30 @@ def pairs_within(rows: DataFrame, near: Callable[..., np.ndarray], block: int, h
     return dealt.mapInArrow(pairs, "a long, b long, x long, y long")
 
 
+def nearest_within(rows: DataFrame, apart: Callable[..., np.ndarray], block: int) -> DataFrame:
+    """(a, b), a < b: each node with the one of its group, of another class, that seems nearest by apart(values, value, nodes, node), if that is finite; as many rows as nodes at most
+    where groups have one block. Rows as in pairs_within."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            heads = np.flatnonzero(np.concatenate([[True], np.any(table[1:, :3] != table[:-1, :3], axis=1)]))
+            found = []
+            for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(table)]):
+                own, node, value, kind = table[lo:hi, 3], table[lo:hi, 4], table[lo:hi, 5], table[lo:hi, 6]
+                cross = table[lo, 1] != table[lo, 2]
+                for k in range(hi - lo):
+                    some = np.flatnonzero((kind != kind[k]) & (own != own[k]) if cross else kind != kind[k])
+                    if len(some):
+                        distance = apart(value[some], value[k], node[some], node[k])
+                        best = int(np.argmin(distance))
+                        if np.isfinite(distance[best]):
+                            found.append(sorted((int(node[k]), int(node[some[best]]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return _dealt(rows, block, "node", "value", "class").mapInArrow(nearest, "a long, b long")
+
+
 def links_within(rows: DataFrame, near: Callable[..., np.ndarray], limit: Callable[..., np.ndarray], block: int, small: int = SMALL) -> DataFrame:
     """Links (a < b) that join the classes which pairs of one group s within the edit limit join. Pairs are verified where the group is, so that rows come per joined classes, not per pair.
 
@@ -214,10 +246,13 @@ def links_within(rows: DataFrame, near: Callable[..., np.ndarray], limit: Callab
                 first = first[group[first] == group[first + step]]
                 keep(first, first + step)
                 step += 1
-            for k in np.flatnonzero((size > small) | cross).tolist():
-                after = np.arange(k + 1, int(np.searchsorted(group, group[k], "right")))
-                after = after[own[after] != own[k]] if cross[k] else after
-                keep(np.full(len(after), k), after)
+            large = (size > small) | cross
+            for lo in np.flatnonzero(heads & large).tolist():
+                rows = lo + _last(kind[lo : lo + int(size[lo])])
+                for k in range(int(np.sum(kind[rows] != kind[rows[-1]]))):
+                    after = rows[k + 1 :]
+                    after = after[own[after] != own[rows[k]]] if cross[lo] else after
+                    keep(np.full(len(after), rows[k]), after)
             if not found:
                 continue
             x, y, apart, most = (np.concatenate(z) for z in zip(*found))

@@ -8,8 +8,8 @@ limit share at least one region (a point's prefix is as long as that needs), whi
 Within a region, pivots are points. Round 0 measures each region's members against one of them; members within the limit form one class,
 and regions that hold a single class are done, however many copies they have. Regions of more than `leaf` points are measured against
 `PIVOTS` further ones; its points go to the Voronoi cells of their nearest pivots and, by the triangle inequality, also to every cell whose pivot is
-not farther than the nearest one by more than twice the limit; cells are regions again, for `depth` levels. What is left is
-joined pair by pair: pairs of one class, of sizes too different, or with distances to a common pivot that differ by more than the limit are
+not farther than the nearest one by more than twice the limit; cells are regions again, for `depth` levels. In those still large each point is measured
+against the one that seems nearest in one of its cells, twice, so that points beside a class join it first. What is left is joined pair by pair: pairs of one class, of sizes too different, or with distances to a common pivot that differ by more than the limit are
 skipped, as are pairs whose bucket counts (a contraction of the metric) are too far apart; pairs that share fewer rare shingles than a pair within the limit must have are dropped; all others are verified on
 their whole sets. Before that, points that share too few of their rare shingles with all others together are left out: they are within the limit of none. A leaf that stays large is dealt out in blocks.
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Text, bounded, documents, dropped, mixed, saved, slices, words_of
-from .graph import SMALL, components, pairs_within, with_classes
+from .graph import SMALL, components, nearest_within, pairs_within, with_classes
 from .memory import trimming
 
 WIDTH = 5
@@ -43,6 +43,7 @@ FREE = 1 << 29
 BUCKETS = 256
 MOST_NAMED, MOST_NODES, MOST_SKETCHES = 500_000, 2_000_000, 200_000
 LEAF, DEPTH, PIVOTS, BLOCK = 16, 2, 3, 2048
+TURNS = 2
 _TURN = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -312,7 +313,7 @@ class Join:
 
     def _homes(self, live: DataFrame):
         """The regions of the points of large regions, for all tasks; none where they are too many (pairs then come once per region)."""
-        rows = saved(live.where(F.col("size") > SMALL).select("node", "s"), "homes")
+        rows = saved(live.where(F.col("size") > min(SMALL, self.block)).select("node", "s"), "homes")
         if rows.count() > 4_000_000:  # 64 MB at most
             return None
         table = rows.orderBy("node", "s").toArrow()
@@ -322,23 +323,48 @@ class Join:
 
     def _leaves(self, live: DataFrame, homes=None) -> DataFrame:
         """Candidate pairs (a, b, m: the smaller size), once per region they share, or once in all where homes are given."""
+        low, apart = (1 << 32) - 1, self._apart(live)
+        pairs = pairs_within(self._packed(live), lambda *row: np.isfinite(apart(*row)), self.block, homes)
+        return pairs.select("a", "b", F.least(F.col("x").bitwiseAND(F.lit(low)), F.col("y").bitwiseAND(F.lit(low))).alias("m"))
+
+    @staticmethod
+    def _packed(live: DataFrame) -> DataFrame:
+        return live.withColumn("value", F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long")))
+
+    def _apart(self, live: DataFrame):
+        """How far points seem apart (a share of their sizes, by bucket counts), infinite where they can't be within the limit."""
         percent, low, sketches = self.percent, (1 << 32) - 1, self._sketches(live)
 
-        def near(values: np.ndarray, value: np.ndarray | int, nodes: np.ndarray, node: np.ndarray | int) -> np.ndarray:
+        def apart(values: np.ndarray, value: np.ndarray | int, nodes: np.ndarray, node: np.ndarray | int) -> np.ndarray:
             n, u, m, v = values & low, values >> 32, value & low, value >> 32
             ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((np.maximum(u, v) >= FREE) | ((100 + percent) * np.minimum(u, v) >= percent * (n + m)))
+            out = np.where(ok, 0.0, np.inf)
             if sketches is not None:
                 names, table = sketches.value
                 some, m, node = np.flatnonzero(ok), np.broadcast_to(m, n.shape), np.broadcast_to(node, nodes.shape)
                 for lo in range(0, len(some), 2048):
                     part = some[lo : lo + 2048]
                     x, y = (table[np.searchsorted(names, z[part])].astype(np.int16) for z in (nodes, node))
-                    ok[part] = (100 + percent) * np.abs(x - y).sum(axis=1) <= (100 - percent) * (n[part] + m[part])
-            return ok
+                    differ, sizes = np.abs(x - y).sum(axis=1), n[part] + m[part]
+                    out[part] = np.where((100 + percent) * differ <= (100 - percent) * sizes, differ / sizes, np.inf)
+            return out
 
-        packed = F.shiftleft(F.col("u").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-        pairs = pairs_within(live.withColumn("value", packed), near, self.block, homes)
-        return pairs.select("a", "b", F.least(F.col("x").bitwiseAND(F.lit(low)), F.col("y").bitwiseAND(F.lit(low))).alias("m"))
+        return apart
+
+    def _gathered(self, live: DataFrame) -> DataFrame:
+        """The regions left when each point was measured against the one that seems nearest in one of its regions, some `TURNS` times in other regions: points beside a class join it
+        before pairs are made of them and the whole class."""
+        for turn in range(TURNS):
+            if live.isEmpty():
+                break
+            chosen = live.groupBy("node").agg(F.min_by(F.struct("s", "n", "u", "class"), F.xxhash64("s", F.lit(turn))).alias("p")).select("p.s", "node", "p.n", "p.u", "p.class")
+            chosen = saved(chosen, "chosen")
+            sizes = chosen.groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select(F.col("s").alias("region"), "size")
+            rows = chosen.join(sizes, F.col("s") == F.col("region")).drop("region")
+            self._measure(nearest_within(self._packed(rows), self._apart(chosen), self.block))
+            before, live = live, self._live(live.drop("class", "size"))
+            dropped(chosen, before if turn else None)
+        return live
 
     def run(self) -> DataFrame:
         live = self._live(self.regions)
@@ -349,7 +375,7 @@ class Join:
             if big.isEmpty():
                 break
             big = self._live(saved(self._voronoi(big, level), "cells"))
-            large.append(big.where(F.col("size") <= self.leaf) if level < DEPTH else big)
+            large.append(big.where(F.col("size") <= self.leaf) if level < DEPTH else self._gathered(big))
             big = big.where(F.col("size") > self.leaf)
         live = self._live(self.regions) if large else live
         # pairs of small regions are counted there; a pair that shares a larger one comes once from it, or from its cells, and is counted by a join
@@ -358,7 +384,7 @@ class Join:
         middle = live.where((F.col("size") > small) & (F.col("size") <= self.leaf))
         rest = self._leaves(middle, self._homes(middle))
         for part in large:
-            rest = rest.unionByName(self._triangle(self._leaves(part).distinct()))
+            rest = rest.unionByName(self._triangle(self._leaves(part, self._homes(part)).distinct()))
         rest = self._sharing(saved(rest.distinct(), "rest"))
         pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b").unionByName(rest)
         self._measure(pairs)

@@ -112,3 +112,41 @@ def test_equal_sets_have_equal_signatures_wherever_they_stand():
     whole = ngram_join.signatures(*ngram_join.shingle_sets(text_of(pa.array(texts))))
     alone = [ngram_join.signatures(*ngram_join.shingle_sets(text_of(pa.array([t]))))[0] for t in texts]
     assert whole.tolist() == alone
+
+
+def test_a_large_group_of_copies_gives_no_row_per_pair_and_region(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    vocab, texts = [f"w{i}" for i in range(5000)], []
+    core = rng.choice(vocab, 200).tolist()
+    for k in range(150):  # a group of near copies, and texts beside it
+        w = list(core)
+        for at in rng.integers(0, 200, 2 if k < 110 else 7):
+            w[int(at)] = str(rng.choice(vocab))
+        texts.append(" ".join(w))
+    for module in (graph, ngram_join):
+        monkeypatch.setattr(module, "SMALL", 8)
+    made, leaves = [], ngram_join.Join._leaves
+
+    def counted(self, live, *homes):
+        pairs = leaves(self, live, *homes).persist()
+        made.append((live.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join.Join, "_leaves", counted)
+    rows = list(enumerate(texts))
+    got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    print(made)
+    assert all(pairs <= live for live, pairs in made)
+
+
+def test_nearest_of_another_class(spark):
+    rows = [(1, k, k * k, k // 3, 9) for k in range(9)] + [(2, 50, 1, 50, 1), (3, 60, 1, 7, 2), (3, 61, 2, 7, 2)]
+    df = spark.createDataFrame(rows, "s long, node long, value long, class long, size long")
+    far = lambda v, w, n, m: np.where(np.abs(v - w) > 20, np.inf, np.abs(v - w).astype(float))
+    want = set()
+    for s, node, v, c, _ in rows:
+        others = [(abs(v - w), m) for t, m, w, d, _ in rows if t == s and c != d and abs(v - w) <= 20]
+        if others:
+            want.add(tuple(sorted((node, min(others)[1]))))
+    assert {tuple(r) for r in graph.nearest_within(df, far, 2048).collect()} == want
