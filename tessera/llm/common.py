@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -43,23 +44,50 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun here delete their shuffle files when they end, which else stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.options(compression="zstd", **options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[id(table)] = (weakref.ref(table), path)
     return table
 
 
-#: The folder of each written table.
+#: The folder of each written table, and how many rows those have that were counted.
 _folders: dict[int, tuple[weakref.ref, str]] = {}
+_counts: dict[int, tuple[weakref.ref, int]] = {}
+
+
+def rows_of(df: DataFrame) -> int:
+    """How many rows a written table has, counted once."""
+    known, count = _counts.get(id(df), (lambda: None, 0))
+    if known() is not df:
+        with shuffles_freed(df.sparkSession):
+            count = df.count()
+        _counts[id(df)] = (weakref.ref(df), count)
+    return count
 
 
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes written tables that nothing will read any more (others are left alone)."""
     for table in tables:
         known, path = _folders.pop(id(table), (lambda: None, ""))
+        _counts.pop(id(table), None)
         if table is not None and known() is table:
             jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
             folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,7 +103,7 @@ def cleared(spark: SparkSession) -> None:
 
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written table of a few numbers a row, marked for broadcast if it has at most so many rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if rows_of(df) <= rows else df
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

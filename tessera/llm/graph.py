@@ -11,23 +11,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import edits
-from .common import bounded, dropped, saved
+from .common import bounded, dropped, rows_of, saved, shuffles_freed
 from .memory import trimming
 
 #: Up to so many rows a group's pairs are made along with those of all other such groups.
 SMALL = 64
 #: So many bytes of texts are compared at once, or those of one group's block.
 TEXT_BYTES = 16_000_000
-
-
-def components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges the driver finds the components (8 MB of edges); beyond them they are found by joins.
+MOST_EDGES = 500_000
+
+
+def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, and each one's smallest reachable node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low != high
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, high[open_], low[open_])  # a root hangs on the smallest one it meets
+        while np.any(root[root] != root):
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """From edges (a, b) of longs: (node, component) for every node of an edge between two nodes, component being its smallest node.
 
-    Each step hangs a node's larger (then smaller) neighbours on its smallest one; the number of steps grows with the logarithm of the
-    component's size. Steps are written to the shared folder, so lineage stays short and lost executors cost one step.
+    Up to `most` edges are solved by the driver. With more, each step hangs a node's larger (then smaller) neighbours on its smallest one; the number of steps grows
+    with the logarithm of the component's size. Steps are written to the shared folder, so lineage stays short and lost executors cost one step.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = saved(pairs, "edges"), None
+    if rows_of(pairs) <= most:
+        table = pairs.toArrow()
+        dropped(pairs)
+        nodes, roots = _rooted(table["u"].to_numpy(), table["v"].to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(roots, pa.int64())}))
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("m", "u").alias("m"))
@@ -37,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("of")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, pairs = pairs, saved(small.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct(), "small")
         dropped(last, large)
-        state = tuple(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        with shuffles_freed(pairs.sparkSession):
+            state = tuple(pairs.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if state == before:
             break
         before = state

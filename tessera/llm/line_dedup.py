@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Text, Words, bounded, dropped, mixed, saved, slices, words_of
+from .common import ALNUM, LOWER, Text, Words, bounded, dropped, mixed, rows_of, saved, shuffles_freed, slices, words_of
 from .graph import components, links_within, with_classes
 from .memory import trimming
 
@@ -244,7 +244,7 @@ class Lines:
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """(node, codes, chars) of the given points, made again from the documents; a point may come more than once. codes: a character per word, of lines of
         nine words or more; chars: the normalised line, of lines of up to nine."""
-        count, least, docs, wanted = nodes.count(), self.least, self.docs, None
+        count, least, docs, wanted = rows_of(nodes), self.least, self.docs, None
         if count <= MOST_NAMED:  # only the documents that hold one of them
             rows = self.lines.join(F.broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct()
             docs = docs.join(F.broadcast(rows), "row", "left_semi")
@@ -350,7 +350,8 @@ def deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lines = Lines(rows.select("row", F.col(f"doc.{id_col}").cast("long").alias("doc_id"), F.col(f"doc.{text_col}").cast("string").alias("text")), **options)
     lines.link()
     gone = saved(lines.removed().select(F.col("row").alias("of"), "lines"), "removed")
-    size = gone.agg(F.coalesce(F.sum(F.size("lines") + 4), F.lit(0))).first()[0]
+    with shuffles_freed(docs.sparkSession):
+        size = gone.agg(F.coalesce(F.sum(F.size("lines") + 4), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(gone) if size <= 4_000_000 else gone, F.col("row") == F.col("of"), "left")  # 16 MB at most
     parts = F.split(F.col(f"doc.{text_col}"), "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("lines", i)), "\n")

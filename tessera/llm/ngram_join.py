@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Text, bounded, documents, dropped, mixed, saved, slices, words_of
+from .common import Text, bounded, documents, dropped, mixed, rows_of, saved, shuffles_freed, slices, words_of
 from .graph import SMALL, components, nearest_within, pairs_within, with_classes
 from .memory import trimming
 
@@ -139,7 +139,8 @@ class Join:
         self.profile = profile
         self.members = profile.where("shingle is null").select("doc_id", "n", "sig")
         often = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= hot_least)
-        rows = often.orderBy(F.desc("times"), "shingle").limit(hot_most).collect()
+        with shuffles_freed(self.spark):
+            rows = often.orderBy(F.desc("times"), "shingle").limit(hot_most).collect()
         hot = np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
         self.regions = self._trimmed(self._first_level(self.spark.sparkContext.broadcast(hot)))
         schema = "a long, b long, near boolean, distance double"
@@ -213,7 +214,7 @@ class Join:
         """Exact distances of new pairs (a < b); links extend the classes."""
         pairs = saved(pairs.distinct().join(self.tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        count = nodes.count()
+        count, ids = rows_of(nodes), None
         if not count:
             return
         docs, wanted = self.docs, None
@@ -254,7 +255,7 @@ class Join:
         union = F.col("total") - F.col("shared")
         measured = shared.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance"))
         before, self.tried = self.tried, saved(self.tried.unionByName(measured).distinct(), "tried")
-        dropped(before, pairs, nodes)
+        dropped(before, pairs, nodes, ids)
         before, self.classes = self.classes, saved(components(self.tried.where("near").select("a", "b")), "classes")
         dropped(before)
 
@@ -303,20 +304,22 @@ class Join:
         nodes = live.select("node").distinct()
         found = self.profile.where("sig is not null").join(nodes, F.col("sig") == F.col("node"), "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
         found = saved(found, "sketches")
-        count = found.count()
+        count = rows_of(found)
         if not count or count > MOST_SKETCHES:  # 51 MB at most
             return None
         names, table = np.empty(count, np.int64), np.empty((count, BUCKETS), np.uint8)
         for i, row in enumerate(found.orderBy("sig").toLocalIterator()):
             names[i], table[i] = row["sig"], np.frombuffer(row["sketch"], np.uint8)
+        dropped(found)
         return self.spark.sparkContext.broadcast((names, table))
 
     def _homes(self, live: DataFrame):
         """The regions of the points of large regions, for all tasks; none where they are too many (pairs then come once per region)."""
         rows = saved(live.where(F.col("size") > min(SMALL, self.block)).select("node", "s"), "homes")
-        if rows.count() > 4_000_000:  # 64 MB at most
+        if rows_of(rows) > 4_000_000:  # 64 MB at most
             return None
-        table = rows.orderBy("node", "s").toArrow()
+        table = rows.toArrow().sort_by([("node", "ascending"), ("s", "ascending")])
+        dropped(rows)
         nodes = table["node"].to_numpy()
         begin = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.zeros(0, np.int64)
         return self.spark.sparkContext.broadcast((nodes[begin], np.append(begin, len(nodes)), table["s"].to_numpy()))
@@ -385,7 +388,7 @@ class Join:
         rest = self._leaves(middle, self._homes(middle))
         for part in large:
             rest = rest.unionByName(self._triangle(self._leaves(part, self._homes(part)).distinct()))
-        rest = self._sharing(saved(rest.distinct(), "rest"))
+        rest = self._sharing(rest.distinct())
         pairs = counted.where(F.col("shared") >= shared_least(F.col("m"))).select("a", "b").unionByName(rest)
         self._measure(pairs)
         return self._answer()

@@ -1,11 +1,13 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import graph, ngram_join
-from tessera.llm.common import text_of
+from tessera.llm.common import rows_of, saved, text_of
 
 
 def sets_of(text):
@@ -107,6 +109,31 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if any(x in f and f[0] != f[1] for f in edges)}
 
 
+def test_components_by_joins_and_by_the_driver_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    edges = [(i + 1, i) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(-500, 500, (400, 2))]
+    table = spark.createDataFrame(edges, "a long, b long")
+    few, many = (sorted(map(tuple, graph.components(table, most=m).collect())) for m in (1000, 0))
+    assert few == many and len(few) == len({x for e in edges if e[0] != e[1] for x in e})
+    assert graph.components(table.where("a = b")).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    kept, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), files()
+    table = saved(kept, "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and rows_of(table) == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_equal_sets_have_equal_signatures_wherever_they_stand():
     texts = [" ".join(f"w{(i * 7 + k) % 50}" for k in range(20 + i)) for i in range(40)]
     whole = ngram_join.signatures(*ngram_join.shingle_sets(text_of(pa.array(texts))))
