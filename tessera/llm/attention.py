@@ -77,7 +77,7 @@ def _cut(kinds: np.ndarray, first: np.ndarray, text: np.ndarray, ends: np.ndarra
 def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log P(targets[i] | kinds up to i in its text), for texts of so many places, one after the other, and of the mean of `starts` over the classes there."""
     out, some_of = np.zeros(len(kinds), np.float32), np.zeros(len(kinds), np.float32)
-    starts = starts.astype(np.float32)
+    sums = np.stack([np.ones(len(starts)), starts], axis=1).astype(np.float32)
     first, text = windows(lengths)
     ends = np.repeat(np.cumsum(lengths), -(-lengths // STRIDE))
     for lo in range(0, len(first), CHUNK):
@@ -93,9 +93,10 @@ def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, len
             top = logits.max(axis=2)
             logits -= top[:, :, None]
             hit = hit - top
-        total = np.exp(logits, out=logits).sum(axis=2)
-        out[place[valid]] = (hit - np.log(total))[valid]
-        some_of[place[valid]] = np.log((logits.reshape(-1, size) @ starts).reshape(total.shape) / total)[valid]
+        total, begin = (np.exp(logits, out=logits).reshape(-1, size) @ sums).reshape(*want.shape, 2).transpose(2, 0, 1)
+        place = place[valid]
+        out[place] = (hit - np.log(total))[valid]
+        some_of[place] = np.log(begin / total)[valid]
     return out, some_of
 
 
@@ -106,15 +107,17 @@ def gradients(p: dict[str, np.ndarray], kinds: np.ndarray, known: np.ndarray, wa
     if not -60 < float(logits.min()) <= float(logits.max()) < 60:  # seldom: exponents that need a shift
         logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
-    logits *= 1 / logits.sum(axis=2, keepdims=True)
+    flat = lambda y: y.reshape(-1, y.shape[-1])
+    total = flat(logits) @ np.ones(logits.shape[2], np.float32)
     count = max(1, int(valid.sum()))
-    hit = np.take_along_axis(logits, want[:, :, None], 2)[:, :, 0]
-    loss = float(-np.log(np.maximum(hit[valid], 1e-30)).sum() / count)
+    at = np.arange(want.size) * logits.shape[2] + want.ravel()
+    hit = logits.reshape(-1).take(at) / total
+    loss = float(-np.log(np.maximum(hit[valid.ravel()], 1e-30)).sum() / count)
+    weight = (valid.ravel() / np.float32(count)).astype(np.float32)
     d = logits
-    np.put_along_axis(d, want[:, :, None], (hit - 1)[:, :, None], 2)
-    d *= (valid / np.float32(count)).astype(np.float32)[:, :, None]
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"out": flat(u).T @ flat(d)}
+    d *= (weight / total).reshape(*want.shape, 1)
+    d.reshape(-1)[at] = (hit - 1) * weight
+    g = {"out": (flat(d).T @ flat(u)).T}
     du = (flat(d) @ p["out"].T).reshape(u.shape)
     g["mix"] = flat(o).T @ flat(du)
     do = (flat(du) @ p["mix"].T).reshape(o.shape)

@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import LOWER, Text, documents, saved, slices, words_of
+from .memory import trimming
 from .tokens import encoder, release, vocabulary_path
 
 BLOCK_BYTES = 10_000_000
+#: A row group holds a few blocks, so that neither its writer nor its readers hold as many as a task has.
+ROW_GROUP_BYTES = 16_000_000
 #: Each round takes the texts whose number in the block has another remainder by SHARE; as many rounds as that take every text once.
 ROUNDS, SHARE = 2, 2
 UNIGRAM = 0.1
@@ -41,6 +44,9 @@ OWN_CLASSES, BUCKETS = 48, 16
 BEGINS = 2 * BUCKETS
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, n_words binary, low binary, high binary, hashes binary, train binary, subs binary, sub_counts binary, train_tokens long"
 
+#: What the ids of a block's texts are made of.
+_TEXTS = ("held_out", "n_words", "low", "high", "subs", "sub_counts")
+
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
@@ -86,20 +92,20 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                 )
                 count += 1
 
-    return saved(docs.mapInArrow(encode, _BLOCK), "blocks")
+    # the writer looks at its sizes at each row, not each hundredth: a block's row is megabytes
+    return saved(docs.mapInArrow(trimming(encode), _BLOCK), "blocks", **{"parquet.block.size": str(ROW_GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
 
 
 class Block:
-    """A block's arrays."""
+    """A block's arrays; columns that are not there are empty."""
 
     def __init__(self, row: dict):
-        take = lambda name, kind: np.frombuffer(row[name], kind)
-        self.doc_ids, self.held_out = row["doc_ids"], np.array(row["held_out"], bool)
+        take = lambda name, kind: np.frombuffer(row.get(name, b""), kind)
+        self.doc_ids, self.held_out = row.get("doc_ids", []), np.array(row["held_out"], bool)
         self.n_words = take("n_words", "<u4").astype(np.int64)
-        self.word = take("low", "<u2").astype(np.int64) | take("high", "<u2").astype(np.int64) << 16
+        self.word = take("low", "<u2").astype(np.int32) | take("high", "<u2").astype(np.int32) << 16
         self.hashes, self.train = take("hashes", "<u8"), take("train", "<u4")
-        self.subs, self.sub_counts = take("subs", "<u2").astype(np.int64), take("sub_counts", "<u4").astype(np.int64)
-        self.sub_first = np.cumsum(self.sub_counts) - self.sub_counts
+        self.subs, self.sub_counts = take("subs", "<u2").astype(np.int32), take("sub_counts", "<u4").astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
 
     def texts(self, docs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,22 +113,30 @@ class Block:
         n = self.n_words[docs]
         ends = np.cumsum(n)
         which = np.repeat(self.first[docs] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        word = np.insert(self.word[which], ends, -1)
-        count = np.where(word < 0, 1, self.sub_counts[word]) if len(self.sub_counts) else np.ones(len(word), np.int64)
-        to = np.cumsum(count)
-        at = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - count, count)
-        own = np.repeat(word, count)
-        ids = np.where(own < 0, end, self.subs[self.sub_first[own] + at]) if len(self.subs) else np.full(len(own), end)
+        # the end is one more word, the last
+        subs, counts = np.append(self.subs, np.int32(end)), np.append(self.sub_counts, np.int32(1))
+        word = np.insert(self.word[which], ends, len(counts) - 1)
+        count, to_first = counts[word], (np.cumsum(counts) - counts).astype(np.int32)
+        to = np.cumsum(count, dtype=np.int64)
+        total = int(to[-1]) if len(to) else 0
+        kind = np.int32 if total < 1 << 30 else np.int64
+        ids = subs[np.repeat((to_first[word] - (to - count)).astype(kind), count) + np.arange(total, dtype=kind)]
         bounds = np.cumsum(n + 1)
         lengths = np.diff(np.concatenate([[0], to[bounds - 1]])) if len(bounds) else bounds
         return ids, lengths, count
 
 
+def _row(table: pa.RecordBatch | pa.Table, row: int) -> dict:
+    """A row whose binary values are not copied."""
+    values = {name: table.column(name)[row] for name in table.schema.names}
+    return {name: x.as_buffer() if isinstance(x, pa.BinaryScalar) else x.as_py() for name, x in values.items()}
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     release()
     for batch in batches:
-        for row in batch.to_pylist():
-            yield Block(row)
+        for row in range(batch.num_rows):
+            yield Block(_row(batch, row))
 
 
 def _parts(docs: np.ndarray, n: np.ndarray, words: int = 200_000) -> Iterator[np.ndarray]:
@@ -146,7 +160,7 @@ def id_counts(blocks: DataFrame, end: int) -> DataFrame:
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array((some // size).astype(np.int32)), pa.array((some % size).astype(np.int32)), pa.array(table[some])], ["id", "bucket", "n"])
 
-    return blocks.mapInArrow(count, "id int, bucket int, n long").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+    return blocks.select(*_TEXTS).mapInArrow(trimming(count), "id int, bucket int, n long").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
 
 
 def classes(counts: np.ndarray, number: int = attention.CLASSES, steps: int = 8) -> np.ndarray:
@@ -182,7 +196,7 @@ def bigram_counts(blocks: DataFrame, kinds, end: int, number: int) -> DataFrame:
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some])], ["pair", "n"])
 
-    return blocks.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return blocks.select(*_TEXTS).mapInArrow(trimming(count), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _inputs(ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -209,7 +223,7 @@ def trained(blocks: DataFrame, kinds, end: int, p: dict[str, np.ndarray], rounds
                 v = attention.vector(new).astype(np.float64) * len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v), pa.array(np.full(len(v), float(len(ids))))], ["place", "value", "weight"])
 
-        sums = blocks.mapInArrow(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("v"))
+        sums = blocks.select(*_TEXTS).mapInArrow(trimming(fit), "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("v"))
         rows = sums.orderBy("place").collect()  # as many as the model has parameters
         common.unpersist()
         if rows:
@@ -305,8 +319,8 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         hashes, times = right.column("hash").to_numpy(), right.column("c").to_numpy()
         order = np.argsort(hashes)
         hashes, times, out = hashes[order], times[order], []
-        for row in left.to_pylist():
-            block = Block(row)
+        for row in range(left.num_rows):
+            block = Block(_row(left, row))
             own = block.hashes.astype("<u8").view(np.int64)
             c = times[np.searchsorted(hashes, own)] if len(own) else np.zeros(0, np.int64)
             c = np.append(c, ends)  # the last is the end's count
@@ -327,4 +341,4 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         return pa.Table.from_batches(out, _RESULT)
 
     dealt = lambda df: df.repartition(parts, "block").groupBy("block")
-    return dealt(blocks).cogroup(dealt(placed.select("block", "hash", "c"))).applyInArrow(score, _SCORED)
+    return dealt(blocks.select("block", "doc_ids", "hashes", *_TEXTS)).cogroup(dealt(placed.select("block", "hash", "c"))).applyInArrow(score, _SCORED)

@@ -125,3 +125,23 @@ def test_training_takes_every_text(spark):
 
     common = model(None)
     assert all(not np.allclose(model(k), common) for k in (0, 1, 2, 5, len(ids) - 1))
+
+
+def test_row_groups_hold_a_few_blocks(spark, monkeypatch):
+    """However many blocks a task writes."""
+    import pyarrow.dataset
+
+    from tessera.llm.tokens import vocabulary_path
+
+    monkeypatch.setattr(lm_scoring, "ROW_GROUP_BYTES", 10_000)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 400))) for i in range(60)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        blocks = lm_scoring.encoded(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), vocabulary_path())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    files = [f.removeprefix("file://") for f in blocks.inputFiles()]
+    groups = [g.num_rows for f in pyarrow.dataset.dataset(files).get_fragments() for g in f.row_groups]
+    assert sum(groups) == blocks.count() == 12 and max(groups) <= 2
