@@ -124,20 +124,31 @@ def _hashes(own: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 
 def _least(own: np.ndarray, heads: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each line the SKETCH least distinct hashes of its runs (its number, hash)."""
-    runs = n - RUN + 1
+    runs, whole = n - RUN + 1, max(0, len(own) - RUN + 1)
     ends = np.cumsum(runs)
-    line = np.repeat(np.arange(len(n)), runs)
-    h = _hashes(own, np.repeat(heads - ends + runs, runs) + np.arange(int(ends[-1]) if len(ends) else 0), RUN)
+    rolled = mixed(sum(own[k : whole + k] * (_STEP + np.uint64(2 * k)) for k in range(RUN)) + np.uint64(RUN))
+    h = rolled[np.repeat(heads - ends + runs, runs) + np.arange(int(ends[-1]) if len(ends) else 0)]
     # of long lines all but about 6 * SKETCH are too large, unless many runs are alike
-    low = h <= (np.float64(2**64 - 2**12) * np.minimum(1, 6 * SKETCH / runs)).astype(np.uint64)[line]
+    low = h <= np.repeat((np.float64(2**64 - 2**12) * np.minimum(1, 6 * SKETCH / runs)).astype(np.uint64), runs)
+    line = np.repeat(np.arange(len(n)), runs)
     few = np.bincount(line[low], minlength=len(n)) < 4 * SKETCH
-    low |= few[line]
+    if few.any():
+        low |= few[line]
     line, h = line[low], h[low]
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
+    size = np.bincount(line, minlength=len(n))
+    if not len(h) or len(n) * int(size.max()) > 4 * len(h):  # lines of very different numbers of runs
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+    else:
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        table = np.full((len(n), int(size.max())), np.uint64(2**64 - 1))
+        table[line, place] = h
+        table.sort(axis=1)
+        h = table[line, place]
     new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
     line, h = line[new], h[new]
-    some = np.arange(len(h)) - np.searchsorted(line, line, "left") < SKETCH
+    size = np.bincount(line, minlength=len(n))
+    some = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) < SKETCH
     return line[some], h[some]
 
 
@@ -349,7 +360,9 @@ def deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     lines = Lines(rows.select("row", F.col(f"doc.{id_col}").cast("long").alias("doc_id"), F.col(f"doc.{text_col}").cast("string").alias("text")), **options)
     lines.link()
+    dropped(lines.groups, lines.near)
     gone = saved(lines.removed().select(F.col("row").alias("of"), "lines"), "removed")
+    dropped(lines.lines, lines.classes)
     with shuffles_freed(docs.sparkSession):
         size = gone.agg(F.coalesce(F.sum(F.size("lines") + 4), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(gone) if size <= 4_000_000 else gone, F.col("row") == F.col("of"), "left")  # 16 MB at most

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup
+from tessera.llm import common, line_dedup
 from tessera.llm.common import text_of
 
 
@@ -228,3 +228,26 @@ def test_edit_distances_in_bands(monkeypatch):
         assert find(i) != find(j)  # a link joins two classes
         root[find(i)] = find(j)
     assert all(find(i) == find(j) for i, j in zip(a[true <= 2].tolist(), b[true <= 2].tolist()))
+
+
+def test_sketches_are_the_least_distinct_hashes_of_runs():
+    rng = np.random.default_rng(8)
+    for sizes, vocab in (((36, 36, 90, 400), 10**6), ((36, 5000, 40), 60), ((50,), 1), ((), 5)):
+        n = np.array(sizes, np.int64)
+        heads = np.cumsum(n) - n
+        own = rng.integers(0, vocab, int(n.sum())).astype(np.uint64)
+        line, h = line_dedup._least(own, heads, n)
+        for i, (a, k) in enumerate(zip(heads.tolist(), n.tolist())):
+            runs = line_dedup._hashes(own, np.arange(a, a + k - line_dedup.RUN + 1), line_dedup.RUN)
+            assert h[line == i].tolist() == sorted(set(runs.tolist()))[: line_dedup.SKETCH]
+
+
+def test_only_what_the_result_needs_stays_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: written.append((name, common.saved(df, name))) or written[-1][1])
+    texts = ["one line of some words here that is longer than ten words\nb", "one line of some words here that is longer than ten wordz\nc c c c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_dedup.deduped(docs)
+    left = {name for name, table in written if id(table) in common._folders}
+    assert not left & {"lines", "groups", "near", "classes"} and {"rows", "removed"} <= left
+    assert sorted(r.n_removed for r in got.collect()) == [0, 1]
