@@ -65,6 +65,8 @@ def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.options(compression="zstd", **options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[id(table)] = (weakref.ref(table), path)
+    for folders in _recorded:
+        folders.append(path)
     return table
 
 
@@ -89,16 +91,35 @@ def dropped(*tables: DataFrame | None) -> None:
         known, path = _folders.pop(id(table), (lambda: None, ""))
         _counts.pop(id(table), None)
         if table is not None and known() is table:
-            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            deleted(table.sparkSession, path)
+
+
+#: Lists that get the folders of the tables written meanwhile.
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables written within."""
+    folders: list[str] = []
+    _recorded.append(folders)
+    try:
+        yield folders
+    finally:
+        _recorded[:] = [x for x in _recorded if x is not folders]
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, if they are there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def cleared(spark: SparkSession) -> None:
     """Deletes all tables this application has written, once its results are stored elsewhere."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "any")).getParent()
-    folder.getFileSystem(conf).delete(folder, True)
+    deleted(spark, shared_dir(spark, "any").rsplit("/", 1)[0])
 
 
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:

@@ -25,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ from .memory import trimming
 LEAST_WORDS, BITS, PERCENT = 1, 28, 90
 #: Lines of so many words at least may have near ones; the hashes of a long line's runs.
 NEAR_WORDS, SKETCH, RUN = 4, 8, 4
-#: Up to so many named points, only the documents that hold them are read again.
-MOST_NAMED = 500_000
+#: Up to so many named points, only the documents that hold them are read again; up to so many, tasks know each one's first document (16 MB), beyond that a bitmap of
+#: 2 ** BITMAP bits stands for them (32 MB), which lets a few others through.
+MOST_NAMED, MOST_NODES, BITMAP = 500_000, 2_000_000, 28
 SLICE_BYTES, SMALL, BLOCK = 8_000_000, 32, 2048
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: Blocks of a line of (from, to) words: (size, places from the start and from the end).
@@ -199,6 +201,39 @@ def near_texts(x: Column, y: Column, percent: int) -> Column:
     return near.otherwise(F.call_function("levenshtein", x, y, limit) >= 0)
 
 
+def places_of(row: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A hash of each line's document and point."""
+    return mixed(mixed(row.astype(np.uint64) + _STEP) ^ node.view(np.uint64))
+
+
+def _probes(place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each place in a bitmap."""
+    return place >> np.uint64(64 - bits), place & np.uint64((1 << bits) - 1)
+
+
+def bitmap(first: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits bits in which those of all (node, row) are set; the driver gets a row per 64 bits at most."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.concatenate(_probes(places_of(batch.column(1).to_numpy(), batch.column(0).to_numpy()), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["slot", "bits"])
+
+    with shuffles_freed(first.sparkSession):
+        table = first.select("node", "row").mapInArrow(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def marked(table: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both bits of each place are set."""
+    out = np.ones(len(place), bool)
+    for bit in _probes(place, bits):
+        out &= (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 class Lines:
     """docs: row (unique), doc_id, text."""
 
@@ -252,41 +287,45 @@ class Lines:
         far = (F.col("size") == 2) & (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) > F.when(odd, CHANGED).otherwise(bits))
         self.groups = saved(several.where(~far).select("s", "node", "value", "more", "pivot"), "groups")
 
-    def _texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, codes, chars) of the given points, made again from the documents; a point may come more than once. codes: a character per word, of lines of
-        nine words or more; chars: the normalised line, of lines of up to nine."""
-        count, least, docs, wanted = rows_of(nodes), self.least, self.docs, None
-        if count <= MOST_NAMED:  # only the documents that hold one of them
-            rows = self.lines.join(F.broadcast(nodes), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct()
-            docs = docs.join(F.broadcast(rows), "row", "left_semi")
-        if count <= 2_000_000:  # 16 MB at most; beyond that, all lines are made and joined
-            wanted = self.docs.sparkSession.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy()))
+    def _first(self, nodes: DataFrame) -> DataFrame:
+        """(node, row): the first document of each of the given points."""
+        return saved(self.lines.join(bounded(nodes, MOST_NAMED), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "first")
+
+    def _texts(self, first: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """A broadcast to destroy after use, and before it (node, codes, chars) of points given with a document each, made again from the documents, once each (others, and some of them twice, may come along beyond MOST_NODES). codes: a
+        character per word, of lines of nine words or more; chars: the normalised line, of lines of up to nine."""
+        count, least, docs, context = rows_of(first), self.least, self.docs, self.docs.sparkSession.sparkContext
+        if count <= MOST_NAMED:  # only the documents that are named
+            docs = docs.join(F.broadcast(first.select("row").distinct()), "row", "left_semi")
+        exact = count <= MOST_NODES
+        if exact:
+            table = first.toArrow()
+            wanted = context.broadcast(np.sort(places_of(table["row"].to_numpy(), table["node"].to_numpy())))
+        else:
+            wanted = context.broadcast(bitmap(first, BITMAP))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
             for batch in batches:
-                for _, _, text in slices(batch.column(2), SLICE_BYTES):
-                    words, _, _, first, last = lines_of(text, max(least, NEAR_WORDS))
-                    own, heads = _sequence(words, first, last)
-                    node = nodes_of(own, heads, last - first).view(np.int64)
-                    which = np.arange(len(node))
-                    if wanted is not None and len(node):
-                        at = np.minimum(np.searchsorted(wanted.value, node), len(wanted.value) - 1)
-                        which = which[wanted.value[at] == node]
-                    rows = []
-                    for i in which.tolist():
-                        if int(node[i]) not in seen:
-                            seen.add(int(node[i]))
-                            rows.append(i)
-                    if len(seen) > 1_000_000:
-                        seen.clear()  # repeats are harmless
-                    n = (last - first)[rows]
-                    codes = [codes_of(own[heads[i] : heads[i] + k]) if k >= SHORT - 1 else None for i, k in zip(rows, n.tolist())]
-                    chars = iter(plain_lines(text, words, first[rows][n < SHORT], last[rows][n < SHORT]))
+                row = batch.column(0).to_numpy()
+                for lo, _, text in slices(batch.column(2), SLICE_BYTES):
+                    words, doc, _, begin, end = lines_of(text, max(least, NEAR_WORDS))
+                    own, heads = _sequence(words, begin, end)
+                    node = nodes_of(own, heads, end - begin).view(np.int64)
+                    place = places_of(row[doc + lo], node)
+                    if exact:
+                        at = np.minimum(np.searchsorted(wanted.value, place), max(0, len(wanted.value) - 1))
+                        known = wanted.value[at] == place if len(wanted.value) else np.zeros(len(place), bool)
+                    else:
+                        known = marked(wanted.value, place, BITMAP)
+                    rows = np.flatnonzero(known)
+                    rows = rows[np.unique(place[rows], return_index=True)[1]]  # a document's equal lines
+                    n = (end - begin)[rows]
+                    codes = [codes_of(own[heads[i] : heads[i] + k]) if k >= SHORT - 1 else None for i, k in zip(rows.tolist(), n.tolist())]
+                    chars = iter(plain_lines(text, words, begin[rows][n < SHORT], end[rows][n < SHORT]))
                     yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(codes, pa.string()), pa.array([next(chars) if k < SHORT else None for k in n.tolist()], pa.string())], ["node", "codes", "chars"])
 
         found = docs.mapInArrow(trimming(emit), "node long, codes string, chars string")
-        return found if wanted is not None else found.join(nodes, "node", "left_semi")
+        return found if exact else found.dropDuplicates(["node"]), wanted
 
     def _verify(self, pairs: DataFrame) -> None:
         """Links of new pairs (a < b) extend the classes."""
@@ -294,14 +333,16 @@ class Lines:
         nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
         if nodes.isEmpty():
             return
-        texts = self._texts(nodes)
+        first = self._first(nodes)
+        texts, wanted = self._texts(first)
         x, y = texts.alias("x"), texts.alias("y")  # the same shuffle serves both joins
         both = pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node"))
         by_words = (F.greatest(F.length("x.codes"), F.length("y.codes")) >= SHORT) & near_texts(F.col("x.codes"), F.col("y.codes"), self.percent)
         by_chars = F.call_function("levenshtein", F.col("x.chars"), F.col("y.chars"), F.lit(1)) >= 0
         near = both.where(F.coalesce(by_words, F.lit(False)) | F.coalesce(by_chars, F.lit(False))).select("a", "b").distinct()
         self._extend(near)
-        dropped(pairs, nodes)
+        wanted.destroy()
+        dropped(pairs, nodes, first)
 
     def _extend(self, near: DataFrame) -> None:
         """New links extend the classes."""
@@ -326,7 +367,8 @@ class Lines:
         if live.isEmpty():
             return
         nodes = saved(live.select("node").distinct(), "nodes")
-        texts = self._texts(nodes).dropDuplicates(["node"])
+        first = self._first(nodes)
+        texts, wanted = self._texts(first)
 
         def near(s: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             differ = np.bitwise_count((v ^ w).view(np.uint64))
@@ -338,7 +380,8 @@ class Lines:
 
         rows = live.join(texts, "node").select("s", "node", "value", "more", "class", "size", F.when(chars, F.col("chars")).otherwise(F.col("codes")).alias("text"))
         self._extend(links_within(rows, near, most, self.block, self.small))
-        dropped(live, nodes)
+        wanted.destroy()
+        dropped(live, nodes, first)
 
     def removed(self) -> DataFrame:
         """(row, lines): numbers of the lines that go."""

@@ -242,6 +242,39 @@ def test_sketches_are_the_least_distinct_hashes_of_runs():
             assert h[line == i].tolist() == sorted(set(runs.tolist()))[: line_dedup.SKETCH]
 
 
+@pytest.mark.parametrize("most", [(500_000, 2_000_000), (0, 2_000_000), (0, 0)])
+def test_texts_of_points_come_once_however_many_tasks_hold_them(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_NAMED", most[0])
+    monkeypatch.setattr(line_dedup, "MOST_NODES", most[1])
+    monkeypatch.setattr(line_dedup, "BITMAP", 20)
+    lines = families(np.random.default_rng(5), 1, 30, edits=4)
+    texts = [f"{lines[k % 30]}\n{lines[(k + 1) % 30]}\n{lines[k % 30]}\nrow {k} has a line of its own" for k in range(120)]
+    docs = spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "row long, doc_id long, text string").repartition(8)
+    own, made, of = line_dedup.Lines(docs), [], line_dedup.Lines._texts
+
+    def counted(self, nodes):
+        out = of(self, nodes)
+        found = out[0] if isinstance(out, tuple) else out
+        made.append((found.count(), nodes.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(line_dedup.Lines, "_texts", counted)
+    own.link()
+    assert made and all(n == names for n, names in made)
+    got = line_dedup.deduped(docs.select("doc_id", "text")).select("doc.doc_id", "doc.text", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(list(enumerate(texts))))
+
+
+def test_bitmap_has_all_its_places(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(n), i // 3) for i, n in enumerate(rng.integers(-(2**62), 2**62, 3000))]
+    first = spark.createDataFrame(rows, "node long, row long").repartition(3)
+    table = line_dedup.bitmap(first, 18)
+    node, row = (np.array(x) for x in zip(*rows))
+    assert len(table) == 1 << 12 and line_dedup.marked(table, line_dedup.places_of(row, node), 18).all()
+    assert line_dedup.marked(table, line_dedup.places_of(row + 5000, node), 18).mean() < 0.01
+
+
 def test_only_what_the_result_needs_stays_written(spark, monkeypatch):
     written = []
     monkeypatch.setattr(line_dedup, "saved", lambda df, name: written.append((name, common.saved(df, name))) or written[-1][1])

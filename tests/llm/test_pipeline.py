@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import test_decontamination
 import test_line_dedup
@@ -7,6 +9,7 @@ import test_tokens
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessera.llm import common
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -55,3 +58,20 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     renumbered = [type("R", (), {**r.asDict(), "doc_id": ids.index(r.doc_id)}) for r in got]
     test_tokens.check_packing(renumbered, list(seen[4][0].values()), Tokenizer.from_file(vocabulary_path()))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_stages_delete_what_the_one_before_has_left(spark, tmp_path):
+    """But nothing that their documents are read from."""
+    rows, items = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, (quality, lines) = spark.read.parquet(f"{tmp_path}/documents.parquet"), [f for _, f in corpus_pipeline.STAGES[:2]]
+    there = lambda folders: [os.path.exists(x.removeprefix("file://")) for x in folders]
+    with common.recorded() as lazy:
+        kept = quality(spark, docs, str(tmp_path))
+    want = lines(spark, kept, str(tmp_path)).count()
+    assert lazy and all(there(lazy))
+    with common.recorded() as stored:
+        quality(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/0")
+    assert all(there(lazy)) and all(there(stored))
+    assert lines(spark, spark.read.parquet(f"{tmp_path}/0"), str(tmp_path)).count() == want
+    assert not any(there(stored)) and all(there(lazy))
