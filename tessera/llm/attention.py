@@ -49,24 +49,45 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text + k * STRIDE - (WINDOW - STRIDE), text
 
 
+#: Arrays that batches share, by name: new ones of a megabyte each would cost more in page faults than what is computed in them.
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+    """An array for the batch at hand; its content is left over from the last one."""
+    size = int(np.prod(shape))
+    if name not in _rooms or _rooms[name].size < size:
+        _rooms[name] = np.empty(size, kind)
+    return _rooms[name][:size].reshape(shape)
+
+
 def forward(p: dict[str, np.ndarray], kinds: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits (windows, STRIDE, classes) of what follows the last STRIDE places. known: places that lie in the text."""
-    b, own = len(kinds), WINDOW - STRIDE
-    x = p["embed"][kinds] + p["place"]
-    qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(b, WINDOW, 3 * WIDTH)
-    q = np.ascontiguousarray(qkv[:, own:, :WIDTH]) * np.float32(WIDTH**-0.5)
-    k, v = np.ascontiguousarray(qkv[:, :, WIDTH : 2 * WIDTH]), np.ascontiguousarray(qkv[:, :, 2 * WIDTH :])
-    a = q @ k.transpose(0, 2, 1)
+    """Logits (windows, STRIDE, classes) of what follows the last STRIDE places, in arrays that the next call uses again. known: places that lie in the text."""
+    b, own, number = len(kinds), WINDOW - STRIDE, p["bigrams"].shape[1]
+    x = p["embed"].take(kinds, axis=0, out=_room("x", b, WINDOW, WIDTH), mode="clip")
+    x += p["place"]
+    qkv = np.matmul(x.reshape(-1, WIDTH), p["qkv"], out=_room("qkv", b * WINDOW, 3 * WIDTH)).reshape(b, WINDOW, 3 * WIDTH)
+    q = np.multiply(qkv[:, own:, :WIDTH], np.float32(WIDTH**-0.5), out=_room("q", b, STRIDE, WIDTH))
+    k, v = _room("k", b, WINDOW, WIDTH), _room("v", b, WINDOW, WIDTH)
+    k[:], v[:] = qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+    a = np.matmul(q, k.transpose(0, 2, 1), out=_room("a", b, STRIDE, WINDOW))
     np.exp(np.minimum(a, 30, out=a), out=a)
     a *= _CAUSAL & known[:, None, :]
-    a /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-20))  # a window's last texts may end before it
-    o = a @ v
-    u = x[:, own:] + (o.reshape(-1, WIDTH) @ p["mix"]).reshape(o.shape)
-    logits = (u.reshape(-1, WIDTH) @ p["out"]).reshape(b, STRIDE, -1)
-    logits += p["bigrams"][kinds[:, own:]]
+    a /= np.maximum(a @ np.ones(WINDOW, np.float32), np.float32(1e-20))[:, :, None]  # a window's last texts may end before it
+    o = np.matmul(a, v, out=_room("o", b, STRIDE, WIDTH))
+    u = np.matmul(o.reshape(-1, WIDTH), p["mix"], out=_room("u", b * STRIDE, WIDTH)).reshape(o.shape)
+    u += x[:, own:]
+    logits = np.matmul(u.reshape(-1, WIDTH), p["out"], out=_room("logits", b * STRIDE, number)).reshape(b, STRIDE, number)
+    logits += p["bigrams"].take(kinds[:, own:], axis=0, out=_room("bigrams", b, STRIDE, number), mode="clip")
     return logits, (x, q, k, v, a, o, u)
 
 
+def _narrow(p: dict[str, np.ndarray], u: np.ndarray, logits: np.ndarray) -> bool:
+    """Whether no logit is far from 0: by the lengths of the factors, else by the logits themselves."""
+    longest = np.einsum("bsw,bsw->bs", u, u).max(initial=0) * np.square(p["out"]).sum(axis=0).max(initial=0)
+    return float(longest) ** 0.5 + float(np.abs(p["bigrams"]).max()) < 59 or -60 < float(logits.min()) <= float(logits.max()) < 60
+
+
 def _cut(kinds: np.ndarray, first: np.ndarray, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes at the windows' places, which of them lie in the text, and the places."""
     place = first[:, None] + np.arange(WINDOW)
@@ -83,13 +104,13 @@ def scores(p: dict[str, np.ndarray], kinds: np.ndarray, targets: np.ndarray, len
     for lo in range(0, len(first), CHUNK):
         some = slice(lo, lo + CHUNK)
         own, known, place = _cut(kinds, first[some], text[some], ends[some])
-        logits, _ = forward(p, own, known)
+        logits, (*_, u) = forward(p, own, known)
         place, valid = place[:, WINDOW - STRIDE :], known[:, WINDOW - STRIDE :]
         want = targets.take(np.minimum(np.maximum(place, 0), len(targets) - 1))
         flat, size = logits.reshape(-1), logits.shape[2]
         hit = flat.take(np.arange(want.size) * size + want.ravel()).reshape(want.shape)
         top = np.float32(0)
-        if not -60 < float(flat.min()) <= float(flat.max()) < 60:  # seldom: exponents that need a shift
+        if not _narrow(p, u, logits):  # seldom: exponents that need a shift
             top = logits.max(axis=2)
             logits -= top[:, :, None]
             hit = hit - top
@@ -104,7 +125,7 @@ def gradients(p: dict[str, np.ndarray], kinds: np.ndarray, known: np.ndarray, wa
     """Mean loss over the valid targets, and its gradients."""
     own = WINDOW - STRIDE
     logits, (x, q, k, v, a, o, u) = forward(p, kinds, known)
-    if not -60 < float(logits.min()) <= float(logits.max()) < 60:  # seldom: exponents that need a shift
+    if not _narrow(p, u, logits):  # seldom: exponents that need a shift
         logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
     flat = lambda y: y.reshape(-1, y.shape[-1])
@@ -118,21 +139,26 @@ def gradients(p: dict[str, np.ndarray], kinds: np.ndarray, known: np.ndarray, wa
     d *= (weight / total).reshape(*want.shape, 1)
     d.reshape(-1)[at] = (hit - 1) * weight
     g = {"out": (flat(d).T @ flat(u)).T}
-    du = (flat(d) @ p["out"].T).reshape(u.shape)
+    b = len(kinds)
+    du = np.matmul(flat(d), p["out"].T, out=_room("du", b * STRIDE, WIDTH)).reshape(u.shape)
     g["mix"] = flat(o).T @ flat(du)
-    do = (flat(du) @ p["mix"].T).reshape(o.shape)
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dqkv = np.zeros((*x.shape[:2], 3 * WIDTH), np.float32)
-    dqkv[:, own:, :WIDTH] = ds @ k * np.float32(WIDTH**-0.5)
-    dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-    dqkv[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ do
+    do = np.matmul(flat(du), p["mix"].T, out=_room("do", b * STRIDE, WIDTH)).reshape(o.shape)
+    ds = np.matmul(do, v.transpose(0, 2, 1), out=_room("ds", *a.shape))
+    ds -= (np.multiply(ds, a, out=_room("da", *a.shape)) @ np.ones(WINDOW, np.float32))[:, :, None]
+    ds *= a
+    dqkv = _room("dqkv", *x.shape[:2], 3 * WIDTH)
+    dqkv[:, :own, :WIDTH] = 0
+    np.multiply(np.matmul(ds, k, out=_room("dq", *q.shape)), np.float32(WIDTH**-0.5), out=dqkv[:, own:, :WIDTH])
+    dqkv[:, :, WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q, out=_room("dk", *k.shape))
+    dqkv[:, :, 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), do, out=_room("dk", *k.shape))
     g["qkv"] = flat(x).T @ flat(dqkv)
-    dx = (flat(dqkv) @ p["qkv"].T).reshape(x.shape)
+    dx = np.matmul(flat(dqkv), p["qkv"].T, out=_room("dx", b * WINDOW, WIDTH)).reshape(x.shape)
     dx[:, own:] += du
     g["place"] = dx.sum(axis=0)
-    slots = kinds.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.bincount(slots.ravel(), dx.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(np.float32)
+    slots = np.add(kinds[:, :, None] * WIDTH, np.arange(WIDTH), out=_room("slots", *x.shape, kind=np.int64))
+    values = _room("values", *x.shape, kind=np.float64)
+    values[:] = dx
+    g["embed"] = np.bincount(slots.ravel(), values.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(np.float32)
     return loss, g
 
 

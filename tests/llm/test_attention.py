@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tessera.llm import attention as at
@@ -59,3 +61,35 @@ def test_training_lowers_the_loss():
     assert losses[-1] < losses[0] - 0.3
     assert at.scores(q, kinds, targets, lengths, np.ones(10))[0].mean() > at.scores(p, kinds, targets, lengths, np.ones(10))[0].mean() + 0.3
     assert np.allclose(at.vector(at.from_vector(at.vector(q), q)), at.vector(q))
+
+
+def test_batches_share_their_arrays():
+    """No array of logits' size is made anew for a batch, and a batch's results stay as they are when the next one comes."""
+    rng, p = np.random.default_rng(5), model(at.CLASSES)
+    kinds, want = rng.integers(0, at.CLASSES, (128, at.WINDOW)), rng.integers(0, at.CLASSES, (128, at.STRIDE))
+    known, valid = np.ones(kinds.shape, bool), np.ones(want.shape, bool)
+    loss, g = at.gradients(p, kinds, known, want, valid)
+    first = {k: x.copy() for k, x in g.items()}
+    tracemalloc.start()
+    try:
+        at.gradients(p, kinds[::-1], known, want, valid)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 128 * at.STRIDE * at.CLASSES * 4
+    assert all(np.array_equal(g[k], first[k]) for k in first)
+    again = at.gradients(p, kinds, known, want, valid)
+    assert again[0] == loss and all(np.array_equal(again[1][k], first[k]) for k in first)
+    few = at.gradients(p, kinds[:3], known[:3], want[:3], valid[:3])[0]
+    assert np.isfinite(few)
+
+
+def test_bound_of_the_logits():
+    """Logits that may be far from 0 are looked at."""
+    p = model()
+    kinds, known = np.zeros((2, at.WINDOW), np.int64), np.ones((2, at.WINDOW), bool)
+    logits, (*_, u) = at.forward(p, kinds, known)
+    assert at._narrow(p, u, logits)
+    p["bigrams"] = p["bigrams"] - 100
+    logits, (*_, u) = at.forward(p, kinds, known)
+    assert not at._narrow(p, u, logits)
