@@ -1,3 +1,4 @@
+import sys
 import tracemalloc
 
 import numpy as np
@@ -93,3 +94,45 @@ def test_bound_of_the_logits():
     p["bigrams"] = p["bigrams"] - 100
     logits, (*_, u) = at.forward(p, kinds, known)
     assert not at._narrow(p, u, logits)
+
+
+def test_exponentials(monkeypatch):
+    """In place, with ONNX Runtime and without it."""
+    x = np.concatenate([np.linspace(-80, 80, 20_001), [0, 1, -200]]).astype(np.float32)
+    want = np.exp(x.astype(np.float64))
+    for absent in (False, True):
+        monkeypatch.setattr(at, "_run", [])
+        if absent:
+            monkeypatch.setitem(sys.modules, "onnxruntime", None)
+        for some in (x, x[:7], x[:0], x):
+            got = some.copy()
+            assert at.exponentials(got) is got
+            assert np.allclose(got, want[: len(some)], rtol=2e-6, atol=1e-37)
+
+
+def test_training_is_the_same_without_onnx_runtime(monkeypatch):
+    rng, p = np.random.default_rng(7), model()
+    lengths = rng.integers(1, 90, 60)
+    kinds, targets = rng.integers(0, 10, (2, int(lengths.sum())))
+    got = []
+    for absent in (False, True):
+        monkeypatch.setattr(at, "_run", [])
+        if absent:
+            monkeypatch.setitem(sys.modules, "onnxruntime", None)
+        q, losses = at.trained(p, kinds, targets, lengths, batch=16)
+        got.append((at.vector(q), losses, at.scores(q, kinds, targets, lengths, np.linspace(0.1, 1, 10))[0]))
+    assert all(np.allclose(x, y, atol=2e-3) for x, y in zip(*got))
+    assert at.vector(p).tolist() == at.vector(model()).tolist()
+
+
+def test_queries_keys_and_values_come_from_tables():
+    """Of classes and places, so their products don't grow with the batch."""
+    rng, p = np.random.default_rng(8), model()
+    kinds = rng.integers(0, 10, (50, at.WINDOW))
+    _, (q, k, v, *_) = at.forward(p, kinds, np.ones(kinds.shape, bool))
+    x = p["embed"][kinds] + p["place"]
+    want = np.split(x @ p["qkv"], 3, axis=2)
+    assert np.allclose(q, want[0][:, at.WINDOW - at.STRIDE :] * at.WIDTH**-0.5, atol=1e-5)
+    assert np.allclose(k, want[1], atol=1e-5) and np.allclose(v, want[2] @ p["mix"], atol=1e-5)
+    t = at.tables(p)
+    assert [len(y) for y in (*t.classes, *t.places)] == [10] * 3 + [at.WINDOW] * 3
