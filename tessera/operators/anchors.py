@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.markup import PLACEHOLDER, TAG, VOID_TAGS, joined_pieces, split_by
+from ..functions.markup import PLACEHOLDER, TAG, VOID_TAGS
+from .batches import ROWS
 from .lines import FILE, numbered, text_lines
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 _TAG = re.compile(TAG[5:], re.IGNORECASE | re.DOTALL | re.ASCII)
+_PLACE = re.compile(PLACEHOLDER, re.ASCII)
 _NAME = re.compile(r"</?([a-zA-Z0-9\-:]+)")
 _ALONE = frozenset(VOID_TAGS)
 _string = lambda *names: [T.StructField(x, T.StringType()) for x in names]
@@ -73,46 +71,101 @@ def _simplified(line: str, ends: bool) -> tuple:
     text = whole.strip()
     lead = len(whole) - len(whole.lstrip())
     after = whole[lead + len(text) :] if text else whole
-    return text, [{"token": x, "tag": y} for x, y in mapping], whole[:lead], after + ("\n" if ends else "")
+    return text, mapping, whole[:lead], after + ("\n" if ends else "")
+
+
+_PAIRS = {"token": pa.string(), "tag": pa.string()}
+
+
+def _lists(rows: list[list[tuple]]) -> pa.ListArray:
+    """Lists of (token, tag) as an Arrow array."""
+    offsets = [0, *accumulate(map(len, rows))]
+    columns = [pa.array([x[k] for row in rows for x in row], pa.string()) for k in range(2)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(_PAIRS)))
+
+
+def _in_parts(work, *columns: pa.Array) -> pa.Array:
+    """work(part of each column), a few rows at a time."""
+    done = [work(*(c.slice(lo, ROWS) for c in columns)) for lo in range(0, len(columns[0]), ROWS)]
+    return pa.concat_arrays(done) if done else work(*columns)
 
 
 @F.arrow_udf(SIMPLIFIED)
 def simplified(line: pa.Array, ends: pa.Array) -> pa.Array:
-    """struct(text, mapping, indent, trailing) of a line; `ends`: whether a line break follows it. An Arrow batch at a time, one pass over a line's tags."""
-    rows = [_simplified(x or "", bool(e)) for x, e in zip(line.to_pylist(), ends.to_pylist())]
-    kinds = [pa.string(), pa.list_(pa.struct([("token", pa.string()), ("tag", pa.string())])), pa.string(), pa.string()]
-    columns = list(zip(*rows)) or [[], [], [], []]
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text", "mapping", "indent", "trailing"])
+    """struct(text, mapping, indent, trailing) of a line; `ends`: whether a line break follows it. One pass over a line's tags."""
+
+    def work(line: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = [_simplified(x or "", bool(e)) for x, e in zip(line.to_pylist(), ends.to_pylist())]
+        text, mapping, indent, trailing = list(zip(*rows)) or [(), (), (), ()]
+        text, indent, trailing = (pa.array(c, pa.string()) for c in (text, indent, trailing))
+        return pa.StructArray.from_arrays([text, _lists(mapping), indent, trailing], ["text", "mapping", "indent", "trailing"])
+
+    return _in_parts(work, line, ends)
 
 
 @F.arrow_udf(TAGGED)
 def tagged(line: pa.Array) -> pa.Array:
     """A line's tags with their tokens."""
-    out = []
-    for x in line.to_pylist():
-        tags = [m[0] for m in _TAG.finditer(x or "")]
-        out.append([{"tag": t, "token": k} for t, k in zip(tags, _tokens(tags, _pairs(tags)))])
-    return pa.array(out, pa.list_(pa.struct([("tag", pa.string()), ("token", pa.string())])))
 
+    def work(line: pa.Array) -> pa.Array:
+        found = [[m[0] for m in _TAG.finditer(x or "")] for x in line.to_pylist()]
+        rows = _lists([list(zip(_tokens(tags, _pairs(tags)), tags)) for tags in found])
+        return pa.ListArray.from_arrays(rows.offsets, pa.StructArray.from_arrays([rows.values.field("tag"), rows.values.field("token")], ["tag", "token"]))
 
-def anchor_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of one line each: text with anchors, mapping, indent, trailing, numbers in file and book."""
+    return _in_parts(work, line)
+
+
+def anchored(files: DataFrame) -> DataFrame:
+    """Blocks of one line each: text with anchors, mapping, indent, trailing, numbers in their file only, so without a shuffle."""
     rows = text_lines(files).withColumn("b", simplified(F.col("line"), F.col("ends")))
-    rows = rows.select(*FILE, "block_ord", F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), "b.text", "b.mapping", "b.indent", "b.trailing")
-    return numbered(rows).withColumn("n_chars", F.length("text"))
+    return rows.select(*FILE, "block_ord", F.col("line_idx").alias("start_line"), F.col("line_idx").alias("end_line"), "b.text", "b.mapping", "b.indent", "b.trailing")
+
+
+def anchor_blocks(files: DataFrame) -> DataFrame:
+    """The same, numbered in the book too. Lines are anchored again for the numbers: write them first where that counts."""
+    return numbered_anchors(anchored(files))
+
+
+def numbered_anchors(found: DataFrame) -> DataFrame:
+    return numbered(found).withColumn("n_chars", F.length("text"))
+
+
+def _restored(text: str | None, known: list[str], tags: list[str | None]) -> str:
+    tag_of: dict[str, str | None] = {}
+    for x, y in zip(known, tags):
+        tag_of.setdefault(x, y)
+    seen: set[str] = set()
+
+    def kept(m: re.Match) -> str:
+        x = m[0]
+        if x in seen or x not in tag_of:
+            seen.add(x)
+            return ""
+        seen.add(x)
+        return x
+
+    def tag(m: re.Match) -> str:
+        y = tag_of.get(m[0])
+        return m[0] if y is None else y
+
+    clean = _PLACE.sub(kept, text) if "<" in text else text
+    clean += "".join(x for x in known if x not in seen)
+    return _PLACE.sub(tag, clean) if "<" in clean else clean
 
 
-def restored(text: Column, mapping: Column, indent: Column, trailing: Column) -> Column:
-    """A translated line with its original tags: unknown anchors and repeats go, missing ones are appended in mapping order."""
-    gaps, found = split_by(text, PLACEHOLDER)
-    known = F.transform(mapping, lambda m: m["token"])
-    kept = lambda t: F.transform(t, lambda x, i: F.when(F.array_contains(known, x) & (F.array_position(t, x) == i + 1), x).otherwise(""))
-    missing = lambda t: F.array_join(F.filter(known, lambda k: ~F.array_contains(t, k)), "")
-    clean = _let(found, lambda t: F.concat(joined_pieces(gaps, kept(t)), missing(t)))
+@F.arrow_udf(T.StringType())
+def restored(text: pa.Array, mapping: pa.Array, indent: pa.Array, trailing: pa.Array) -> pa.Array:
+    """A translated line with its original tags: unknown anchors and repeats go, missing ones are appended in mapping order; null where anything is null."""
 
-    def replaced(line: Column) -> Column:
-        parts, tokens = split_by(line, PLACEHOLDER)
-        tag = lambda x: F.coalesce(F.get(F.filter(mapping, lambda m: m["token"] == x), 0)["tag"], x)
-        return joined_pieces(parts, F.transform(tokens, tag))
+    def work(text: pa.Array, mapping: pa.Array, indent: pa.Array, trailing: pa.Array) -> pa.Array:
+        at, whole = mapping.offsets.to_pylist(), mapping.flatten()
+        valid, out = mapping.is_valid().to_pylist(), []
+        tokens, tags = (whole.field(k).to_pylist() for k in _PAIRS)
+        k = 0
+        for i, (t, a, z) in enumerate(zip(text.to_pylist(), indent.to_pylist(), trailing.to_pylist())):
+            n = at[i + 1] - at[i] if valid[i] else 0
+            out.append(None if t is None or a is None or z is None or not valid[i] else a + _restored(t, tokens[k : k + n], tags[k : k + n]) + z)
+            k += n
+        return pa.array(out, pa.string())
 
-    return F.concat(indent, _let(clean, replaced), trailing)
+    return _in_parts(work, text, mapping, indent, trailing)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import SPACE, trimmed
+from .batches import parts, release
 from .lines import FILE, numbered
 
 # Elements in order of precedence.
@@ -46,7 +47,7 @@ def paragraph_ranges(lines: list[str]) -> list[tuple[int, int]]:
     closers, out, i = _Closers(lines), [], 0
     while i < len(lines):
         end = None
-        for tag in _OPEN:
+        for tag in _OPEN if "<" in lines[i] else ():
             opened = tag.search(lines[i])
             if opened and (end := closers.after(opened[1].lower(), i)) is not None:
                 break
@@ -57,25 +58,37 @@ def paragraph_ranges(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for book, file, html in zip(part["book_id"], part["file_ord"], part["html"]):
-            lines = (html or "").split("\n")
-            if lines[-1] == "":
-                lines.pop()
-                ends = len(lines)
-            else:
-                ends = len(lines) - 1  # the last line has no break
-            for k, (a, b) in enumerate(paragraph_ranges(lines)):
-                rows.append((book, file, k, a, b, "\n".join(lines[a : b + 1]) + ("\n" if b < ends else "")))
-        yield pd.DataFrame(rows, columns=["book_id", "file_ord", "block_ord", "start_line", "end_line", "text"])
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in parts(batch, "html"):
+            rows = []
+            for at, html in enumerate(part.column("html").to_pylist()):
+                lines = (html or "").split("\n")
+                if lines[-1] == "":
+                    lines.pop()
+                    ends = len(lines)
+                else:
+                    ends = len(lines) - 1  # the last line has no break
+                for k, (a, b) in enumerate(paragraph_ranges(lines)):
+                    rows.append((at, k, a, b, "\n".join(lines[a : b + 1]) + ("\n" if b < ends else "")))
+            at, *numbers, texts = list(zip(*rows)) or [()] * 5
+            files = [part.column(c).take(pa.array(at, pa.int64())) for c in FILE]
+            yield pa.RecordBatch.from_arrays([*files, *(pa.array(x, pa.int32()) for x in numbers), pa.array(texts, pa.string())], [*FILE, "block_ord", "start_line", "end_line", "text"])
+    release()
+
+
+def found_paragraphs(files: DataFrame) -> DataFrame:
+    """Blocks (start_line, end_line, text with its line breaks), numbered in their file only, so without a shuffle."""
+    kind = files.schema["file_ord"].dataType.simpleString()
+    return files.select(*FILE, "html").mapInArrow(_scan, f"book_id string, file_ord {kind}, block_ord int, start_line int, end_line int, text string")
 
 
 def paragraph_blocks(files: DataFrame) -> DataFrame:
-    """Blocks (start_line, end_line, text with its line breaks), numbered in file and book."""
-    kind = files.schema["file_ord"].dataType.simpleString()
-    found = files.select(*FILE, "html").mapInPandas(_scan, f"book_id string, file_ord {kind}, block_ord int, start_line int, end_line int, text string")
+    """The same, numbered in the book too. The scan is made again for the numbers: write found_paragraphs first where that counts."""
+    return numbered_paragraphs(found_paragraphs(files))
+
+
+def numbered_paragraphs(found: DataFrame) -> DataFrame:
     return numbered(found).withColumn("n_chars", F.length("text"))
 
 

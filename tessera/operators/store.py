@@ -45,7 +45,7 @@ class Store:
         return self.has("books") and not self.read("books").where((F.col("book_id") == book_id) & (F.col("version") == VERSION)).isEmpty()
 
     def purge(self, name: str | None = None) -> None:
-        for table in [name] if name else ["files", "blocks", "chunks", "books", "results"]:
+        for table in [name] if name else ["files", "found", "blocks", "chunks", "books", "results"]:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.anchors import anchor_blocks
+from ..operators.anchors import anchored, numbered_anchors
 from ..operators.checks import exported, parsed
 from ..operators.chunks import CHUNK_CHARS, chunk_blocks, chunked
 from ..operators.lines import normalised_files
-from ..operators.paragraphs import paragraph_blocks
+from ..operators.paragraphs import found_paragraphs, numbered_paragraphs
 from ..operators.render import bilingual, direct, replaced
 from ..operators.store import VERSION, Store, pending
 from ..operators.translate import judged, translated
@@ -21,7 +21,10 @@ def prepare(store: Store, files: DataFrame, mode: str = "anchor", chunk_chars: i
     """Files (book_id, file_ord, rel_path, html, decode_error) to stored files, blocks and chunks; files that can't be decoded are kept with their error and give no blocks."""
     files = store.write("files", normalised_files(files))
     good = files.where("html is not null")
-    blocks = store.write("blocks", anchor_blocks(good) if mode == "anchor" else paragraph_blocks(good))
+    # found once and stored, then numbered: the numbers read the rows twice more
+    found = store.write("found", anchored(good) if mode == "anchor" else found_paragraphs(good))
+    blocks = store.write("blocks", numbered_anchors(found) if mode == "anchor" else numbered_paragraphs(found))
+    store.purge("found")
     chunks = store.write("chunks", chunked(blocks, mode, chunk_chars))
     books = files.select("book_id").distinct().select("book_id", F.lit(mode).alias("mode"), F.lit(VERSION).alias("version"))
     store.write("books", books)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import markup
 from .functions.replies import reply_content, status, strip_thinking
 from .operators import checks, chunks, lines, render, store, translate
-from .operators.anchors import anchor_blocks, restored, tagged
-from .operators.paragraphs import paragraph_blocks
+from .operators.anchors import anchored, numbered_anchors, restored, tagged
+from .operators.paragraphs import found_paragraphs, numbered_paragraphs
 from .plans.translation import prepare
 from .sources import epub
 from .sources.epub import from_pages
@@ -87,13 +87,13 @@ def tag_pairs_query(spark, sf_dir):
 
 
 def tag_simplify(spark, sf_dir):
-    found = anchor_blocks(files(spark, sf_dir))
+    found = anchored(files(spark, sf_dir))
     mapping = F.array_join(F.transform("mapping", lambda m: F.concat(m["token"], F.lit("="), m["tag"])), "\x1f")
     return found.select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("line_idx"), "text", mapping.alias("mapping"), "indent", F.col("trailing").alias("tail"))
 
 
 def block_global_index(spark, sf_dir):
-    found = anchor_blocks(files(spark, sf_dir))
+    found = numbered_anchors(_store(spark).write("found", anchored(files(spark, sf_dir))))
     return found.select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("line_idx"), F.col("block_ord").cast("long").alias("block_ord"), F.col("global_idx").cast("long").alias("global_idx"))
 
 
@@ -133,6 +133,11 @@ def _judged(found, faults=FAULTS):
     return translate.judged(translate.translated(found, translate.FakeBackend(faults)), found)
 
 
+def _usable():
+    """What goes into an export. Just judged, api_error is the status of failed calls and of no others, so the format check isn't needed for this."""
+    return checks.exported(F.col("status"), F.col("trans"))
+
+
 def translate_identity(spark, sf_dir):
     found = _chunks(spark, sf_dir)
     return translate.translated(found, translate.FakeBackend()).select("chunk_id", "trans", "status")
@@ -159,7 +164,7 @@ def backfill_eligible(spark, sf_dir):
 
 
 def export_eligible(spark, sf_dir):
-    return _judged(_book(spark, sf_dir)[2]).where(checks.exported(F.col("error_type"), F.col("trans"))).select("chunk_id")
+    return _judged(_book(spark, sf_dir)[2]).where(_usable()).select("chunk_id")
 
 
 def blocks_of_chunk(spark, sf_dir):
@@ -200,13 +205,13 @@ def epub_round_trip(spark, sf_dir):
 
 def restore_line(spark, sf_dir):
     """Each block restored from its own simplified text."""
-    found = anchor_blocks(files(spark, sf_dir))
+    found = anchored(files(spark, sf_dir))
     return found.select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("line_idx"), restored(F.col("text"), F.col("mapping"), F.col("indent"), F.col("trailing")).alias("line"))
 
 
 def restore_faulty(spark, sf_dir):
     """Blocks restored from texts with a doubled, a forged and a missing anchor."""
-    found = anchor_blocks(files(spark, sf_dir))
+    found = anchored(files(spark, sf_dir))
     text = F.concat(F.regexp_replace("text", "</t1>", ""), F.lit("<s99/><t1>"))
     return found.select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("line_idx"), restored(text, F.col("mapping"), F.col("indent"), F.col("trailing")).alias("line"))
 
@@ -227,13 +232,14 @@ def render_translated(spark, sf_dir):
     """The export with faulty replies: what isn't usable keeps its original line."""
     source, blocks, found = _book(spark, sf_dir)
     results = _judged(found)
-    usable = results.where(checks.exported(F.col("error_type"), F.col("trans")))
+    usable = results.where(_usable())
     out = render.replaced(source, blocks, checks.parsed(usable, chunks.chunk_blocks(found), blocks))
     return out.select(F.col("file_ord").alias("page_id"), "html")
 
 
 def paragraph_blocks_query(spark, sf_dir):
-    return paragraph_blocks(files(spark, sf_dir)).select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "text", F.col("global_idx").cast("long").alias("global_idx"))
+    found = numbered_paragraphs(_store(spark).write("found", found_paragraphs(files(spark, sf_dir))))
+    return found.select(F.col("file_ord").alias("page_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "text", F.col("global_idx").cast("long").alias("global_idx"))
 
 
 def render_direct(spark, sf_dir):
