@@ -11,12 +11,14 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import without_thinking
+from .batches import parts, release
 
 # The mark after each request, request settings in order of trial, and what in an error's text asks for the next one.
 STOP = "⏹️"
@@ -148,11 +150,12 @@ def translated(chunks: DataFrame, backend: Callable[[int, str], str], *, interva
     with `partitions`, chunks are dealt over so many tasks (at most one per permit), each with as many threads as its share of the permits; the rest of an uneven
     division is left unused. Write the result before anything reads it, or a second evaluation repeats the calls."""
     rows, share = chunks.select("book_id", "chunk_id", "orig"), 1
+    names = [c.split()[0] for c in RESULT.split(", ")]
     if partitions or interval > 0:
         tasks = max(1, min(partitions or 1, permits))
         rows, share = rows.repartition(tasks), max(1, permits // tasks)
 
-    def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limiter = RateLimiter(interval, share)
 
         def one(row: tuple) -> tuple:
@@ -164,11 +167,14 @@ def translated(chunks: DataFrame, backend: Callable[[int, str], str], *, interva
                 return book, chunk, None, "api_error", str(e)[:2000]
 
         with ThreadPoolExecutor(share) as pool:
-            for part in parts:
-                asked = zip(part["book_id"], part["chunk_id"], part["orig"])
-                yield pd.DataFrame(list(pool.map(one, asked) if share > 1 else map(one, asked)), columns=["book_id", "chunk_id", "trans", "status", "error"])
-
-    return rows.mapInPandas(call, RESULT)
+            for batch in batches:
+                asked = (row for part in parts(batch, "orig", 256) for row in zip(*(c.to_pylist() for c in part.columns)))
+                done = pool.map(one, asked) if share > 1 else map(one, asked)
+                while some := list(islice(done, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*some))], names)
+        release()
+
+    return rows.mapInArrow(call, RESULT)
 
 
 def judged(results: DataFrame, chunks: DataFrame, mode: str = "anchor") -> DataFrame:

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import paragraphs
+from tessera.operators import paragraphs, translate
 from tessera.operators.anchors import numbered_anchors, restored, simplified
 from tessera.operators.batches import parts
 from tessera.operators.store import Store
@@ -32,6 +32,15 @@ def test_paragraphs_leave_python_in_small_batches(page):
     assert rows == [("b", i, *r) for i in range(n) for r in ([(0, 0, 0, "<p>a</p>\n"), (1, 1, 2, "<p>b\nc</p>\n")] if "p" in page else [])]
 
 
+def test_calls_leave_python_in_order_and_without_pandas(spark):
+    chunks = spark.range(3000).select(F.lit("b").alias("book_id"), F.col("id").alias("chunk_id"), F.concat(F.lit("x"), "id").alias("orig"))
+    for permits in (1, 3):
+        got = translate.translated(chunks, translate.FakeBackend(("none", "error")), permits=permits, partitions=1)
+        assert "MapInArrow" in plan(got).toString()
+        rows = sorted(got.collect(), key=lambda r: r.chunk_id)
+        assert [(r.book_id, r.trans, r.status) for r in rows] == [("b", f"x{i}", "ok") if i % 2 == 0 else ("b", None, "api_error") for i in range(3000)]
+
+
 def test_blocks_are_numbered_from_stored_rows(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(translation, "numbered_anchors", lambda found: seen.append(plan(found).toString()) or numbered_anchors(found))
