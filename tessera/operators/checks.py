@@ -73,6 +73,8 @@ def exported(error_type: Column, trans: Column) -> Column:
 def parsed(results: DataFrame, chunk_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(book_id, global_idx, text): each block's translation, the first with its number; the original where there is none."""
     found = results.select("book_id", "chunk_id", F.transform(reply_blocks(F.col("trans")), lambda b: F.struct(_plain(b["id"]).alias("id"), b["body"].alias("body"))).alias("found"))
-    rows = chunk_blocks.join(found, ["book_id", "chunk_id"]).join(blocks.select("book_id", "global_idx", F.col("text").alias("original")), ["book_id", "global_idx"])
     own = F.get(F.filter("found", lambda b: b["id"] == F.col("n").cast("string")), 0)["body"]
-    return rows.select("book_id", "global_idx", F.coalesce(trimmed(own), F.col("original")).alias("text"))
+    # each block's row takes its own text before it is shuffled, not the chunk's whole reply
+    rows = chunk_blocks.join(found, ["book_id", "chunk_id"]).select("book_id", "global_idx", own.alias("own"))
+    both = rows.join(blocks.select("book_id", "global_idx", F.col("text").alias("original")), ["book_id", "global_idx"])
+    return both.select("book_id", "global_idx", F.coalesce(trimmed(F.col("own")), F.col("original")).alias("text"))

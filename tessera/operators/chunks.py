@@ -56,7 +56,7 @@ def plain_prompt(texts: Column) -> Column:
 def chunked(blocks: DataFrame, mode: str = "anchor", limit: int = CHUNK_CHARS) -> DataFrame:
     """(book_id, file_ord, chunk_id, orig, n_blocks, blocks: their global_idx in order). A file's blocks are folded in one row; chunks never span files."""
     fold, prompt = (closing_chunks, anchored_prompt) if mode == "anchor" else (bounded_chunks, plain_prompt)
-    files = blocks.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("block_ord", "global_idx", "text", "n_chars"))).alias("b"))
+    files = blocks.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("block_ord", "global_idx", "text", "n_chars"))).alias("b"))
     files = files.withColumn("c", fold(F.transform("b", lambda x: x["n_chars"]), limit)).withColumn("n_chunks", F.size("c"))
     before = offsets(files.select(*FILE, "n_chunks"), "n_chunks").select(*FILE, "before")
     # each chunk's row gets its own blocks only

@@ -20,7 +20,8 @@ def normalised_files(files: DataFrame) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """(book_id, file_ord, line_idx, line, ends): the lines without their line breaks; ends: whether one follows. A final break opens no further line."""
-    rows = files.select(*FILE, F.posexplode(F.split("html", "\n")).alias("line_idx", "line"), F.size(F.split("html", "\n")).alias("n"))
+    # counted below the explode: beside it the whole file would be split again for each of its lines
+    rows = files.select(*FILE, F.split("html", "\n").alias("all")).select(*FILE, "all", F.size("all").alias("n")).select(*FILE, F.posexplode("all").alias("line_idx", "line"), "n")
     last = F.col("line_idx") == F.col("n") - 1
     return rows.where(~(last & (F.col("line") == ""))).select(*FILE, "line_idx", "line", (~last).alias("ends"))
 

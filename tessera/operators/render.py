@@ -12,7 +12,7 @@ from .lines import FILE, lines
 
 def _joined(rows: DataFrame) -> DataFrame:
     """Files from (book_id, file_ord, place, part): ordered parts, one row per file."""
-    return rows.groupBy(*FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "").alias("html"))
+    return rows.groupBy(*FILE).agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "part")))["part"], "").alias("html"))
 
 
 def _line_rows(files: DataFrame) -> DataFrame:

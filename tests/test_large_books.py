@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import paragraphs, translate
+from tessera.operators import checks, lines, paragraphs, render, translate
 from tessera.operators.anchors import numbered_anchors, restored, simplified
 from tessera.operators.batches import parts
 from tessera.operators.store import Store
@@ -41,6 +41,21 @@ def test_calls_leave_python_in_order_and_without_pandas(spark):
         assert [(r.book_id, r.trans, r.status) for r in rows] == [("b", f"x{i}", "ok") if i % 2 == 0 else ("b", None, "api_error") for i in range(3000)]
 
 
+def test_a_file_is_split_once_not_once_a_line(spark):
+    text = plan(lines.lines(spark.createDataFrame([("b", 0, "a\nb")], "book_id string, file_ord int, html string"))).toString()
+    assert "split(" not in text[: text.index("Generate")]
+
+
+def test_a_block_takes_its_own_reply_before_the_shuffle(spark):
+    results = spark.createDataFrame([("b", 0, "<1>x</1><2>y</2>")], "book_id string, chunk_id long, trans string")
+    members = spark.createDataFrame([("b", 0, 1, 5), ("b", 0, 3, 6)], "book_id string, chunk_id long, n int, global_idx long")
+    blocks = spark.createDataFrame([("b", 5, "o"), ("b", 6, "p")], "book_id string, global_idx long, text string")
+    got = checks.parsed(results, members, blocks)
+    assert sorted((r.global_idx, r.text) for r in got.collect()) == [(5, "x"), (6, "p")]
+    join = plan(got).children().apply(0)
+    assert "found" not in join.children().apply(0).output().toString()
+
+
 def test_blocks_are_numbered_from_stored_rows(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(translation, "numbered_anchors", lambda found: seen.append(plan(found).toString()) or numbered_anchors(found))
@@ -62,3 +77,9 @@ def test_restored_and_simplified_over_parts_and_nulls(spark):
     for r in got:
         want = None if r.id % 5 == 2 or r.id % 11 == 4 else "\n" if r.line is None else f"<b>x{r.id}</b><br/>\n"
         assert r.back == want, r
+
+
+def test_rendering_sorts_parts_natively(spark):
+    rows = spark.createDataFrame([("b", 0, i, f"{i}\n") for i in (10, 9, 2, 0)], "book_id string, file_ord int, line int, part string")
+    got = render._joined(rows.select("book_id", "file_ord", F.struct("line").alias("place"), "part"))
+    assert got.first().html == "0\n2\n9\n10\n" and "lambda" not in plan(got).toString()
