@@ -40,7 +40,7 @@ SLICE_BYTES = 8_000_000
 HOT_LEAST, HOT_MOST = 32, 200_000
 RUN_SHINGLES = 4_000_000
 FREE = 1 << 29
-BUCKETS = 256
+BUCKETS, LEAST_BUCKETS = 256, 16
 MOST_NAMED, MOST_NODES, MOST_SKETCHES = 500_000, 2_000_000, 200_000
 LEAF, DEPTH, PIVOTS, BLOCK = 16, 2, 3, 2048
 TURNS = 2
@@ -79,6 +79,19 @@ def sketches_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=(len(at) - 1) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
 
 
+def buckets_for(points: int) -> int:
+    """How many buckets the sketches of so many points may have, so that they are no larger than those of MOST_SKETCHES points (51 MB); 0 if none."""
+    width = BUCKETS
+    while width >= LEAST_BUCKETS and points * width > MOST_SKETCHES * BUCKETS:
+        width //= 2
+    return width if width >= LEAST_BUCKETS else 0
+
+
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """A sketch of fewer buckets. Sums of buckets, and what 255 cuts off, bring two sketches no further apart, so the bound holds."""
+    return np.minimum(sketch.reshape(width, -1).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; after each run of documents also the shingles that several of them have, with times."""
     names = ["doc_id", "n", "sig", "sketch", "shingle", "times"]
@@ -283,7 +296,8 @@ class Join:
         return both.where(F.size(F.array_intersect("x.rare", "y.rare")) >= shared_least(F.col("m"))).select("a", "b")
 
     def _voronoi(self, live: DataFrame, level: int) -> DataFrame:
-        """Large regions split into the cells of their pivots: (s, node, n) with new region numbers."""
+        """Large regions split into the cells of their pivots: (s, node, n, u) with new region numbers. A region whose cells overlap so much that they have as many pairs as itself
+        (points far from all pivots go to each cell) stays whole."""
         every = self._pivots(live, 100 * level).select("region", "pivot", F.lit(0).alias("cell"))
         for k in range(1, PIVOTS):
             every = every.unionByName(self._pivots(live, 100 * level + k).select("region", "pivot", F.lit(k).alias("cell")))
@@ -297,19 +311,25 @@ class Join:
         nearest = F.min("d").over(Window.partitionBy("s", "node"))
         # a partner within the limit, at home in this cell, is at most twice the limit closer to its pivot than to any other
         rows = rows.withColumn("nearest", nearest).where(F.col("d") <= F.col("nearest") + 2 * self.limit + 1e-9)
-        return rows.select(F.xxhash64("s", "cell", F.lit(level)).alias("s"), "node", "n", "u").distinct()
+        members = saved(rows.select("s", "cell", "node", "n", "u").distinct(), "members")
+        work = members.groupBy("s", "cell").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        split = work.join(live.groupBy("s").agg(F.count("*").alias("k")), "s").where(F.col("work") < F.col("k") * F.col("k")).select("s")
+        split, named = saved(split, "split"), lambda cell: F.xxhash64("s", cell, F.lit(level)).alias("s")
+        cells = members.join(split, "s", "left_semi").select(named(F.col("cell")), "node", "n", "u")
+        return cells.unionByName(live.join(split, "s", "left_anti").select(named(F.lit(-1)), "node", "n", "u"))
 
     def _sketches(self, live: DataFrame):
-        """The live points' sketches, names ascending, for all tasks; none where they are too many (they only spare counting)."""
+        """The live points' sketches, names ascending, for all tasks, of fewer buckets the more points there are; none where even LEAST_BUCKETS are too many (they only spare counting)."""
         nodes = live.select("node").distinct()
         found = self.profile.where("sig is not null").join(nodes, F.col("sig") == F.col("node"), "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
         found = saved(found, "sketches")
         count = rows_of(found)
-        if not count or count > MOST_SKETCHES:  # 51 MB at most
+        width = buckets_for(count)
+        if not count or not width:
             return None
-        names, table = np.empty(count, np.int64), np.empty((count, BUCKETS), np.uint8)
+        names, table = np.empty(count, np.int64), np.empty((count, width), np.uint8)
         for i, row in enumerate(found.orderBy("sig").toLocalIterator()):
-            names[i], table[i] = row["sig"], np.frombuffer(row["sketch"], np.uint8)
+            names[i], table[i] = row["sig"], folded(np.frombuffer(row["sketch"], np.uint8), width)
         dropped(found)
         return self.spark.sparkContext.broadcast((names, table))
 

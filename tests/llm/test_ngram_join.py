@@ -177,3 +177,34 @@ def test_nearest_of_another_class(spark):
         if others:
             want.add(tuple(sorted((node, min(others)[1]))))
     assert {tuple(r) for r in graph.nearest_within(df, far, 2048).collect()} == want
+
+
+def test_sketches_of_fewer_buckets_stay_a_bound():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64)), *(np.unique(rng.choice(200, 120).astype(np.uint64) << np.uint64(17)) for _ in range(6))]
+    sets.append(sets[0][:5000])
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    table = ngram_join.sketches_of(flat, at)
+    assert [ngram_join.buckets_for(ngram_join.MOST_SKETCHES * k) for k in (1, 2, 3, 16, 17)] == [256, 128, 64, 16, 0]
+    for width in (256, 128, 64, 16):
+        rows = [ngram_join.folded(x, width).astype(int) for x in table]
+        for x, s in zip(rows, sets):
+            for y, t in zip(rows, sets):
+                assert np.abs(x - y).sum() <= len(np.setxor1d(s, t))
+
+
+def test_cells_that_divide_nothing_are_not_made(spark):
+    """Points that share a passage and are far from each other are in each cell of their region; they stay one region."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"{i}x{k}" for k in range(int(rng.integers(25, 40))))]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = ngram_join.Join(docs, hot_least=1000)
+    live = join._live(join.regions)
+    big = live.where(F.col("size") > 16)
+    n = big.count()
+    assert n > 0
+    cells = join._voronoi(big, 1)
+    assert cells.count() <= n
+    homes = lambda rows: {frozenset(x["p"]) for x in rows.groupBy("s").agg(F.collect_set("node").alias("p")).collect()}
+    assert homes(cells) == homes(big)
